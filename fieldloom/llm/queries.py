@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, chat, sharding, simhash, warc
+from fieldloom.llm import bpe, chat, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(chat.hostile(spark))))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digests(_table(spark, sf_dir, "documents"), min_words=35)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.ByteBPE(ranks, public_tokenizers.PATTERN))
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op4_chat": op4_chat,
+    "op5_substring": op5_substring,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
 }
@@ -67,4 +72,17 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(20 + CASE WHEN clash THEN 1 + length(safe_role) + length(safe_text) ELSE length(role) + length(text) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op5_substring": r"""
+        WITH w AS (
+            SELECT doc_id, row_number() OVER () AS rid,
+                list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        p AS (SELECT rid, s, sha256(array_to_string(ws[s : s + 34], ' ')) AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS s FROM w)),
+        again AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM p SEMI JOIN again USING (k)),
+        each AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (rid, i) GROUP BY rid),
+        lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)""",
 }
