@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, chat, sharding, simhash, substring, warc
+from fieldloom.llm import bpe, chat, quality, sharding, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(_table(spark, sf_dir, "documents"), min_words=35)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.ByteBPE(ranks, public_tokenizers.PATTERN))
@@ -38,13 +43,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=40, seed=42)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op4_chat": op4_chat,
     "op5_substring": op5_substring,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
