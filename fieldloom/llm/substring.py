@@ -95,7 +95,7 @@ def _runs_of(docs: DataFrame, min_words: int, full: bool) -> DataFrame:
                     value, first, count, seen, span = (np.concatenate(c) for c in zip(*held))
                     if full:
                         which = np.repeat([r for r, _ in rows], [n for _, n in rows])
-                        key = b.take(pa.array(which)).select(["doc", "sig"]).columns
+                        key = b.select(["doc", "sig"]).take(pa.array(which)).columns
                         yield pa.RecordBatch.from_arrays([_signed(value), _signed(span), *key, pa.array(first << 32 | count)], ["rep", "span", "doc", "sig", "place"])
                     else:
                         yield pa.RecordBatch.from_arrays([_signed(value), pa.array(seen)], ["rep", "seen"])
