@@ -57,14 +57,17 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` of each row of ``docs(doc_id, text)``; ``fp`` holds the 64 bits as a signed long."""
+    """The columns of ``docs`` with ``text`` replaced by ``fp``: the fingerprint's 64 bits as a signed long."""
+    rows = docs.withColumn("text", F.col("text").cast("binary"))
+    keys = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), width, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), width, seed) for t in b.column("text")), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(fp.view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.mapInArrow(run, f"{schema}, fp long")
 
 
 # ---------------------------------------------------------------------------------------------- pigeonring
@@ -202,7 +205,7 @@ def simhash_components(docs: DataFrame, tau: int = 4, width: int = 4, seed: int
     row is kept and links others, but never names a component (null if no member has an id). Repeated rows are
     kept. Empty table: no rows. Columns other than doc_id and text are not read.
     """
-    fps = stage(fingerprints(docs, width, seed), "fingerprints")
+    fps = stage(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, seed), "fingerprints")
     reps = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "representatives")
     found = connected_components(near_links(reps, tau)).withColumnRenamed("node", "fp")
     member = found.join(reps, "fp")
@@ -210,3 +213,22 @@ def simhash_components(docs: DataFrame, tau: int = 4, width: int = 4, seed: int
     named = member.join(least, "component").select("fp", "component_id")
     of_fp = reps.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, tau: int = 4, width: int = 5, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component.
+
+    That is the one with the smallest doc_id (nulls last), then the smallest hash of its text. Rows are told apart
+    by id and text; of repeated rows one stays. Groups of copies are pre-aggregated, and only the keys of what
+    stays are joined back.
+    """
+    doc, sig = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("sig")
+    fps = stage(fingerprints(docs.select(doc, sig, "text"), width, seed), "fingerprints")
+    reps = stage(fps.groupBy("fp").agg(F.min(F.struct("doc", "sig")).alias("first")), "representatives")
+    found = connected_components(near_links(reps, tau)).withColumnRenamed("node", "fp")
+    group = F.coalesce("component", "fp").alias("component")
+    stay = stage(reps.join(found, "fp", "left").select(group, "first").groupBy("component").agg(F.min("first").alias("first")).select("first.doc", "first.sig"), "kept")
+    kept = docs.select("*", doc, sig).join(stay, ["doc", "sig"], "left_semi")
+    if not fps.groupBy("doc", "sig").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc", "sig"])
+    return kept.select(*docs.columns)

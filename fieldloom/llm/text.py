@@ -11,6 +11,7 @@ import xxhash
 SPACES = b" \t\n\r\x0b\x0c"
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_APART = bytes(32 if not (48 <= c < 58 or 97 <= c < 123 or c > 127) else c for c in range(256))
 _S1, _S2 = np.uint64(31), np.uint64(29)
 
 
@@ -19,6 +20,11 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def plain_tokens(text: bytes | None) -> list[bytes]:
+    """Lower-cased runs of letters, digits and non-ASCII characters."""
+    return text.decode("utf-8", "replace").lower().encode().translate(_APART).split() if text else []
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> _S1)) * _K2

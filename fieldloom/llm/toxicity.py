@@ -15,25 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.labels import id_crc32, labelled_sample
-from fieldloom.llm.text import join_hashes, mix, word_hashes
+from fieldloom.llm.text import join_hashes, mix, plain_tokens, word_hashes
 
 BITS = 20
 #: Labelled documents that are learned from, at most.
 SAMPLE = 8_000
 #: First bytes of a word that stand for its inflected forms.
 STEMS = (4, 6)
-_APART = bytes(32 if not (48 <= c < 58 or 97 <= c < 123 or c > 127) else c for c in range(256))
 _SKIP = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Lower-cased runs of letters, digits and non-ASCII characters."""
-    return text.decode("utf-8", "replace").lower().encode().translate(_APART).split() if text else []
-
-
 def features(text: bytes | None) -> np.ndarray:
     """Hashed unigrams of words and of their stems, bigrams, and skip-grams over one and two words, each once."""
-    ws = tokens(text)
+    ws = plain_tokens(text)
     h = word_hashes(ws)
     parts = [mix(h), join_hashes(h[:-1], h[1:]), *(mix(word_hashes([w[:n] for w in ws], n)) for n in STEMS)]
     parts += [join_hashes(h[: -gap - 1] ^ salt, h[gap + 1 :]) for gap, salt in zip((1, 2), _SKIP)]
