@@ -212,6 +212,7 @@ def simhash_components(docs: DataFrame, tau: int = 4, width: int = 4, seed: int
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     named = member.join(least, "component").select("fp", "component_id")
     of_fp = reps.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    of_fp = stage(of_fp, "classes")  # so that both sides of the join below are plain exchanges, which AQE can split
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
