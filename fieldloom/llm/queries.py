@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, chat, decontaminate, quality, sharding, simhash, substring, toxicity, warc
+from fieldloom.llm import bpe, chat, decontaminate, lm, quality, sharding, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=40, seed=42)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_lm": op9_lm,
     "op10_quality": op10_quality,
 }
 
