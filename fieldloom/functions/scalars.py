@@ -103,5 +103,5 @@ def leading_int(x: Column) -> Column:
 
 def listed(x: Column) -> Column:
     """A list from a JSON array or from parts between commas."""
-    parts = F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.startswith(F.ltrim(x), F.lit("[")), F.from_json(x, "array<string>")).otherwise(parts)

@@ -9,6 +9,11 @@ from fieldloom.functions import scalars
 from fieldloom.operators.graph import connected_components
 
 
+def _mask(width: int) -> int:
+    """The lowest bits of a long."""
+    return (1 << width) - 1 if width < 64 else -1
+
+
 def exact_groups(images: DataFrame) -> DataFrame:
     """Content hashes that several images share: representative (smallest path), members, classes among them."""
     g = images.groupBy("sha256").agg(F.min("path").alias("representative"), F.count(F.lit(1)).alias("members"), F.count_distinct("class_name").alias("classes"))
@@ -44,7 +49,7 @@ def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
     """
     bands = most + 1
     cuts = [64 * k // bands for k in range(bands + 1)]
-    key = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    key = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit(_mask(b - a))).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
     uniq = hashes.select("hash").distinct()
     keyed = uniq.select("hash", F.explode(key).alias("k")).select("hash", "k.band", "k.bits")
     other = keyed.withColumnRenamed("hash", "hash2")
@@ -53,7 +58,7 @@ def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
     first = F.lit(bands)
     for k in reversed(range(bands)):
         a, b = cuts[k], cuts[k + 1]
-        first = F.when(F.shiftrightunsigned(diff, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(k)).otherwise(first)
+        first = F.when(F.shiftrightunsigned(diff, a).bitwiseAND(F.lit(_mask(b - a))) == 0, F.lit(k)).otherwise(first)
     near = near.where((F.col("band") == first) & (F.bit_count(diff) <= most)).select("hash", "hash2", scalars.hamming(F.col("hash"), F.col("hash2")).alias("distance"))
     own = hashes.select(F.col("id").alias("a"), F.col("class_index").alias("a_class"), "hash")
     its = hashes.select(F.col("id").alias("b"), F.col("class_index").alias("b_class"), F.col("hash").alias("hash2"))

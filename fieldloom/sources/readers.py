@@ -20,9 +20,10 @@ def _check_header(spark: SparkSession, path: str, want: list[str]) -> None:
 
 
 def strict_csv(spark: SparkSession, path: str, schema: T.StructType, allow_empty: bool = False) -> DataFrame:
-    """A CSV whose header equals the schema's names; a malformed row fails the read, and so does a table without rows."""
+    """A CSV whose header equals the schema's names; a malformed row fails the read, and so does a
+    table without rows. Empty text cells are empty texts."""
     _check_header(spark, path, schema.names)
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST", nullValue="\0", emptyValue="")
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST", escape='"').na.fill("")
     if not allow_empty and df.isEmpty():
         raise ValueError(f"{path}: no rows")
     return df
