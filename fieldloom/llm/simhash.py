@@ -229,7 +229,7 @@ def keep_one(docs: DataFrame, tau: int = 4, width: int = 5, seed: int = 42) -> D
     found = connected_components(near_links(reps, tau)).withColumnRenamed("node", "fp")
     group = F.coalesce("component", "fp").alias("component")
     stay = stage(reps.join(found, "fp", "left").select(group, "first").groupBy("component").agg(F.min("first").alias("first")).select("first.doc", "first.sig"), "kept")
-    kept = docs.select("*", doc, sig).join(stay, ["doc", "sig"], "left_semi")
+    kept = docs.select(F.struct("*").alias("row"), doc, sig).join(stay, ["doc", "sig"], "left_semi")
     if not fps.groupBy("doc", "sig").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc", "sig"])
-    return kept.select(*docs.columns)
+    return kept.select("row.*")

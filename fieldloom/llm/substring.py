@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm.text import mix, row_ranges, window_hashes, word_hashes, words
 from fieldloom.staging import stage
@@ -208,9 +209,11 @@ def dedup_texts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for text, ranges in zip(b.column("text"), b.column("ranges")):
                 kept, removed = kept_words(text.as_py(), ranges.as_py(), min_words) if ranges.is_valid else ([], 0)
                 out.append(b" ".join(kept) if removed else text.as_py())
-            cols = [pa.array([None if t is None else t.decode() for t in out], pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    names = docs.columns
-    rows = repeated_ranges(docs, min_words).drop("doc", "sig").withColumn("text", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, docs.schema)
+            texts = pa.array([None if t is None else t.decode() for t in out], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, b.column("rest")], ["doc_id", "text", "rest"])
+
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*other) if other else F.struct(F.lit(0).alias("none"))  # apart from the names used inside
+    rows = repeated_ranges(docs.select("doc_id", "text", rest.alias("rest")), min_words).select("doc_id", F.col("text").cast("binary").alias("text"), "rest", "ranges")
+    done = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), rows.schema["rest"]]))
+    return done.select(*[c if c in ("doc_id", "text") else F.col(f"rest.{c}") for c in docs.columns])
