@@ -6,6 +6,8 @@ so a lost executor costs a re-read and never a recomputation of earlier rounds.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
+        folder = tempfile.mkdtemp(prefix="fieldloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
