@@ -333,19 +333,62 @@ def test_shares_of_the_vocabulary_sum_to_one():
 # -------------------------------------------------------------------------------------------------- pipeline
 
 
-def test_pipeline(spark):
+def plain_least_distance(pattern, text):
+    """Least edit distance of the pattern to a part of the text, a row at a time."""
+    at = np.arange(len(text) + 1)
+    row, text = np.zeros(len(text) + 1, int), np.array(text, object)
+    for i, p in enumerate(pattern, 1):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (text != p))
+        new[0] = i
+        row = np.minimum.accumulate(new - at) + at
+    return row.min()
+
+
+def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert len(corpus_pipeline.STAGES) == 5
-    before = {r.doc_id for r in docs.select("doc_id").collect()}
-    for _, step in corpus_pipeline.STAGES[:-1]:
+    from test_pairs import plain_dedup
+
+    from fieldloom.llm.simhash import fingerprint
+    from fieldloom.llm.text import plain_tokens
+
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    rows = {r.doc_id: r.text for r in read("documents").collect()}
+    start = len(rows)
+
+    model = toxicity.train(read("documents"), read("labels"))
+    weights = model.dense()
+    rows = {i: t for i, t in rows.items() if toxicity.sigmoid(weights[toxicity.features(t.encode())].sum() + model.bias) < 0.5}
+    kept = [set(rows)]
+
+    fps = {i: fingerprint(t.encode(), 5) for i, t in rows.items()}
+    name = {i: i for i in fps}
+    for i in fps:
+        for j in fps:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 4 and name[i] != name[j]:
+                a, b = sorted((name[i], name[j]))
+                name = {k: a if v == b else v for k, v in name.items()}
+    rows = {i: t for i, t in rows.items() if name[i] == i}
+    kept.append(set(rows))
+
+    cut = plain_dedup(list(rows.items()), 35)
+    rows = {i: rows[i] if not gone else left.decode() for i, _, gone, left in cut}
+    kept.append(set(rows))
+
+    items = [plain_tokens(r.text.encode()) for r in read("benchmark").collect()]
+    rows = {i: t for i, t in rows.items() if not any(plain_least_distance(p, plain_tokens(t.encode())) <= len(p) // 5 for p in items)}
+    kept.append(set(rows))
+    assert start > len(kept[0]) > len(kept[1]) and len(kept[3]) >= 0.8 * start
+
+    docs, columns = read("documents"), read("documents").columns
+    for (_, step), ids in zip(corpus_pipeline.STAGES, kept):
         docs = corpus_pipeline.stage(step(spark, docs, DATA), "test")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert now <= before and len(now) == docs.count() >= 0.8 * len(before)
-        before = now
-    out = corpus_pipeline.run(spark, DATA).collect()
-    assert {r.doc_id for r in out} == before
-    text = {r.doc_id: r.text for r in docs.collect()}
-    assert all(r.decoded_sha256 == sha(text[r.doc_id]) for r in out)
+        assert docs.columns == columns and sorted(r.doc_id for r in docs.collect()) == sorted(ids)
+    assert {r.doc_id: (r.text, r.n_chars) for r in docs.collect()} == {i: (t, len(t)) for i, t in rows.items()}
+
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    want = []
+    for i, t in rows.items():
+        ids = np.array(codec.encode_ordinary(t), "<u4")
+        want.append((i, len(ids), sha(ids.tobytes()), sha(t)))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()) == sorted(want)
