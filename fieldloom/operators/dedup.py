@@ -83,3 +83,9 @@ def cluster_stats(members: DataFrame, hashes: DataFrame) -> DataFrame:
     other = m.select("cluster_id", F.col("id").alias("id2"), F.col("hash").alias("hash2"))
     far = m.join(other, "cluster_id").where("id < id2").groupBy("cluster_id").agg(F.max(scalars.hamming(F.col("hash"), F.col("hash2"))).alias("max_distance"))
     return sizes.join(far, "cluster_id").select("cluster_id", "members", "max_distance", (F.col("classes") > 1).alias("cross_class"))
+
+
+def consistency(members: DataFrame) -> DataFrame:
+    """Whether all members of a cluster (cluster_id, group_key, split) share group and split; an unknown one fails."""
+    same = lambda c: (F.count_distinct(c) == 1) & (F.count(c) == F.count(F.lit(1)))
+    return members.groupBy("cluster_id").agg(same("group_key").alias("same_group"), same("split").alias("same_split"))

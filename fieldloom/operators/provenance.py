@@ -51,6 +51,12 @@ def provider_metadata(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def labelled(value: Column, labels: dict[str, str]) -> Column:
+    """Display label of a value; the value itself where it has none."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, value), value)
+
+
 def metadata_conflicts(metadata: DataFrame) -> DataFrame:
     """Rows of provenance that contradict themselves, one per rule broken."""
     combined, second, used = F.col("persisted_provider") == "combined", F.col("second_opinion_used"), F.col("fallback_used")

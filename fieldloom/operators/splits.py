@@ -59,6 +59,14 @@ def overlaps(rows: DataFrame, kinds: list[str], split: str = "split") -> DataFra
     return each.groupBy("kind", "value").agg(F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
+def pairwise(rows: DataFrame, column: str, split: str = "split") -> DataFrame:
+    """How many values each pair of splits shares, from one set of splits per value: ``(pair, shared)``."""
+    held = rows.groupBy(column).agg(F.collect_set(split).alias("held"))  # three at most
+    pairs = [(a, b) for i, a in enumerate(SPLITS) for b in SPLITS[i + 1 :]]
+    both = [F.struct(F.lit(f"{a}_{b}").alias("pair"), F.count_if(F.array_contains("held", a) & F.array_contains("held", b)).alias("shared")) for a, b in pairs]
+    return held.agg(F.array(*both).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 def mismatches(expected: DataFrame, actual: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows missing on either side and differing cells: how many of each."""
     e = expected.select(key, F.lit(1).alias("in_e"), *[F.col(c).alias(f"e_{c}") for c in columns])

@@ -609,3 +609,118 @@ def bootstrap_ci(spark, d):
 @_query()
 def bootstrap_ci_rows(spark, d):
     return evaluation.bootstrap(b.predictions(spark, d), 0.53, draws=50, by_group=False)
+
+
+# --------------------------------------------------------------------------- set operations, checks, labels
+
+
+@_query(f"SELECT group_key FROM {b.IMAGES} WHERE doc_id % 3 = 0 INTERSECT SELECT group_key FROM {b.IMAGES} WHERE doc_id % 3 = 1")
+def shared_group_keys(spark, d):
+    images = b.images(spark, d)
+    return images.where("doc_id % 3 = 0").select("group_key").intersect(images.where("doc_id % 3 = 1").select("group_key"))
+
+
+@_query(
+    f"""SELECT 'train_val' AS pair, count(*) AS shared FROM (SELECT sha256 FROM {b.IMAGES} WHERE doc_id % 3 = 0 INTERSECT SELECT sha256 FROM {b.IMAGES} WHERE doc_id % 3 = 1)
+    UNION ALL SELECT 'train_test', count(*) FROM (SELECT sha256 FROM {b.IMAGES} WHERE doc_id % 3 = 0 INTERSECT SELECT sha256 FROM {b.IMAGES} WHERE doc_id % 3 = 2)
+    UNION ALL SELECT 'val_test', count(*) FROM (SELECT sha256 FROM {b.IMAGES} WHERE doc_id % 3 = 1 INTERSECT SELECT sha256 FROM {b.IMAGES} WHERE doc_id % 3 = 2)"""
+)
+def split_intersections(spark, d):
+    return splits.pairwise(_split_rows(spark, d), "sha256")
+
+
+@_query(
+    """SELECT k AS key, 'missing' AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 9 = 0)
+    UNION ALL SELECT k, 'unexpected' FROM (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 9 = 0 EXCEPT SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 40 = 0)"""
+)
+def key_differences(spark, d):
+    c, s = b.table(spark, d, "customer"), b.table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_nationkey").alias("key"))
+    missing = c.select(F.col("c_nationkey").alias("key")).subtract(s).withColumn("side", F.lit("missing"))
+    return missing.unionByName(s.subtract(c.where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("key"))).withColumn("side", F.lit("unexpected")))
+
+
+@_query(f"""SELECT c.class_index, c.class_name, count(p.path) AS n FROM {b.CLASSES} c LEFT JOIN (SELECT * FROM {b.PREDICTIONS} WHERE true_class_index <> 4) p ON p.true_class_index = c.class_index GROUP BY ALL""")
+def class_counts(spark, d):
+    return evaluation.class_weights(b.predictions(spark, d).where("true_class_index <> 4"), b.class_dim(spark)).select("class_index", "class_name", "n")
+
+
+@_query(
+    f"""WITH g AS (SELECT group_key, count(*) AS size, min(session_prefix) AS session_prefix FROM {_GROUPS} WHERE group_key IS NOT NULL AND kind = 'blight' GROUP BY group_key),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_prefix ORDER BY size, group_key) AS r FROM g) WHERE r <= 2),
+    rest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY group_key) AS round FROM g ANTI JOIN f USING (group_key)) ORDER BY round, size LIMIT 20)
+    SELECT * FROM (SELECT group_key, size, session_prefix, 1 AS pass FROM f UNION ALL SELECT group_key, size, session_prefix, 2 FROM rest) ORDER BY pass, size, group_key LIMIT 20"""
+)
+def quota_sample(spark, d):
+    named = _named(spark, d).where("group_key is not null and kind = 'blight'")
+    groups = named.groupBy("group_key").agg(F.count(F.lit(1)).alias("size"), F.min("session_prefix").alias("session_prefix"))
+    return lineage.quota_sample(groups, 20)
+
+
+@_query(
+    f"""WITH m AS (SELECT path, CASE WHEN doc_id % 50 = 0 THEN 'zz' ELSE class_name END AS class_name, CASE WHEN doc_id % 60 = 1 THEN '' ELSE sha256 END AS sha256, doc_id % 2 AS class_index FROM {b.IMAGES})
+    SELECT 'unique_path' AS "check", 'PASS' AS status, 0 AS violations UNION ALL
+    SELECT 'class_in_scope', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m WHERE class_name NOT IN ('en', 'de', 'fr', 'es') UNION ALL
+    SELECT 'class_index', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m WHERE class_name IN ('en', 'de', 'fr', 'es') AND class_index <> CASE class_name WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END UNION ALL
+    SELECT 'sha256_present', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m WHERE sha256 = ''"""
+)
+def manifest_checks(spark, d):
+    k = F.col("doc_id")
+    m = b.images(spark, d).select("path", F.when(k % 50 == 0, "zz").otherwise(F.col("class_name")).alias("class_name"), F.when(k % 60 == 1, "").otherwise(F.col("sha256")).alias("sha256"), (k % 2).alias("class_index"))
+    return checks.manifest_checks(m, spark.createDataFrame([(0, "en"), (1, "de"), (2, "fr"), (3, "es")], "class_index int, class_name string"))
+
+
+@_query(
+    """WITH g AS (SELECT lang AS class_name, source AS group_key FROM documents GROUP BY ALL), u AS (SELECT 'u' || (c_custkey % 3) AS guard_id, 'src' || (c_custkey % 24) AS group_key FROM customer GROUP BY ALL)
+    SELECT 'guard_keys_exist' AS "check", CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS violations FROM u WHERE group_key NOT IN (SELECT group_key FROM g) UNION ALL
+    SELECT 'guard_in_one_class', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM (SELECT guard_id FROM u JOIN g USING (group_key) GROUP BY guard_id HAVING count(DISTINCT class_name) > 1) UNION ALL
+    SELECT 'key_in_one_guard', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM (SELECT group_key FROM u GROUP BY group_key HAVING count(DISTINCT guard_id) > 1)"""
+)
+def guard_checks(spark, d):
+    groups = b.table(spark, d, "documents").select(F.col("lang").alias("class_name"), F.col("source").alias("group_key")).distinct()
+    k = F.col("c_custkey")
+    guards = b.table(spark, d, "customer").select(F.concat(F.lit("u"), k % 3).alias("guard_id"), F.concat(F.lit("src"), k % 24).alias("group_key")).distinct()
+    return checks.guard_checks(groups, guards)
+
+
+@_query(
+    f"""WITH p AS (SELECT path FROM {b.IMAGES} WHERE doc_id % 10 <> 1), m AS (SELECT path FROM {b.IMAGES} WHERE doc_id % 10 <> 2)
+    SELECT 'unique_prediction' AS "check", 'PASS' AS status, 0 AS violations UNION ALL SELECT 'prediction_in_manifest', 'FAIL', count(*) FROM p ANTI JOIN m USING (path) UNION ALL SELECT 'manifest_has_prediction', 'FAIL', count(*) FROM m ANTI JOIN p USING (path)"""
+)
+def prediction_reconciliation(spark, d):
+    images = b.images(spark, d)
+    return checks.reconciled(images.where("doc_id % 10 <> 1"), images.where("doc_id % 10 <> 2"))
+
+
+@_query(
+    f"""WITH {_CLUSTERS}, m AS (SELECT cluster_id, id % 7 AS group_key, id % 3 AS split FROM c WHERE id % 11 <> 0 UNION ALL SELECT cluster_id, NULL, NULL FROM c WHERE id % 11 = 0)
+    SELECT cluster_id, count(DISTINCT group_key) = 1 AND count(group_key) = count(*) AS same_group, count(DISTINCT split) = 1 AND count(split) = count(*) AS same_split FROM m GROUP BY cluster_id"""
+)
+def cluster_split_consistency(spark, d):
+    members = dedup.clusters(dedup.hamming_pairs(b.hashes(spark, d), 16))
+    known = F.col("id") % 11 != 0
+    return dedup.consistency(members.select("cluster_id", F.when(known, F.col("id") % 7).alias("group_key"), F.when(known, F.col("id") % 3).alias("split")))
+
+
+@_query(
+    f"""SELECT error_code, count(*) AS n, CASE error_code WHEN 'ML_SERVICE_TIMEOUT' THEN 'Custom model timed out' WHEN 'ML_SERVICE_NOT_READY' THEN 'Custom model not ready' ELSE error_code END AS label
+    FROM {b.OUTCOMES} WHERE error_code IS NOT NULL GROUP BY ALL"""
+)
+def display_labels(spark, d):
+    codes = b.outcomes(spark, d).where("error_code is not null").groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
+    return codes.withColumn("label", provenance.labelled(F.col("error_code"), {"ML_SERVICE_TIMEOUT": "Custom model timed out", "ML_SERVICE_NOT_READY": "Custom model not ready"}))
+
+
+_BODY = """(SELECT o_orderkey AS id, o_orderkey % 6 AS k, o_orderkey % 120 AS c, o_orderkey % 7 = 0 AS torn FROM orders)"""
+
+
+@_query(
+    f"""SELECT id, NOT torn AND c <= 100 AS valid, CASE WHEN NOT torn THEN class_name END AS disease, CASE WHEN NOT torn THEN c / 100.0::DOUBLE END AS "modelConfidence", CASE WHEN NOT torn AND c <= 100 THEN 1 ELSE 0 END AS n_top
+    FROM {_BODY} JOIN {b.CLASSES} ON class_index = k"""
+)
+def upstream_bodies(spark, d):
+    k = F.col("o_orderkey")
+    name = F.get(F.array(*map(F.lit, b.CLASS_NAMES)), (k % 6).cast("int"))
+    p = F.format_string('{"class_name":"%s","class_index":%d,"model_confidence":%s,"accepted":%s,"uncertain":%s}', name, k % 6, ((k % 120) / F.lit(100.0)).cast("string"), F.when(k % 120 >= 50, "true").otherwise("false"), F.when(k % 120 >= 50, "false").otherwise("true"))
+    body = F.concat(F.lit('{"status":"success","prediction":'), p, F.lit(',"top_predictions":['), p, F.lit('],"confidence_policy":{"label":"model confidence","threshold":0.5,"production_calibrated":false}}'))
+    bodies = b.table(spark, d, "orders").select(k.alias("id"), F.when(k % 7 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    return provenance.normalised_upstream(bodies).select("id", "valid", "disease", "modelConfidence", F.size("topPredictions").alias("n_top"))
