@@ -87,8 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 42
     sample = sample.select("doc_id", "y", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, y int, features binary")
     t = sample.toArrow()
     order = np.lexsort((t["y"].to_numpy(), mix(t["doc_id"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(seed))))
-    feats, y = t["features"], t["y"].to_pylist()
-    return fit([(np.frombuffer(feats[int(k)].as_py(), np.int32).astype(np.int64), y[int(k)]) for k in order])
+    rows = [(np.frombuffer(f, np.int32), y) for f, y in zip(t["features"].to_pylist(), t["y"].to_pylist())]
+    del t
+    return fit([rows[k] for k in order.tolist()])
 
 
 def _scores(texts: pa.Array, bias: float, weights: np.ndarray) -> np.ndarray:
