@@ -12,8 +12,9 @@ more copies is repeated throughout, and costs one row however many copies there
 passages, is compared window by window at full length. No longer level can remove more words, so the levels end
 there, or earlier where no run survives.
 
-Counts are pre-aggregated sums and rows are matched by joins that AQE may split, so a passage in a third of all
-documents goes through many tasks. The documents' texts are shuffled once, to their runs and to their ranges.
+Counts are pre-aggregated sums. Copies are matched by joins that AQE may split, and the most frequent edge windows,
+of which a fixed number is broadcast, aren't matched by key at all, so a passage in a third of all documents goes
+through many tasks. The documents' texts are shuffled once, to their runs and to their ranges.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from fieldloom.llm.text import mix, row_ranges, window_hashes, word_hashes, word
 from fieldloom.staging import stage
 
 MIN_WORDS = 35
+#: Most frequent edge windows that are known to all tasks; any other has at most one in so many of the rows.
+HOT = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -156,8 +159,12 @@ def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     need = classes.join(unsettled, "rep", "left_semi").select("one.doc", "one.sig", F.struct("rep", "copies", "one.place").alias("need"))
     need = need.groupBy("doc", "sig").agg(F.collect_list("need").alias("need"))
     each = _windows(keyed.join(need, ["doc", "sig"]), min_words)
-    again = each.groupBy("rep", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("rep", "window")
-    edges = each.where("copies = 1").join(again, ["rep", "window"], "left_semi").select("doc", "sig", "place")
+    again = each.groupBy("rep", "window").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1")
+    hot = again.orderBy(F.col("rows").desc(), "rep", "window").limit(HOT).select("rep", "window", F.lit(True).alias("hot"))
+    single = each.where("copies = 1").join(F.broadcast(hot), ["rep", "window"], "left")
+    key = F.when(F.col("hot"), F.xxhash64("doc", "place")).otherwise(F.col("rep"))  # known to be repeated: spread out
+    found = again.select(F.col("rep").alias("key"), "window", F.lit(True).alias("seen"))
+    edges = single.select("doc", "sig", "place", "window", "hot", key.alias("key")).join(found, ["key", "window"], "left").where("hot or seen").select("doc", "sig", "place")
     ranges = settled.unionByName(edges).groupBy("doc", "sig").agg(F.collect_set("place").alias("ranges"))
     return keyed.join(ranges, ["doc", "sig"], "left")
 
