@@ -45,11 +45,14 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, carry:
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     ).withColumn("range", _scaled(F.shiftright("order", 31), ranges))
     ties = ["order", "doc_id", "size", "text_crc32"]
-    own = W.partitionBy("stratum")
+    own, here = W.partitionBy("stratum"), W.partitionBy("range").orderBy("stratum")
     counts = rows.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("stratum", "range", (F.sum("n").over(own.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(own).alias("of"))
-    ranked = rows.join(counts, ["stratum", "range"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("stratum", "range").orderBy(*ties)) - 1)
-    placed = stage(ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("of"))).drop("range", "before", "of", "rank"), "ranked")
+    before = F.sum("n").over(own.orderBy("range")) - F.col("n")  # of the source in earlier ranges
+    ahead = F.sum("n").over(here) - F.col("n")  # of other sources in this range
+    counts = counts.select("stratum", "range", (before - ahead).alias("shift"), F.sum("n").over(own).alias("of"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("stratum", *ties)) - 1  # a range is as large for any mix of sources
+    ranked = rows.withColumn("place", place).join(counts, ["stratum", "range"]).withColumn("rank", F.col("place") + F.col("shift"))
+    placed = stage(ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("of"))).drop("range", "place", "shift", "of", "rank"), "ranked")
     placed = placed.withColumn("range", F.floor(F.col("fraction") * ranges))
     counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # one row per range
