@@ -11,6 +11,7 @@ from fieldloom.functions import scalars, text
 from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
 from fieldloom.sources import bindings as b
 from fieldloom.sources import writers
+from fieldloom.streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -724,3 +725,22 @@ def upstream_bodies(spark, d):
     body = F.concat(F.lit('{"status":"success","prediction":'), p, F.lit(',"top_predictions":['), p, F.lit('],"confidence_policy":{"label":"model confidence","threshold":0.5,"production_calibrated":false}}'))
     bodies = b.table(spark, d, "orders").select(k.alias("id"), F.when(k % 7 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
     return provenance.normalised_upstream(bodies).select("id", "valid", "disease", "modelConfidence", F.size("topPredictions").alias("n_top"))
+
+
+# ------------------------------------------------------------------------------------------------- streaming
+
+
+def _event_stream(spark, d):
+    schema = b.table(spark, d, "events").schema  # a glob, as the table may be a file or a folder
+    return spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@_query("SELECT user_id, count(*) AS analysis_count FROM events GROUP BY user_id")
+def streaming_user_counts(spark, d):
+    return counters.settled(counters.user_counts(_event_stream(spark, d)), "user-counts")
+
+
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streaming_daily_counts(spark, d):
+    counts = counters.settled(counters.windowed_counts(_event_stream(spark, d)), "daily-counts")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.staging import new_path
+
 
 def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour", window: str = "1 day", key: str = "event_type") -> DataFrame:
     """Counts by tumbling window and type; rows later than ``late`` no longer change a window."""
@@ -19,3 +21,19 @@ def user_counts(events: DataFrame, user: str = "user_id") -> DataFrame:
 def distinct_events(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Without repeats of a key that come within the watermark."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+
+def settled(counts: DataFrame, label: str) -> DataFrame:
+    """Run a streaming aggregate over all that is there now; its final table, from the shared folder.
+
+    Every micro-batch overwrites the table with the complete result, so a batch that is run again changes nothing.
+    """
+    spark = counts.sparkSession
+    path = new_path(spark, label)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", new_path(spark, f"{label}-log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
