@@ -72,28 +72,34 @@ def _cells(preds: DataFrame, grid: list[float]) -> DataFrame:
     return wide.groupBy("place", _T, _P).agg(F.sum(F.when(F.col("reached") > F.col("place"), F.col("n")).otherwise(0)).alias("accepted"), F.sum("n").alias("total"))
 
 
-def threshold_classes(preds: DataFrame, classes: DataFrame, grid: list[float] = GRID) -> DataFrame:
-    """Per threshold and class: counts, coverage, accuracy, and F1 among accepted rows."""
-    cells = _cells(preds, grid)
+def _threshold_table(preds: DataFrame, classes: DataFrame, grid: list[float]) -> DataFrame:
+    """Per threshold and class, from one pass over the predictions: counts as true class and as predicted one."""
     hit = F.col(_T) == F.col(_P)
-    true = cells.groupBy("place", F.col(_T).alias("class_index")).agg(F.sum("total").alias("total"), F.sum("accepted").alias("accepted"), F.sum(F.when(hit, F.col("accepted")).otherwise(0)).alias("tp"))
-    made = cells.groupBy("place", F.col(_P).alias("class_index")).agg(F.sum("accepted").alias("predicted"))
+    side = F.explode(F.array(F.struct(F.col(_T).alias("class_index"), F.lit(True).alias("true")), F.struct(F.col(_P).alias("class_index"), F.lit(False).alias("true"))))
+    flat = _cells(preds, grid).select("place", "total", "accepted", hit.alias("hit"), side.alias("s")).select("place", "total", "accepted", "hit", "s.*")
+    only = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0))
+    true, right = F.col("true"), F.col("true") & F.col("hit")
+    g = flat.groupBy("place", "class_index").agg(only(true, "total").alias("total"), only(true, "accepted").alias("accepted"), only(right, "accepted").alias("tp"), only(~true, "accepted").alias("predicted"), only(right, "total").alias("right"))
     dim = classes.select("class_index", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("place"))
-    j = dim.join(true, ["place", "class_index"], "left").join(made, ["place", "class_index"], "left").na.fill(0)
+    j = dim.join(g, ["place", "class_index"], "left").na.fill(0)
     t = F.get(F.array(*map(F.lit, grid)), F.col("place"))
     tp, n, p = F.col("tp"), F.col("accepted"), F.col("predicted")
-    return j.select(t.alias("threshold"), "class_index", "total", "accepted", scalars.ratio(n, F.col("total")).alias("coverage"), scalars.ratio(tp, n).alias("accuracy"), scalars.ratio0(tp, p).alias("precision"), scalars.ratio0(tp, n).alias("recall"), scalars.ratio0(2 * tp, p + n).alias("f1"), "tp")
+    return j.select(t.alias("threshold"), "class_index", "total", "accepted", scalars.ratio(n, F.col("total")).alias("coverage"), scalars.ratio(tp, n).alias("accuracy"), scalars.ratio0(tp, p).alias("precision"), scalars.ratio0(tp, n).alias("recall"), scalars.ratio0(2 * tp, p + n).alias("f1"), "tp", "right")
+
+
+def threshold_classes(preds: DataFrame, classes: DataFrame, grid: list[float] = GRID) -> DataFrame:
+    """Per threshold and class: counts, coverage, accuracy, and F1 among accepted rows."""
+    return _threshold_table(preds, classes, grid).drop("right")
 
 
 def threshold_sweep(preds: DataFrame, classes: DataFrame, grid: list[float] = GRID) -> DataFrame:
     """Metrics of every threshold, and whether the mandatory rules hold."""
-    c = threshold_classes(preds, classes, grid)
+    c = _threshold_table(preds, classes, grid)
     g = c.groupBy("threshold").agg(
-        F.sum("total").alias("total"), F.sum("accepted").alias("accepted"), F.sum("tp").alias("hits"), F.avg("precision").alias("p"), F.avg("recall").alias("r"), F.avg("f1").alias("f"),
+        F.sum("total").alias("total"), F.sum("accepted").alias("accepted"), F.sum("tp").alias("hits"), F.sum("right").alias("correct"), F.avg("precision").alias("p"), F.avg("recall").alias("r"), F.avg("f1").alias("f"),
         _n(F.col("accepted") == 0).alias("zero_support"), F.min(F.coalesce("coverage", F.lit(-1.0))).alias("least_coverage"), F.min("accepted").alias("least_accepted"),
     )
-    every = preds.agg(_n("correct").alias("correct"), _n(~F.col("correct")).alias("errors"))
-    g = g.crossJoin(F.broadcast(every))  # a single row
+    g = g.withColumn("errors", F.col("total") - F.col("correct"))
     n, hits = F.col("accepted"), F.col("hits")
     some = lambda x: F.when(n > 0, F.round(x, 6))
     accuracy, coverage = scalars.ratio(hits, n), scalars.ratio0(n, F.col("total"))
