@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, decontaminate, simhash, substring, toxicity
+from fieldloom.llm import bpe, decontaminate, near, substring, toxicity
 from fieldloom.shipping import ship
 from fieldloom.staging import stage
 
@@ -23,9 +23,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    Near are fingerprints within 4 bits and five-word shingle sets of a Jaccard similarity of 0.8 or more.
+    """
     ship(spark)
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
