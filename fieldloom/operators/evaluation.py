@@ -188,7 +188,7 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
     return out.withColumn("waited", F.col("epoch") - F.col("best_epoch"))
 
 
-def bootstrap(preds: DataFrame, threshold: float, draws: int = 200, seed: int = 42, by_group: bool = True) -> DataFrame:
+def bootstrap(preds: DataFrame, threshold: float, draws: int = 2000, seed: int = 42, by_group: bool = True) -> DataFrame:
     """Mean and 95% interval of four metrics over resamples of groups or of rows.
 
     Each unit has a Poisson(1) number of copies in each resample, from a hash of unit and draw: the distributed

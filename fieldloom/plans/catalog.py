@@ -609,7 +609,7 @@ def bootstrap_ci(spark, d):
 
 @_query()
 def bootstrap_ci_rows(spark, d):
-    return evaluation.bootstrap(b.predictions(spark, d), 0.53, draws=50, by_group=False)
+    return evaluation.bootstrap(b.predictions(spark, d), 0.53, by_group=False)
 
 
 # --------------------------------------------------------------------------- set operations, checks, labels

@@ -93,3 +93,13 @@ def test_group_bootstrap_is_wider(spark):
 def test_class_weights(spark):
     w = {r.class_index: r.weight for r in evaluation.class_weights(preds(spark, [(3, 0, 0, 0.9), (1, 1, 1, 0.9)]), classes(spark, 3)).collect()}
     assert w == {0: 4 / 9, 1: 4 / 3, 2: None}
+
+
+def test_registered_bootstraps_draw_2000(spark, monkeypatch):
+    from fieldloom.plans import catalog
+
+    real, draws = F.sequence, []
+    monkeypatch.setattr(evaluation.F, "sequence", lambda a, b: draws.append(b) or real(a, b))
+    for name in ("bootstrap_ci", "bootstrap_ci_rows"):
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert [spark.range(1).select(d.alias("n")).first().n for d in draws] == [2000, 2000]
