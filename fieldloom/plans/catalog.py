@@ -597,8 +597,8 @@ def best_epoch(spark, d):
 
 @_query()
 def top_k_predictions(spark, d):
-    """Softmax of the first eight dimensions and its three greatest places, for every vector."""
-    probs = scalars.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 8))
+    """Softmax of all dimensions and its three greatest places, for every vector."""
+    probs = scalars.softmax(F.col("embedding").cast("array<double>"))
     return b.table(spark, d, "embeddings").select("vec_id", probs.alias("p")).select("vec_id", F.explode(scalars.top_k(F.col("p"), 3)).alias("t")).select("vec_id", "t.index", F.round("t.value", 6).alias("probability"))
 
 

@@ -103,3 +103,18 @@ def test_registered_bootstraps_draw_2000(spark, monkeypatch):
     for name in ("bootstrap_ci", "bootstrap_ci_rows"):
         catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert [spark.range(1).select(d.alias("n")).first().n for d in draws] == [2000, 2000]
+
+
+def test_top_k_reads_every_dimension(spark):
+    import numpy as np
+
+    from fieldloom.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    got = {(r["vec_id"], r["index"]): r["probability"] for r in catalog.queries()["top_k_predictions"](spark, data).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{data}/embeddings.parquet").collect():
+        e = np.exp(np.array(r.embedding, float) - max(r.embedding))
+        p = e / e.sum()
+        want |= {(r.vec_id, int(k)): p[k] for k in np.argsort(-p, kind="stable")[:3]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
