@@ -105,3 +105,15 @@ def listed(x: Column) -> Column:
     """A list from a JSON array or from parts between commas."""
     parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.startswith(F.ltrim(x), F.lit("[")), F.from_json(x, "array<string>")).otherwise(parts)
+
+
+def service_url(x: Column, default: str) -> Column:
+    """A service's address without trailing slashes; the default for null and blank, null if it is no http address."""
+    given = F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(default))
+    return F.when(given.rlike(r"(?i)^https?://[^/\s?#]+"), F.regexp_replace(given, "/+$", ""))
+
+
+def timeout_ms(x: Column, default: int, low: int = 1000, high: int = 120_000) -> Column:
+    """Milliseconds within bounds; the default for null and blank, null if it is none."""
+    n = F.trim(x).try_cast("double")
+    return F.when(F.coalesce(F.trim(x), F.lit("")) == "", F.lit(float(default))).when(n.between(low, high), n)

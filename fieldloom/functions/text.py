@@ -14,9 +14,6 @@ BLIGHT_NAME = r"(?i)^(GHLB2ES|GHLB2|GHLB_PS|GHLB|GH_HL)\s+Leaf\s+(\d+)(\.(\d+))?
 DEFAULT_TREATMENT = "Please consult the full analysis below."
 DEFAULT_PREVENTION = "Follow standard agricultural best practices."
 
-_BEGIN, _END = "\x01", "\x02"
-
-
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -29,9 +26,9 @@ def given(x: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """``(name, body)`` of each marked section in order; a marker runs over the separators after it."""
-    marked = F.split(F.regexp_replace(text, SECTION, f"{_BEGIN}$1{_END}"), _BEGIN)
-    part = lambda s: F.struct(F.upper(F.substring_index(s, _END, 1)).alias("name"), strip(F.substring_index(s, _END, -1)).alias("body"))
-    return F.transform(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), part)
+    bodies = F.split(text, SECTION, -1)
+    names = F.regexp_extract_all(text, F.lit(SECTION), F.lit(1))
+    return F.zip_with(names, F.slice(bodies, F.lit(2), F.size(names)), lambda n, s: F.struct(F.upper(n).alias("name"), strip(s).alias("body")))
 
 
 def section(found: Column, *names: str) -> Column:
@@ -142,3 +139,30 @@ def soil_query(ph: Column, nitrogen: Column, phosphorus: Column, potassium: Colu
     """A soil question with a line for each value that is given."""
     line = lambda label, x: F.when(given(x.cast("string")).isNotNull(), F.concat(F.lit(f"{label}: "), x.cast("string")))
     return F.concat_ws("\n", F.lit("Analyze this soil:"), line("pH", ph), line("Nitrogen", nitrogen), line("Phosphorus", phosphorus), line("Potassium", potassium), line("Notes", notes))
+
+
+def percent2(x: Column) -> Column:
+    """Percent with two decimals."""
+    return F.format_string("%.2f%%", x * 100)
+
+
+def first_name(x: Column) -> Column:
+    """What stands before the first space."""
+    return F.get(F.split(x, " "), F.lit(0))
+
+
+def error_text(x: Column, most: int = 300) -> Column:
+    """The start of an error's text."""
+    return F.left(x, F.lit(most))
+
+
+def normalised_email(x: Column) -> Column:
+    """As it is stored: stripped, in lower case."""
+    return F.lower(F.trim(x))
+
+
+def canonical_sha256(**values: Column) -> Column:
+    """SHA-256 of a flat JSON object with sorted keys, separators as ``", "`` and ``": "``; values are texts."""
+    quoted = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+    cells = [F.concat(F.lit(f'"{k}": '), quoted(values[k].cast("string"))) for k in sorted(values)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}")), 256)

@@ -51,6 +51,26 @@ def history_page(analyses: DataFrame, user_id, kind: str = "all", severity: str
     return matching(analyses, user_id, kind, severity).orderBy(F.col("createdAt").desc(), F.col("id").desc()).offset((max(page, 1) - 1) * max(limit, 1)).limit(max(limit, 1)).select(*RECENT)
 
 
+HISTORY = ["id", "type", "query", "diagnosis", "severity", "confidence", "treatment", "prevention", "expertAdvice", "cropName", "aiProvider", "customMl", "providerMetadata", "secondaryOpinion", "resultVersion", "createdAt"]
+
+
+def history_projection(analyses: DataFrame) -> DataFrame:
+    """The sixteen fields of a history entry: the result's fields beside it, nested documents passed through as they are.
+
+    An analysis without a result, or without one of the nested documents, has nulls there.
+    """
+    lifted = {f: F.col(f"result.{f}") for f in ("diagnosis", "severity", "confidence", "treatment", "prevention", "expertAdvice")}
+    return analyses.select(*[lifted.get(c, F.col(c)).alias(c) for c in HISTORY])
+
+
+def with_user(analyses: DataFrame, users: DataFrame) -> DataFrame:
+    """Each user's dashboard figures with the stored count and the first name; users without analyses keep theirs."""
+    counts = analyses.groupBy("userId").agg(F.count(F.lit(1)).alias("analyses"))
+    first = F.get(F.split("name", " "), F.lit(0))
+    joined = users.drop("password").join(counts, users["id"] == counts["userId"], "left")
+    return joined.select("id", first.alias("first_name"), "email", F.coalesce("analysisCount", F.lit(0)).alias("analysisCount"), F.coalesce("analyses", F.lit(0)).alias("analyses"))
+
+
 def matching(analyses: DataFrame, user_id, kind: str = "all", severity: str = "all") -> DataFrame:
     df = analyses.where(F.col("userId") == F.lit(user_id))
     for column, value in (("type", kind), ("severity", severity)):

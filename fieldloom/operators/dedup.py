@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars
 from fieldloom.operators.graph import connected_components
+from fieldloom.staging import stage
 
 
 def _mask(width: int) -> int:
@@ -40,12 +43,11 @@ def duplicate_summary(images: DataFrame) -> DataFrame:
     )
 
 
-def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
-    """Pairs ``a < b`` of hashes within ``most`` bits.
+def near_hashes(hashes: DataFrame, most: int) -> DataFrame:
+    """``(hash, hash2, distance)`` of distinct hashes ``hash < hash2`` within ``most`` bits.
 
-    Equal hashes are one representative first. ``most + 1`` bands of the 64 bits give the keys of an exact
-    equi-join: hashes within ``most`` bits share a band. A pair is reported by the first band it shares. Members
-    of equal hashes are joined back at the end, as the pair table itself is asked for.
+    ``most + 1`` bands of the 64 bits give the keys of an exact equi-join: hashes within ``most`` bits share a band.
+    A pair is reported by the first band it shares.
     """
     bands = most + 1
     cuts = [64 * k // bands for k in range(bands + 1)]
@@ -59,7 +61,15 @@ def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
     for k in reversed(range(bands)):
         a, b = cuts[k], cuts[k + 1]
         first = F.when(F.shiftrightunsigned(diff, a).bitwiseAND(F.lit(_mask(b - a))) == 0, F.lit(k)).otherwise(first)
-    near = near.where((F.col("band") == first) & (F.bit_count(diff) <= most)).select("hash", "hash2", scalars.hamming(F.col("hash"), F.col("hash2")).alias("distance"))
+    return near.where((F.col("band") == first) & (F.bit_count(diff) <= most)).select("hash", "hash2", scalars.hamming(F.col("hash"), F.col("hash2")).alias("distance"))
+
+
+def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
+    """Pairs ``a < b`` of images whose hashes are within ``most`` bits.
+
+    Members of equal hashes are joined back at the end, as the pair table itself is asked for; clusters don't need it.
+    """
+    near = near_hashes(hashes, most)
     own = hashes.select(F.col("id").alias("a"), F.col("class_index").alias("a_class"), "hash")
     its = hashes.select(F.col("id").alias("b"), F.col("class_index").alias("b_class"), F.col("hash").alias("hash2"))
     apart = near.join(own, "hash").join(its, "hash2")
@@ -71,17 +81,44 @@ def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
     return pairs.select(pick("a", "b").alias("a"), pick("a_class", "b_class").alias("a_class"), pick("b", "a").alias("b"), pick("b_class", "a_class").alias("b_class"), "distance", (F.col("a_class") != F.col("b_class")).alias("cross_class"))
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
-    """``(id, cluster_id)``: components of the pairs, named by their smallest member."""
-    return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"))
+def clusters(hashes: DataFrame, most: int) -> DataFrame:
+    """``(id, cluster_id)``: images linked by hashes within ``most`` bits, named by their smallest member.
+
+    Distinct hashes are linked, so a group of equal ones is one node; images alone in their component give no row.
+    """
+    reps = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = connected_components(near_hashes(hashes, most), "hash", "hash2").withColumnRenamed("node", "hash")
+    of = reps.join(found, "hash", "left").select("hash", "first", "n", F.coalesce("component", "hash").alias("component"))
+    named = of.groupBy("component").agg(F.min("first").alias("cluster_id"), F.sum("n").alias("members")).where("members > 1")
+    of = stage(of.join(named, "component").select("hash", "cluster_id"), "clusters")
+    return hashes.select("id", "hash").join(of, "hash").select("id", "cluster_id")
+
+
+#: Distinct hashes of a cluster that are compared with as many others in one task.
+BLOCK = 2048
 
 
 def cluster_stats(members: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Size, greatest distance over all pairs of members, and whether classes mix, of each cluster."""
+    """Size, greatest distance over all pairs of members, and whether classes mix, of each cluster.
+
+    Distances are taken among distinct hashes, a large cluster's in pairs of blocks, and only maxima leave a task.
+    """
     m = members.join(hashes, "id")
     sizes = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("class_index").alias("classes"))
-    other = m.select("cluster_id", F.col("id").alias("id2"), F.col("hash").alias("hash2"))
-    far = m.join(other, "cluster_id").where("id < id2").groupBy("cluster_id").agg(F.max(scalars.hamming(F.col("hash"), F.col("hash2"))).alias("max_distance"))
+    uniq = stage(m.select("cluster_id", "hash").distinct(), "cluster-hashes")
+    blocks = uniq.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("g"))
+    dealt = uniq.join(blocks, "cluster_id").withColumn("block", F.pmod(F.xxhash64("hash"), "g"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.least("block", o) * F.col("g") + F.greatest("block", o))
+    dealt = dealt.select("cluster_id", "hash", "block", F.explode(pair).alias("part"))
+
+    def farthest(key: tuple, t: pa.Table) -> pa.Table:
+        h, block = t["hash"].to_numpy(), t["block"].to_numpy()
+        own, other = h[block == block[0]], h[block != block[0]]
+        other = other if len(other) else own
+        most = max(int(np.bitwise_count((x ^ other).view(np.uint64)).max()) for x in own)
+        return pa.table({"cluster_id": [key[0].as_py()], "max_distance": pa.array([most], pa.int32())})
+
+    far = dealt.groupBy("cluster_id", "part").applyInArrow(farthest, "cluster_id long, max_distance int").groupBy("cluster_id").agg(F.max("max_distance").alias("max_distance"))
     return sizes.join(far, "cluster_id").select("cluster_id", "members", "max_distance", (F.col("classes") > 1).alias("cross_class"))
 
 

@@ -7,6 +7,10 @@ similarity_guard_group. Threshold metrics are computed from counts of (grid step
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,12 +145,29 @@ def calibration(preds: DataFrame, bins: int = 10) -> DataFrame:
     return errors.crossJoin(preds.agg(F.round(F.avg(d * d), 6).alias("brier")))  # single rows
 
 
+def _medians(preds: DataFrame, key: str, value: str, ranges: int = 4096) -> DataFrame:
+    """The median of values in [0, 1] for each key: counts of ranges find where it lies, and only that range is sorted."""
+    place = F.least(F.greatest(F.floor(F.col(value) * ranges), F.lit(0)), F.lit(ranges - 1))
+    rows = preds.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), place.alias("range"))
+    counts = rows.groupBy(key, "range").agg(F.count(F.lit(1)).alias("n"))
+    own = W.partitionBy(key)  # ranges of a key at most
+    counts = counts.select(key, "range", (F.sum("n").over(own.orderBy("range")) - F.col("n")).alias("before"), "n", F.sum("n").over(own).alias("of"))
+    low, high = F.floor((F.col("of") - 1) / 2), F.floor(F.col("of") / 2)
+    meets = (F.col("before") <= high) & (F.col("before") + F.col("n") > low)
+    mid = F.broadcast(counts.where(meets).select(key, "range", "before", low.alias("low"), high.alias("high")))  # two rows of a key at most
+    same = rows.join(mid, [key, "range"]).groupBy(key, "range", "before", "low", "high", "v").agg(F.count(F.lit(1)).alias("c"))
+    at = F.col("before") + F.sum("c").over(W.partitionBy(key, "range").orderBy("v"))
+    placed = same.withColumn("end", at).withColumn("begin", F.col("end") - F.col("c"))
+    holds = lambda r: F.max(F.when((F.col("begin") <= F.col(r)) & (F.col("end") > F.col(r)), F.col("v")))
+    return placed.groupBy(key).agg(((holds("low") + holds("high")) / 2).alias("median"))
+
+
 def confidence_distribution(preds: DataFrame) -> DataFrame:
     """Count, mean, least, greatest and median confidence of correct and of wrong rows; nulls where there are none."""
     p = F.col("maximum_probability")
-    g = preds.groupBy("correct").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(p), 9).alias("mean"), F.min(p).alias("min"), F.max(p).alias("max"), F.median(p).alias("median"))
+    g = preds.groupBy("correct").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(p), 9).alias("mean"), F.min(p).alias("min"), F.max(p).alias("max"))
     both = preds.sparkSession.createDataFrame([(True,), (False,)], "correct boolean")
-    return both.join(g, "correct", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return both.join(g, "correct", "left").join(_medians(preds, "correct", "maximum_probability"), "correct", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def error_pairs(preds: DataFrame, classes: DataFrame) -> DataFrame:
@@ -164,6 +185,24 @@ def extremes(preds: DataFrame, n: int = 10) -> DataFrame:
     return low.unionByName(high)
 
 
+def class_errors(preds: DataFrame, classes: DataFrame) -> DataFrame:
+    """Errors of every true class, zeros included."""
+    n = preds.where(~F.col("correct")).groupBy(F.col(_T).alias("class_index")).agg(F.count(F.lit(1)).alias("errors"))
+    return classes.join(n, "class_index", "left").select("class_name", F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
+def enriched(preds: DataFrame, manifest: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Predictions with the group and guard of their path in the manifest, and whether a threshold accepts them."""
+    meta = manifest.select("path", "group_key", "similarity_guard_group")
+    out = preds.drop("group_key", "similarity_guard_group").join(meta, "path")
+    return out if threshold is None else out.withColumn("accepted", F.col("maximum_probability") >= threshold)
+
+
+def weighted_loss(batches: DataFrame) -> DataFrame:
+    """Mean loss of each run over its batches (run, loss, n), each by its size."""
+    return batches.groupBy("run").agg(scalars.ratio(F.sum(F.col("loss") * F.col("n")), F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
 def error_groups(preds: DataFrame) -> DataFrame:
     """Groups with more than one error."""
     return preds.where(~F.col("correct")).groupBy("group_key").agg(F.count(F.lit(1)).alias("errors")).where("errors > 1")
@@ -188,28 +227,72 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
     return out.withColumn("waited", F.col("epoch") - F.col("best_epoch"))
 
 
-def bootstrap(preds: DataFrame, threshold: float, draws: int = 2000, seed: int = 42, by_group: bool = True) -> DataFrame:
+# Fixed values of the resampling hash: multipliers of a 32-bit finaliser.
+MIX = (2654435761, 2246822519, 3266489917)
+
+
+def poisson_cuts() -> list[int]:
+    """Places in 0 .. 2^32 from which on a hash means one copy more: a Poisson(1) number of copies."""
+    out, tail, term = [], 0.0, 1 / 2.718281828459045
+    for k in range(1, 10):
+        tail += term
+        out.append(round(tail * (1 << 32)))
+        term /= k
+    return out
+
+
+def copies(unit: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Copies of each unit (a 32-bit hash) in each draw, one row for a unit."""
+    m, low = [np.uint64(x) for x in MIX], np.uint64(0xFFFFFFFF)
+    x = ((unit[:, None] * m[0] & low) + (draws[None, :] * m[1] & low) + np.uint64(seed)) & low
+    x ^= x >> np.uint64(15)
+    x = x * m[1] & low
+    x ^= x >> np.uint64(13)
+    x = x * m[2] & low
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(poisson_cuts(), np.uint64), x.ravel(), side="right").reshape(x.shape)
+
+
+def bootstrap(preds: DataFrame, threshold: float, draws: int = 2000, seed: int = 42, by_group: bool = True, classes: DataFrame | None = None) -> DataFrame:
     """Mean and 95% interval of four metrics over resamples of groups or of rows.
 
     Each unit has a Poisson(1) number of copies in each resample, from a hash of unit and draw: the distributed
-    form of the bootstrap, the same whatever the partitioning. Units are summed first, so a resample is a weighted
-    sum of counts per draw, class and correctness, pre-aggregated where the units are.
+    form of the bootstrap, the same whatever the partitioning. It stands for draws of as many units with replacement;
+    the number of units then varies from draw to draw, which the ratios take out. Units are counted first; a task
+    adds its units' counts to one array of draws for each cell (true, predicted), so that only cells times draws
+    leave it. Macro F1 is over all ``classes``; without them, over those that occur as true or predicted.
     """
-    unit = F.col("group_key").cast("string") if by_group else F.col("path")
+    unit = F.conv(F.substring(F.md5((F.col("group_key") if by_group else F.col("path")).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     sums = preds.groupBy(unit.alias("unit"), _T, _P).agg(F.count(F.lit(1)).alias("n"), _n(F.col("maximum_probability") >= threshold).alias("acc"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "unit", "draw"), 11) + 0.5) / float(1 << 53)
-    copies, tail, term = F.lit(0), 0.0, 1 / 2.718281828459045
-    for k in range(1, 10):
-        tail += term
-        copies = copies + F.when(u >= tail, 1).otherwise(0)
-        term /= k
-    drawn = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", copies).where("w > 0")
-    cells = drawn.groupBy("draw", _T, _P).agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("acc")).alias("acc"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[int, int], np.ndarray] = {}
+        each = np.arange(1, draws + 1, dtype=np.uint64)
+        for b in batches:
+            unit, t, p, n, acc = (c.to_numpy() for c in b.columns)
+            for k in range(0, len(unit), 1024):
+                part = slice(k, k + 1024)
+                w = copies(unit[part].astype(np.uint64), each, seed).astype(np.float64)
+                for cell in set(zip(t[part].tolist(), p[part].tolist())):
+                    own = (t[part] == cell[0]) & (p[part] == cell[1])
+                    found = np.stack([n[part][own], acc[part][own]]).astype(np.float64) @ w[own]
+                    cells[cell] = cells[cell] + found if cell in cells else found
+        if cells:
+            t, p = zip(*cells)
+            lists = [pa.array([np.rint(x[k]).astype(np.int64) for x in cells.values()], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(p, pa.int32()), *lists], [_T, _P, "n", "acc"])
+
+    added = sums.mapInArrow(add, f"{_T} int, {_P} int, n array<long>, acc array<long>")
+    zipped = F.arrays_zip(F.sequence(F.lit(1), F.lit(draws)).alias("draw"), "n", "acc")
+    each = added.select(_T, _P, F.explode(zipped).alias("x")).select(_T, _P, "x", "x.draw")
+    cells = each.groupBy("draw", _T, _P).agg(F.sum("x.n").alias("n"), F.sum("x.acc").alias("acc"))
     hit = F.col(_T) == F.col(_P)
     side = F.explode(F.array(F.struct(F.col(_T).alias("c"), F.lit(1).alias("t")), F.struct(F.col(_P).alias("c"), F.lit(0).alias("t"))))
     f1 = cells.select("draw", "n", hit.alias("hit"), side.alias("s")).groupBy("draw", "s.c").agg(F.sum(F.when(F.col("hit") & (F.col("s.t") == 1), 2 * F.col("n")).otherwise(0)).alias("tp2"), F.sum("n").alias("both"))
-    f1 = f1.groupBy("draw").agg((F.sum(F.col("tp2") / F.col("both")) / 6).alias("raw_macro_f1"))
+    known = preds.select(F.explode(F.array(_T, _P)).alias("class_index")).distinct() if classes is None else classes
+    size = known.agg(F.count(F.lit(1)).alias("k"))
+    f1 = f1.groupBy("draw").agg(F.sum(scalars.ratio0(F.col("tp2"), F.col("both"))).alias("f1")).crossJoin(F.broadcast(size)).select("draw", (F.col("f1") / F.col("k")).alias("raw_macro_f1"))  # one row
     g = cells.groupBy("draw").agg(scalars.ratio(F.sum(F.when(hit, F.col("n")).otherwise(0)), F.sum("n")).alias("raw_accuracy"), scalars.ratio(F.sum(F.when(hit, F.col("acc")).otherwise(0)), F.sum("acc")).alias("thresholded_selective_accuracy"), scalars.ratio(F.sum("acc"), F.sum("n")).alias("thresholded_coverage")).join(f1, "draw")
     names = ["raw_accuracy", "raw_macro_f1", "thresholded_selective_accuracy", "thresholded_coverage"]
     long = g.select(F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in names])).alias("m")).select("m.*")
-    return long.groupBy("metric").agg(F.avg("value").alias("mean_of_resamples"), F.percentile("value", 0.025).alias("ci_lower_95"), F.percentile("value", 0.975).alias("ci_upper_95"))
+    return long.groupBy("metric").agg(*[F.round(x, 9).alias(c) for x, c in ((F.avg("value"), "mean_of_resamples"), (F.percentile("value", 0.025), "ci_lower_95"), (F.percentile("value", 0.975), "ci_upper_95"))])

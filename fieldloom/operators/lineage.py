@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +14,11 @@ from fieldloom.functions import scalars
 def leaf_join(images: DataFrame, leaf_map: DataFrame) -> DataFrame:
     """Images (path, class_name, key) with the first leaf id of their key that belongs to their class.
 
-    ``leaf_map``: (key, leaf_ids in order), ids of the form ``class:::n``.
+    ``leaf_map``: (key, leaf_id), ids of the form ``class:::n``. The least id of a key and class is found before the
+    join, so no key's ids are gathered.
     """
-    own = F.filter(F.coalesce("leaf_ids", F.array().cast("array<string>")), lambda x: F.startswith(x, F.concat(F.col("class_name"), F.lit(":::"))))
-    return images.join(leaf_map, "key", "left").select("path", "class_name", F.get(own, F.lit(0)).alias("leaf_id"))
+    own = leaf_map.groupBy("key", F.substring_index("leaf_id", ":::", 1).alias("class_name")).agg(F.min("leaf_id").alias("leaf_id"))
+    return images.join(own, ["key", "class_name"], "left").select("path", "class_name", "leaf_id")
 
 
 def match_summary(joined: DataFrame) -> DataFrame:
@@ -45,6 +48,34 @@ def quarantine(images: DataFrame, matched: DataFrame, conflicts: DataFrame) -> D
     return flags.select("path", "class_name", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
+def quarantine_counts(quarantined: DataFrame) -> DataFrame:
+    """Quarantined images of each class."""
+    return quarantined.groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_breakdown(groups: DataFrame, sources: list[str]) -> DataFrame:
+    """Groups of each class by where their key comes from, one column each."""
+    return groups.groupBy("class_name").pivot("group_source", sources).count().na.fill(0)
+
+
+def judgments(*reviews: DataFrame) -> DataFrame:
+    """Histogram of the judgments (group_key, judgment) of several reviews; a later review of a key replaces an earlier one."""
+    tagged = reduce(DataFrame.unionByName, [r.select("group_key", "judgment", F.lit(k).alias("order")) for k, r in enumerate(reviews)])
+    last = tagged.groupBy("group_key").agg(F.max(F.struct("order", "judgment"))["judgment"].alias("judgment"))
+    return last.groupBy("judgment").agg(F.count(F.lit(1)).alias("n"))
+
+
+def recovery_list(statuses: DataFrame) -> DataFrame:
+    """Matched, ambiguous and unresolved images as one list with its place in the order of status and id."""
+    parts = [statuses.where(F.col("status") == s).withColumn("part", F.lit(k)) for k, s in enumerate(("matched", "ambiguous", "unresolved"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def examples(rows: DataFrame, key: str, order: list[str], n: int = 10) -> DataFrame:
+    """The first n rows of each key."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
+
+
 def group_sizes(groups: DataFrame) -> DataFrame:
     """How many groups have each size, from rows with a group key."""
     return groups.groupBy("group_key").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))

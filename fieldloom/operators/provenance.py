@@ -14,6 +14,17 @@ INFRASTRUCTURE_CODES = ["ML_SERVICE_UNAVAILABLE", "ML_SERVICE_TIMEOUT", "ML_SERV
 UPLOAD_STATUS = {"file_too_large": 413, "unsupported_media_type": 415}
 EXTENSIONS = [".jpg", ".jpeg", ".png"]
 FORMATS = {"image/jpeg": "JPEG", "image/png": "PNG"}
+PROVIDER_LABELS = {"gemini": "Gemini Vision", "groq": "Groq Llama 3", "custom-ml": "AgriAI Custom Model", "combined": "AgriAI Custom Model + Gemini"}
+REASON_LABELS = {
+    "service_unavailable": "the custom model service was unavailable",
+    "timeout": "the custom model took too long to respond",
+    "malformed_upstream": "the custom model returned an unexpected response",
+    "service_not_ready": "the custom model was not ready",
+    "uncertain_prediction": "the custom model's result was low-confidence",
+}
+SEVERITY_LABELS = {"critical": "Critical", "high": "High Risk", "medium": "Medium Risk", "low": "Low Risk", "healthy": "Healthy"}
+NO_PROVIDER, NO_REASON = "Unknown", "an infrastructure issue"
+MAX_DIAGNOSIS, MAX_TEXT = 500, 4000
 HTTP_CODES = {413: "IMAGE_TOO_LARGE", 415: "UNSUPPORTED_IMAGE_TYPE", 503: "ML_SERVICE_NOT_READY"}
 
 
@@ -100,6 +111,84 @@ def legacy(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("id", F.col("class_name").alias("diagnosis"), F.when(healthy, "healthy").otherwise("medium").alias("severity"), F.floor(p * 100 + 0.5).alias("confidence"), summary.alias("summary"))
 
 
+def display_label(value: Column, labels: dict[str, str], default: str | None = None) -> Column:
+    """Label of a value, the value itself where it has none, ``default`` where nothing is given."""
+    shown = labelled(value, labels)
+    return shown if default is None else F.coalesce(F.when(text.given(value).isNotNull(), shown), F.lit(default))
+
+
+def kept_predictions(predictions: Column, most: int = schemas.MAX_TOP_PREDICTIONS) -> Column:
+    """The first entries ``(className, classIndex, modelConfidence)`` that name a class by its own index, with a confidence in [0, 1]."""
+    index = lambda n: F.array_position(F.array(*map(F.lit, schemas.CLASS_NAMES)), n) - 1
+    fine = lambda p: F.coalesce((p["classIndex"] == index(p["className"])) & p["modelConfidence"].between(0, 1), F.lit(False))
+    return F.slice(F.filter(predictions, fine), 1, most)
+
+
+def persistence_violations(results: DataFrame) -> DataFrame:
+    """``(id, rule)`` for each of the rules that a model result breaks before it is kept.
+
+    Columns: id, disease, classIndex, modelConfidence, accepted, uncertain, confidenceThreshold, confidenceLabel,
+    productionCalibrated, supportedClass, confidenceMethod, topPredictions, crop, condition, healthy. A null breaks
+    the rule of its column.
+    """
+    name = F.col("disease")
+    want = F.array_position(F.array(*map(F.lit, schemas.CLASS_NAMES)), name) - 1
+    unless = lambda c: ~F.coalesce(c, F.lit(False))
+    crop, condition, healthy = class_parts(name)
+    rules = {
+        "class_name": unless(name.isin(*schemas.CLASS_NAMES)),
+        "class_index": unless(F.col("classIndex") == want),
+        "model_confidence": unless(F.col("modelConfidence").between(0, 1)),
+        "accepted_uncertain": unless(F.col("accepted") != F.col("uncertain")),
+        "confidence_threshold": unless(F.col("confidenceThreshold") == schemas.CONFIDENCE_THRESHOLD),
+        "confidence_label": unless(F.col("confidenceLabel") == schemas.CONFIDENCE_LABEL),
+        "production_calibrated": unless(~F.col("productionCalibrated")),
+        "supported_class": unless(F.col("supportedClass")),
+        "confidence_method": unless(F.col("confidenceMethod").isin(*schemas.CONFIDENCE_METHODS)),
+        "top_predictions": unless(F.size(kept_predictions(F.col("topPredictions"))) > 0),
+        "class_breakdown": unless((F.col("crop") == crop) & (F.col("condition") == condition) & (F.col("healthy") == healthy)),
+    }
+    return broken(results, rules)
+
+
+def capped(x: Column, most: int = MAX_TEXT) -> Column:
+    """The first ``most`` characters."""
+    return F.left(x, F.lit(most))
+
+
+def secondary_opinions(opinions: DataFrame) -> DataFrame:
+    """Second opinions with their texts capped, and the first bound that each breaks (null if none).
+
+    Columns: id, diagnosis, severity, confidence, treatment, prevention, expertAdvice.
+    """
+    texts = F.col("diagnosis").isNotNull() & F.col("treatment").isNotNull() & F.col("prevention").isNotNull()
+    error = (
+        F.when(~F.coalesce(F.col("severity").isin(*schemas.SEVERITIES), F.lit(False)), "severity")
+        .when(~F.coalesce(F.col("confidence").between(0, 100), F.lit(False)), "confidence")
+        .when(~texts, "texts")
+    )
+    return opinions.select(
+        "id", F.lit("gemini").alias("provider"), capped(F.col("diagnosis"), MAX_DIAGNOSIS).alias("diagnosis"), "severity", "confidence",
+        capped(F.col("treatment")).alias("treatment"), capped(F.col("prevention")).alias("prevention"), capped(text.given(F.col("expertAdvice"))).alias("expertAdvice"), error.alias("error"),
+    )
+
+
+def agreement_conflicts(metadata: DataFrame) -> DataFrame:
+    """The rules of ``metadata_conflicts``, and whether provenance agrees with what is present (has_custom_ml, has_secondary)."""
+    implied = F.col("persisted_provider").isin("custom-ml", "combined")
+    rules = {
+        "provider_disagrees_with_custom_ml": implied != F.col("has_custom_ml"),
+        "second_opinion_disagrees_with_presence": F.col("second_opinion_used") != F.col("has_secondary"),
+    }
+    return metadata_conflicts(metadata).unionByName(broken(metadata, rules))
+
+
+def route(image: Column, provider: Column, kind: Column, configured: Column) -> Column:
+    """Which flow answers a request: the custom model only for crop images where it is configured, then by provider."""
+    own = image & (provider != "groq") & (kind == "crop_disease") & (configured == "custom-ml")
+    return F.when(F.coalesce(own, F.lit(False)), "custom-ml").when(F.coalesce(image & (provider != "groq"), F.lit(False)), "gemini-vision").when(provider == "groq", "groq").otherwise("gemini-text")
+
+
 def upload_error(max_bytes: int = 10_485_760, max_pixels: int = 25_000_000) -> Column:
     """The first rule that an upload breaks, null if none; columns as in the uploads table."""
     name, kind = F.col("filename"), F.col("content_type")

@@ -52,6 +52,20 @@ def summary(allocated: DataFrame, min_images: int = 30, min_groups: int = 15) ->
     return g.join(total, "class_name").select("class_name", "split", "images", "groups", (F.col("images") * 100.0 / F.col("total")).alias("pct"), F.when(ok, "PASS").otherwise("FAIL").alias("status"))
 
 
+def deviation(allocated: DataFrame) -> DataFrame:
+    """How far each class and split is from its share, in percent of the class and in images."""
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in {**SHARES, "test": 1 - sum(SHARES.values())}.items() for x in kv]), F.col("split"))
+    s = summary(allocated)
+    return s.select("class_name", "split", "images", F.round("pct", 2).alias("pct"), F.round(F.col("pct") - share * 100, 2).alias("deviation_pct"))
+
+
+def component_members(allocated: DataFrame, groups: DataFrame, guards: DataFrame, images: DataFrame) -> DataFrame:
+    """The images (path, class_name, group_key) of each allocated component, by its groups: ``(path, component_id, split)``."""
+    of = groups.select("class_name", "group_key").distinct().join(guards, "group_key", "left").select("class_name", "group_key", F.coalesce("guard_id", "group_key").alias("component_id"))
+    placed = of.join(allocated.select("class_name", "component_id", "split"), ["class_name", "component_id"])
+    return images.join(placed, ["class_name", "group_key"]).select("path", "component_id", "split")
+
+
 def overlaps(rows: DataFrame, kinds: list[str], split: str = "split") -> DataFrame:
     """Values of each kind that occur in more than one split, in one pass: ``(kind, value, splits)``."""
     pair = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds]))
@@ -67,6 +81,14 @@ def pairwise(rows: DataFrame, column: str, split: str = "split") -> DataFrame:
     return held.agg(F.array(*both).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def shared_values(rows: DataFrame, column: str, split: str = "split") -> DataFrame:
+    """``(pair, value)`` for every value that a pair of splits shares."""
+    held = rows.groupBy(F.col(column).alias("value")).agg(F.collect_set(split).alias("held"))  # three at most
+    pairs = [(a, b) for i, a in enumerate(SPLITS) for b in SPLITS[i + 1 :]]
+    both = F.array_compact(F.array(*[F.when(F.array_contains("held", a) & F.array_contains("held", b), f"{a}_{b}") for a, b in pairs]))
+    return held.select(F.explode(both).alias("pair"), "value")
+
+
 def mismatches(expected: DataFrame, actual: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows missing on either side and differing cells: how many of each."""
     e = expected.select(key, F.lit(1).alias("in_e"), *[F.col(c).alias(f"e_{c}") for c in columns])

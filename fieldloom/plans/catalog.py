@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars, text
 from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
+from fieldloom.plans import audits  # noqa: F401  registers its queries
+from fieldloom.plans.registry import oracle_sql, queries  # noqa: F401
+from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
 from fieldloom.sources import writers
 from fieldloom.streaming import counters
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
 
 # ------------------------------------------------------------------------------------------------ analytics
 
@@ -265,12 +241,15 @@ def duplicate_summary(spark, d):
 
 
 def _leaf_join(spark, d):
-    images = b.images(spark, d).select("path", "class_name", F.concat(F.lit("k"), F.pmod("doc_id", F.lit(97))).alias("key"))
-    each = b.images(spark, d).where("doc_id % 3 = 0").select(F.concat(F.lit("k"), F.pmod("doc_id", F.lit(97))).alias("key"), F.concat("class_name", F.lit(":::"), F.col("doc_id").cast("string")).alias("leaf_id"))
-    return lineage.leaf_join(images, each.groupBy("key").agg(F.sort_array(F.collect_set("leaf_id")).alias("leaf_ids")))
+    """Images by the normalised key of their file name, leaf ids of the labelled ones by the same key."""
+    prefix = F.when(F.col("doc_id") % 2 == 0, "0A1B2C3D-0000-4000-8000-0123456789ab___").otherwise("")
+    named = b.images(spark, d).select("path", "class_name", "doc_id", text.leaf_key(F.concat(prefix, F.lit("K"), F.pmod("doc_id", F.lit(97)), F.lit(" "))).alias("key"))
+    leaf_ids = named.join(b.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("key", F.concat("class_name", F.lit(":::"), F.col("doc_id").cast("string")).alias("leaf_id"))
+    return lineage.leaf_join(named, leaf_ids)
 
 
-_LEAF = f"""(SELECT i.path, i.class_name, (SELECT min(m.class_name || ':::' || m.doc_id) FROM {b.IMAGES} m WHERE m.doc_id % 3 = 0 AND m.doc_id % 97 = i.doc_id % 97 AND m.class_name = i.class_name) AS leaf_id FROM {b.IMAGES} i)"""
+_LEAF = f"""(SELECT i.path, i.class_name, m.leaf_id FROM {b.IMAGES} i LEFT JOIN (SELECT doc_id % 97 AS key, class_name, min(class_name || ':::' || doc_id) AS leaf_id FROM {b.IMAGES}
+    WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL) m ON m.key = i.doc_id % 97 AND m.class_name = i.class_name)"""
 
 
 @_query(f"SELECT * FROM {_LEAF}")
@@ -352,13 +331,15 @@ def stratified_sample(spark, d):
     return lineage.stratified_sample(groups, 30)
 
 
+#: Fixed value: hashes within so many bits are near.
+RADIUS = 5
 _PAIRS = f"""(SELECT x.id AS a, x.class_index AS a_class, y.id AS b, y.class_index AS b_class, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance, x.class_index <> y.class_index AS cross_class
-    FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 16)"""
+    FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= {RADIUS})"""
 
 
 @_query(f"WITH h AS {b.HASHES} SELECT * FROM {_PAIRS}")
 def hamming_pairs(spark, d):
-    return dedup.hamming_pairs(b.hashes(spark, d), 16)
+    return dedup.hamming_pairs(b.hashes(spark, d), RADIUS)
 
 
 _CLUSTERS = f"""RECURSIVE h AS {b.HASHES}, p AS {_PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
@@ -367,7 +348,7 @@ _CLUSTERS = f"""RECURSIVE h AS {b.HASHES}, p AS {_PAIRS}, e AS (SELECT a, b FROM
 
 @_query(f"WITH {_CLUSTERS} SELECT * FROM c")
 def components(spark, d):
-    return dedup.clusters(dedup.hamming_pairs(b.hashes(spark, d), 16))
+    return dedup.clusters(b.hashes(spark, d), RADIUS)
 
 
 @_query(
@@ -377,7 +358,7 @@ def components(spark, d):
 )
 def cluster_stats(spark, d):
     hashes = b.hashes(spark, d)
-    return dedup.cluster_stats(dedup.clusters(dedup.hamming_pairs(hashes, 16)), hashes)
+    return dedup.cluster_stats(dedup.clusters(hashes, RADIUS), hashes)
 
 
 # ---------------------------------------------------------------------------------------------------- splits
@@ -595,30 +576,52 @@ def best_epoch(spark, d):
     return evaluation.best_epoch(epochs)
 
 
-@_query()
+@_query(
+    """WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS index FROM embeddings),
+    m AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS top FROM e), s AS (SELECT *, sum(exp(x - top)) OVER (PARTITION BY vec_id) AS total, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, index) AS place FROM m)
+    SELECT vec_id, CAST(index AS INTEGER) AS index, round(exp(x - top) / total, 6) AS probability FROM s WHERE place <= 3"""
+)
 def top_k_predictions(spark, d):
     """Softmax of all dimensions and its three greatest places, for every vector."""
     probs = scalars.softmax(F.col("embedding").cast("array<double>"))
     return b.table(spark, d, "embeddings").select("vec_id", probs.alias("p")).select("vec_id", F.explode(scalars.top_k(F.col("p"), 3)).alias("t")).select("vec_id", "t.index", F.round("t.value", 6).alias("probability"))
 
 
-@_query()
+def _bootstrap_sql(unit: str) -> str:
+    cuts = " + ".join(f"CAST(h >= {c} AS BIGINT)" for c in evaluation.poisson_cuts())
+    low = "4294967295"
+    a, m, z = (f"CAST({x} AS UBIGINT)" for x in evaluation.MIX)
+    return f"""WITH p AS {_P}, u AS (SELECT CAST('0x' || substr(md5(CAST({unit} AS VARCHAR)), 1, 8) AS UBIGINT) AS unit, true_class_index AS t, predicted_class_index AS q, count(*) AS n,
+        count(*) FILTER (maximum_probability >= 0.53) AS acc FROM p GROUP BY ALL),
+    h0 AS (SELECT t, q, n, acc, draw, ((unit * {a} & {low}) + (CAST(draw AS UBIGINT) * {m} & {low}) + 42) & {low} AS h FROM u, range(1, 2001) r(draw)),
+    h1 AS (SELECT * REPLACE (xor(h, h >> 15) * {m} & {low} AS h) FROM h0), h2 AS (SELECT * REPLACE (xor(h, h >> 13) * {z} & {low} AS h) FROM h1), h3 AS (SELECT * REPLACE (xor(h, h >> 16) AS h) FROM h2),
+    c AS (SELECT draw, t, q, CAST(sum(n * ({cuts})) AS BIGINT) AS n, CAST(sum(acc * ({cuts})) AS BIGINT) AS acc FROM h3 GROUP BY ALL),
+    f AS (SELECT draw, sum(f1) / (SELECT count(*) FROM {b.CLASSES}) AS raw_macro_f1 FROM (SELECT draw, k, coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(n), 0), 0) AS f1
+        FROM (SELECT draw, t AS k, n, CASE WHEN t = q THEN n ELSE 0 END AS tp FROM c UNION ALL SELECT draw, q, n, 0 FROM c) GROUP BY draw, k) GROUP BY draw),
+    g AS (SELECT draw, sum(n) FILTER (t = q) / sum(n) AS raw_accuracy, sum(acc) FILTER (t = q) / sum(acc) AS thresholded_selective_accuracy, sum(acc) / sum(n) AS thresholded_coverage FROM c GROUP BY draw),
+    l AS (UNPIVOT (SELECT * EXCLUDE (draw) FROM g JOIN f USING (draw)) ON COLUMNS(*) INTO NAME metric VALUE value)
+    SELECT metric, round(avg(value), 9) AS mean_of_resamples, round(quantile_cont(value, 0.025), 9) AS ci_lower_95, round(quantile_cont(value, 0.975), 9) AS ci_upper_95 FROM l GROUP BY metric"""
+
+
+@_query(_bootstrap_sql("group_key"))
 def bootstrap_ci(spark, d):
-    return evaluation.bootstrap(b.predictions(spark, d), 0.53)
+    return evaluation.bootstrap(b.predictions(spark, d), 0.53, classes=b.class_dim(spark))
 
 
-@_query()
+@_query(_bootstrap_sql("path"))
 def bootstrap_ci_rows(spark, d):
-    return evaluation.bootstrap(b.predictions(spark, d), 0.53, by_group=False)
+    return evaluation.bootstrap(b.predictions(spark, d), 0.53, by_group=False, classes=b.class_dim(spark))
 
 
 # --------------------------------------------------------------------------- set operations, checks, labels
 
 
-@_query(f"SELECT group_key FROM {b.IMAGES} WHERE doc_id % 3 = 0 INTERSECT SELECT group_key FROM {b.IMAGES} WHERE doc_id % 3 = 1")
+@_query(
+    f"""WITH s AS (SELECT group_key AS value, ['train', 'val', 'test'][doc_id % 3 + 1] AS split FROM {b.IMAGES}), d AS (SELECT DISTINCT * FROM s)
+    SELECT x.split || '_' || y.split AS pair, x.value FROM d x JOIN d y ON x.value = y.value AND list_position(['train', 'val', 'test'], x.split) < list_position(['train', 'val', 'test'], y.split)"""
+)
 def shared_group_keys(spark, d):
-    images = b.images(spark, d)
-    return images.where("doc_id % 3 = 0").select("group_key").intersect(images.where("doc_id % 3 = 1").select("group_key"))
+    return splits.shared_values(_split_rows(spark, d), "group_key")
 
 
 @_query(
@@ -631,13 +634,12 @@ def split_intersections(spark, d):
 
 
 @_query(
-    """SELECT k AS key, 'missing' AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 9 = 0)
-    UNION ALL SELECT k, 'unexpected' FROM (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 9 = 0 EXCEPT SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 40 = 0)"""
+    """SELECT c_custkey AS value, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)
+    UNION ALL SELECT DISTINCT user_id, 'unexpected' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)"""
 )
 def key_differences(spark, d):
-    c, s = b.table(spark, d, "customer"), b.table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_nationkey").alias("key"))
-    missing = c.select(F.col("c_nationkey").alias("key")).subtract(s).withColumn("side", F.lit("missing"))
-    return missing.unionByName(s.subtract(c.where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("key"))).withColumn("side", F.lit("unexpected")))
+    expected, found = b.table(spark, d, "customer").select(F.col("c_custkey").alias("key")), b.table(spark, d, "events").select(F.col("user_id").alias("key"))
+    return checks.set_difference(expected, found, "key")
 
 
 @_query(f"""SELECT c.class_index, c.class_name, count(p.path) AS n FROM {b.CLASSES} c LEFT JOIN (SELECT * FROM {b.PREDICTIONS} WHERE true_class_index <> 4) p ON p.true_class_index = c.class_index GROUP BY ALL""")
@@ -659,7 +661,7 @@ def quota_sample(spark, d):
 
 @_query(
     f"""WITH m AS (SELECT path, CASE WHEN doc_id % 50 = 0 THEN 'zz' ELSE class_name END AS class_name, CASE WHEN doc_id % 60 = 1 THEN '' ELSE sha256 END AS sha256, doc_id % 2 AS class_index FROM {b.IMAGES})
-    SELECT 'unique_path' AS "check", 'PASS' AS status, 0 AS violations UNION ALL
+    SELECT 'unique_path' AS "check", CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS violations FROM (SELECT path FROM m GROUP BY path HAVING count(*) > 1) UNION ALL
     SELECT 'class_in_scope', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m WHERE class_name NOT IN ('en', 'de', 'fr', 'es') UNION ALL
     SELECT 'class_index', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m WHERE class_name IN ('en', 'de', 'fr', 'es') AND class_index <> CASE class_name WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END UNION ALL
     SELECT 'sha256_present', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m WHERE sha256 = ''"""
@@ -685,7 +687,9 @@ def guard_checks(spark, d):
 
 @_query(
     f"""WITH p AS (SELECT path FROM {b.IMAGES} WHERE doc_id % 10 <> 1), m AS (SELECT path FROM {b.IMAGES} WHERE doc_id % 10 <> 2)
-    SELECT 'unique_prediction' AS "check", 'PASS' AS status, 0 AS violations UNION ALL SELECT 'prediction_in_manifest', 'FAIL', count(*) FROM p ANTI JOIN m USING (path) UNION ALL SELECT 'manifest_has_prediction', 'FAIL', count(*) FROM m ANTI JOIN p USING (path)"""
+    SELECT 'unique_prediction' AS "check", CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS violations FROM (SELECT path FROM p GROUP BY path HAVING count(*) > 1)
+    UNION ALL SELECT 'prediction_in_manifest', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM p ANTI JOIN m USING (path)
+    UNION ALL SELECT 'manifest_has_prediction', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FROM m ANTI JOIN p USING (path)"""
 )
 def prediction_reconciliation(spark, d):
     images = b.images(spark, d)
@@ -697,7 +701,7 @@ def prediction_reconciliation(spark, d):
     SELECT cluster_id, count(DISTINCT group_key) = 1 AND count(group_key) = count(*) AS same_group, count(DISTINCT split) = 1 AND count(split) = count(*) AS same_split FROM m GROUP BY cluster_id"""
 )
 def cluster_split_consistency(spark, d):
-    members = dedup.clusters(dedup.hamming_pairs(b.hashes(spark, d), 16))
+    members = dedup.clusters(b.hashes(spark, d), RADIUS)
     known = F.col("id") % 11 != 0
     return dedup.consistency(members.select("cluster_id", F.when(known, F.col("id") % 7).alias("group_key"), F.when(known, F.col("id") % 3).alias("split")))
 
@@ -737,10 +741,10 @@ def _event_stream(spark, d):
 
 @_query("SELECT user_id, count(*) AS analysis_count FROM events GROUP BY user_id")
 def streaming_user_counts(spark, d):
-    return counters.settled(counters.user_counts(_event_stream(spark, d)), "user-counts")
+    return counters.settled(counters.user_counts(_event_stream(spark, d)), "user-counts", "analysis_count")
 
 
 @_query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streaming_daily_counts(spark, d):
-    counts = counters.settled(counters.windowed_counts(_event_stream(spark, d)), "daily-counts")
+    counts = counters.settled(counters.windowed_counts(_event_stream(spark, d)), "daily-counts", "n")
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -48,13 +48,40 @@ def images(spark: SparkSession, sf_dir: str, by: str = "lang") -> DataFrame:
 IMAGES = """(SELECT 'doc/' || doc_id AS path, lang AS class_name, source, sha256(text) AS sha256, lang || ':::' || source AS group_key, doc_id FROM documents)"""
 
 
-def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` as perceptual hashes of 64 sign bits."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class_index"), scalars.sign_bits(F.col("embedding").cast("array<double>")).alias("hash"))
+#: Bits of a copy that differ from the first of its four: none, one, three (at most), or eight (at most).
+_FLIPS = {1: [7], 2: [11, 17, 23], 3: [3, 5, 13, 19, 29, 31, 37, 41]}
 
 
-HASHES = """(SELECT id, class_index, bit_xor(CASE WHEN x > 0 THEN CAST(1 AS UBIGINT) << (64 - i) ELSE CAST(0 AS UBIGINT) END) AS hash
-    FROM (SELECT vec_id AS id, label AS class_index, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY id, class_index)"""
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as perceptual hashes: of each four, the first has its 64 sign bits, the others near copies of them."""
+    v, k = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    first = v.where(k % 4 == 0).select(k.alias("of"), scalars.sign_bits(F.col("embedding").cast("array<double>")).alias("base"))
+    rows = v.select(k.alias("id"), F.col("label").alias("class_index"), (k - k % 4).alias("of"), F.when(k % 8 == 0, 0).otherwise(k % 4).alias("kind")).join(first, "of")
+    flip = lambda m: F.expr(f"shiftleft(1L, cast(id * {m} % 64 as int))")
+    mask = F.lit(0).cast("long")
+    for kind, ms in _FLIPS.items():
+        own = flip(ms[0])
+        for m in ms[1:]:
+            own = own.bitwiseXOR(flip(m))
+        mask = F.when(F.col("kind") == kind, own).otherwise(mask)
+    return rows.select("id", "class_index", F.col("base").bitwiseXOR(mask).alias("hash"))
+
+
+def _flipped(m: int) -> str:
+    return f"(CAST(1 AS UBIGINT) << (id * {m} % 64))"
+
+
+def _mask_sql(ms: list[int]) -> str:
+    out = _flipped(ms[0])
+    for m in ms[1:]:
+        out = f"xor({out}, {_flipped(m)})"
+    return out
+
+
+HASHES = f"""(SELECT id, class_index, xor(base, CASE kind WHEN 1 THEN {_mask_sql(_FLIPS[1])} WHEN 2 THEN {_mask_sql(_FLIPS[2])} WHEN 3 THEN {_mask_sql(_FLIPS[3])} ELSE CAST(0 AS UBIGINT) END) AS hash
+    FROM (SELECT vec_id AS id, label AS class_index, vec_id - vec_id % 4 AS of, CASE WHEN vec_id % 8 = 0 THEN 0 ELSE vec_id % 4 END AS kind FROM embeddings)
+    JOIN (SELECT of, bit_xor(CASE WHEN x > 0 THEN CAST(1 AS UBIGINT) << (64 - i) ELSE CAST(0 AS UBIGINT) END) AS base
+        FROM (SELECT vec_id AS of, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id % 4 = 0) GROUP BY of) USING (of))"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,20 @@ def once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def exists(df: DataFrame, path: str) -> bool:
+    """Whether something is at a path, in whichever file system it names."""
+    sc = df.sparkSession.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(sc._jsc.hadoopConfiguration()).exists(there)
+
+
+def once_or_stamped(df: DataFrame, path: str, stamp: str) -> str:
+    """Write to the path, or beside it under the stamp if something is there; returns where."""
+    to = f"{path}-{stamp}" if exists(df, path) else path
+    once(df, to)
+    return to
+
+
 def new_by_key(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` whose key isn't in ``old``; of rows that share a new key the first by all columns stays."""
     first = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("row"))
@@ -40,10 +54,16 @@ def patched(users: DataFrame, patches: DataFrame, key: str, fields: list[str]) -
 
 
 def manifest_csv(df: DataFrame, path: str) -> None:
-    """A manifest in its total order; cells are quoted only where they need it."""
+    """A manifest in its total order as one file, cells quoted only where they need it: a small sink, for a reader
+    that takes a single CSV. ``manifest_ranges`` is the one for large manifests."""
     df.orderBy("class_name", "group_key", "path").coalesce(1).write.csv(path, header=True, emptyValue="", escape='"')
 
 
+def manifest_ranges(df: DataFrame, path: str) -> None:
+    """The same order over many files: ranges by class, group and path, each sorted, so that file names keep it."""
+    df.orderBy("class_name", "group_key", "path").write.csv(path, header=True, emptyValue="", escape='"')
+
+
 def predictions_csv(df: DataFrame, path: str) -> None:
     """Predictions with the probabilities as a JSON cell."""
     df.withColumn("probabilities", F.to_json("probabilities")).write.csv(path, header=True, emptyValue="", escape='"')

@@ -23,17 +23,21 @@ def distinct_events(events: DataFrame, key: str = "event_id", ts: str = "ts", la
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def settled(counts: DataFrame, label: str) -> DataFrame:
-    """Run a streaming aggregate over all that is there now; its final table, from the shared folder.
+def settled(counts: DataFrame, label: str, value: str) -> DataFrame:
+    """Run a streaming aggregate over all that is there now, in update mode; the last ``value`` of each other column.
 
-    Every micro-batch overwrites the table with the complete result, so a batch that is run again changes nothing.
+    A micro-batch writes the rows that it changed to a folder of its own in the shared folder, so a batch that is run
+    again replaces what it wrote, and neither state nor output is kept for windows that the watermark has closed.
     """
     spark = counts.sparkSession
     path = new_path(spark, label)
+    spark.createDataFrame([], counts.schema).write.parquet(f"{path}/batch=-1")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", new_path(spark, f"{label}-log")).trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", new_path(spark, f"{label}-log")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(path)
+    changed = spark.read.option("basePath", path).parquet(path)
+    keys = [c for c in counts.columns if c != value]
+    return changed.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
