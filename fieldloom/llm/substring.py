@@ -112,13 +112,14 @@ def _runs_of(docs: DataFrame, min_words: int, full: bool) -> DataFrame:
                     rows.append((k, len(found[0])))
                     size += len(found[0])
 
-    schema = "rep long, span long, doc long, sig int, place long" if full else "rep long, seen long"
+    schema = "rep long, span long, doc long, sig long, place long" if full else "rep long, seen long"
     return docs.select("doc", "sig", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key of the row: repeated rows share it, which is right, as they share all that is decided by it."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("sig", F.hash("text"))
+    """With a key of the row, 128 hash bits of its id and text, null ids included: repeated rows share it, which is
+    right, as they share all that is decided by it."""
+    return docs.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("sig", F.xxhash64(F.lit(1), "text", "doc_id"))
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -141,10 +142,9 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
 
     def pack(out: list) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*out)]
-        cols[4] = cols[4].astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rep", "window", "copies", "doc", "sig", "place"])
 
-    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "rep long, window long, copies long, doc long, sig int, place long")
+    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "rep long, window long, copies long, doc long, sig long, place long")
 
 
 def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -155,7 +155,9 @@ def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     classes = survive.groupBy("rep", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "sig", "place")).alias("one"))
     classes = stage(classes, "classes")
     settled = survive.join(classes.where("copies > 1").select("rep", "span"), ["rep", "span"]).select("doc", "sig", "place")
-    unsettled = classes.where("copies = 1").select("rep").distinct()
+    # staged, so that both sides of the join below are plain exchanges, which AQE can split: the edges of a passage
+    # that a third of the documents hold share a representative
+    unsettled = stage(classes.where("copies = 1").select("rep").distinct(), "unsettled")
     need = classes.join(unsettled, "rep", "left_semi").select("one.doc", "one.sig", F.struct("rep", "copies", "one.place").alias("need"))
     need = need.groupBy("doc", "sig").agg(F.collect_list("need").alias("need"))
     each = _windows(keyed.join(need, ["doc", "sig"]), min_words)
