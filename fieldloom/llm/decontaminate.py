@@ -2,7 +2,9 @@
 
 A test item of n words may differ from a passage in ``floor(n / 5)`` words (similarity of 0.8): inserted, lost or
 replaced. It is cut into one piece more than that, so one piece at least stands in the passage unchanged. Exact
-hits of pieces place the item in a text, and Myers' bit-parallel distance, a bit per word of the item, verifies.
+hits of pieces place the item in a text, and Myers' bit-parallel distance, a bit per word of the item, verifies:
+once for each stretch of text that hits of one item cover, however many lie in it. Words are runs of letters and
+digits; in scripts that are written without spaces each character is one.
 
 The items are taken in blocks of bounded size; a block's tables are broadcast and the documents scanned once.
 """
@@ -15,20 +17,31 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import plain_tokens, window_hashes, word_hashes
 
 BUDGET = 0.2
-#: Items of fewer words are no evidence: chance repeats them.
+#: Items of fewer words are left out unless a caller asks for them: chance repeats them.
 LEAST_WORDS = 5
 #: Items and bytes of text in a block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _SIEVE = 22
+#: Scripts without spaces between words, and bytes of the UTF-8 of any of their characters.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_HIGH = regex.compile(rb"[\xe0-\xf4]")
 FIELDS = "doc_id long, item_id long, distance long, item_words long, first_word long, end_word long"
 
 
+def tokens(text: bytes | None) -> list[bytes]:
+    """Lower-cased words; a character of a script without spaces is a word."""
+    if text and _HIGH.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
+    return plain_tokens(text)
+
+
 def pieces(n: int, budget: float = BUDGET) -> list[tuple[int, int]]:
     """(offset, width) of the error budget plus one pieces of n words."""
     k = int(n * budget + 1e-9) + 1
@@ -74,11 +87,11 @@ class Items:
     budget: float = BUDGET
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str | None]], budget: float = BUDGET) -> Items:
+    def of(cls, rows: list[tuple[int | None, str | None]], budget: float = BUDGET, least_words: int = LEAST_WORDS) -> Items:
         found: dict[tuple[int, ...], list[int]] = {}
         for item_id, text in rows:
-            h = word_hashes(plain_tokens((text or "").encode()))
-            if len(h) >= LEAST_WORDS:
+            h = word_hashes(tokens((text or "").encode()))
+            if len(h) >= max(least_words, 1):
                 found.setdefault(tuple(h.tolist()), []).append(item_id)
         out = cls(budget=budget)
         for p, (ws, ids) in enumerate(found.items()):
@@ -99,46 +112,62 @@ class Items:
         return out
 
 
+def _stretches(starts: np.ndarray, n: int, most: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a text of ``end`` words that windows of n words and ``most`` more on either side cover together."""
+    low, high = np.maximum(starts - most, 0), np.minimum(starts + n + most, end)
+    new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
+    return list(zip(low[new].tolist(), high[np.r_[new[1:] - 1, len(starts) - 1]].tolist()))
+
+
 def matches(items: Items, sieves: dict[int, np.ndarray], text: bytes | None) -> list[tuple[int, int, int, int]]:
     """``(pattern, distance, first word, end)`` of the best passage for each pattern found in a text."""
-    h = word_hashes(plain_tokens(text))
-    places: dict[int, set[int]] = {}
+    h = word_hashes(tokens(text))
+    places: dict[int, list[np.ndarray]] = {}
     for width, keys in items.hits.items():
         g = window_hashes(h, width)
-        for k in np.flatnonzero(sieves[width][g >> np.uint64(64 - _SIEVE)]).tolist():
-            for p, at in keys.get(int(g[k]), ()):
-                places.setdefault(p, set()).add(k - at)
+        maybe = np.flatnonzero(sieves[width][g >> np.uint64(64 - _SIEVE)])
+        if not len(maybe):
+            continue
+        found, which = np.unique(g[maybe], return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(len(found) + 1))
+        for k, value in enumerate(found.tolist()):
+            for p, at in keys.get(value, ()):
+                places.setdefault(p, []).append(maybe[order[cuts[k] : cuts[k + 1]]] - at)
     out = []
     for p, starts in places.items():
         pattern = items.patterns[p]
         n = len(pattern)
         most = int(n * items.budget + 1e-9)
-        masks, best, done = _masks(pattern), None, None
-        for start in sorted(starts):
-            if done is not None and start <= done and best and best[0] == 0:
+        masks, best = _masks(pattern), None
+        known, often = np.unique(np.array(pattern, np.uint64), return_counts=True)
+        for low, high in _stretches(np.unique(np.concatenate(starts)), n, most, len(h)):
+            at = np.minimum(np.searchsorted(known, h[low:high]), len(known) - 1)
+            held = np.bincount(at[known[at] == h[low:high]], minlength=len(known))
+            if np.minimum(held, often).sum() < n - most:  # so many words of the item at least stay as they are
                 continue
-            low, high = max(0, start - most), min(len(h), start + n + most)
             found = myers(masks, n, h[low:high].tolist())
             d = min(found, default=n)
             if d <= most and (best is None or d < best[0]):
-                best = (d, low, low + found.index(d) + 1)
-            done = start + n
+                best = (d, low + found.index(d) + 1)
+            if best and best[0] == 0:
+                break
         if best:
-            d, low, end = best
+            d, end = best
             back = myers(_masks(pattern[::-1]), n, h[max(0, end - n - most) : end][::-1].tolist(), anchored=True)
             first = end - 1 - back.index(min(back))
             out.append((p, d, first, end))
     return out
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> Iterator[Items]:
     """The items in blocks of bounded size; equal texts come in one block."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     k = max(-(-size["n"] // BLOCK_ITEMS), -(-size["b"] // BLOCK_BYTES), 1)
     for b in range(k):
         own = rows if k == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(k)) == b)
-        yield Items.of([(r["item_id"], r["text"]) for r in own.collect()])
+        yield Items.of([(r["item_id"], r["text"]) for r in own.collect()], least_words=least_words)
 
 
 _sieves: dict[int, tuple[Items, dict[int, np.ndarray]]] = {}
@@ -151,14 +180,16 @@ def _tables(items: Items) -> dict[int, np.ndarray]:
     return _sieves[id(items)][1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, item_id, distance, item_words, first_word, end_word)``: test items that documents hold.
 
     One row for each document row and item whose words occur within the budget, with the best passage (the first
     of equals), in words of the document from ``first_word`` to before ``end_word``. Words are lower-cased runs of
-    letters, digits and non-ASCII characters. Documents without an item give no row.
+    letters, digits and non-ASCII characters, and single characters of scripts without spaces. Documents without an
+    item give no row.
 
-    Null or empty texts on either side, and items of fewer than five words, match nothing. Null ids are kept as
+    Items of fewer than ``least_words`` words are left out; with 1 all items count, those of up to four words exactly
+    (their budget is zero). Null or empty texts on either side match nothing. Null ids are kept as
     they are, repeated documents give repeated rows, and items of equal words each give theirs. Empty tables: no
     rows. Other columns are not read.
     """
@@ -181,11 +212,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         return rows.mapInArrow(run, FIELDS)
 
-    return reduce(DataFrame.unionByName, map(scan, blocks(benchmark)))
+    return reduce(DataFrame.unionByName, map(scan, blocks(benchmark, least_words)))
+
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item of ``least_words`` words or more.
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item."""
+    Null and empty texts hold none and stay; repeated rows and null ids stay or go as they are. Empty tables: all
+    documents stay.
+    """
 
     def scan(docs: DataFrame, items: Items) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -198,4 +233,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, docs.schema)
 
-    return reduce(scan, blocks(benchmark), docs)
+    return reduce(scan, blocks(benchmark, least_words), docs)
