@@ -55,8 +55,9 @@ def parse(p: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """``(conv_id, formatted, turns, loss_spans)``: one row per conversation of ``turns(conv_id, turn, role, text)``.
 
-    ``turns`` are the ``(role, text)`` pairs read back from ``formatted``. ``loss_spans`` are ``(start, length)`` in
-    code points of the assistants' texts as they stand in ``formatted``, in order.
+    ``turns`` are the ``(role, text)`` pairs read back from ``formatted``. ``loss_spans`` are ``(start, length,
+    escaped)`` of the assistants' texts as they stand in ``formatted``, in order: places in code points, and whether
+    the turn is at the escaped level. Together they are the loss mask.
 
     Null text or role: empty. A null conv_id is a conversation of its own; null turns come first. Rows of one
     turn are ordered by role, then text; repeated rows stay. Empty table: no rows. A conversation is one value of
@@ -72,23 +73,34 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", "turn", "role", "text", F.coalesce(done, F.raise_error(F.lit("a turn can't be rendered so that it parses back"))).alias("rendered"))
     run = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("n", F.row_number().over(run))
-    body = F.char_length("rendered") - F.lit(4) - F.when(F.startswith("rendered", F.lit("<s>[")), F.char_length("text")).otherwise(F.char_length(escape(text)))
+    plain = F.startswith("rendered", F.lit("<s>["))
+    body = F.char_length("rendered") - F.lit(4) - F.when(plain, F.char_length("text")).otherwise(F.char_length(escape(text)))
     rows = rows.withColumn("at", F.sum(F.char_length("rendered")).over(run.rowsBetween(W.unboundedPreceding, -1))).withColumn("body", body)
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text", "rendered", "at", "body"))).alias("t"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text", "rendered", "at", "body", (~plain).alias("escaped")))).alias("t"))
     convs = convs.select("conv_id", "t", F.array_join(F.transform("t", lambda x: x["rendered"]), "").alias("formatted")).withColumn("p", pieces(F.col("formatted")))
     source = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    span = lambda x: F.struct((F.coalesce(x["at"], F.lit(0)) + x["body"]).alias("start"), (F.char_length(x["rendered"]) - 4 - x["body"]).alias("length"))
+    span = lambda x: F.struct((F.coalesce(x["at"], F.lit(0)) + x["body"]).alias("start"), (F.char_length(x["rendered"]) - 4 - x["body"]).alias("length"), x["escaped"].alias("escaped"))
     spans = F.transform(F.filter("t", lambda x: x["role"] == "assistant"), span)
     convs = convs.select("conv_id", "formatted", parse(F.col("p")).alias("turns"), source.alias("source"), spans.alias("loss_spans"))
     same = F.when(F.col("turns") == F.col("source"), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't parse back")))
     return convs.select("conv_id", same.alias("formatted"), "turns", "loss_spans")
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped: each span is cut out of ``formatted`` and undone by its level.
+
+    The cuts are made in UTF-32, where a place is found without counting from the start, so a conversation of many
+    turns costs its own length. A letter is put before each cut, so that none begins with a byte order mark.
+    """
+    points = F.encode(formatted, "UTF-32")
+    cut = lambda s: F.substr(F.decode(F.concat(F.encode(F.lit("x"), "UTF-32"), F.substr(points, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))), "UTF-32"), F.lit(2))
+    return F.array_join(F.transform(spans, lambda s: F.when(s["escaped"], unescape(cut(s))).otherwise(cut(s))), "")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what ``format_conversations`` gives, from the turns read back."""
+    """Counts and digests of what ``format_conversations`` gives: turns as read back, loss as its mask cuts it out."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    read = formatted.select("conv_id", "turns", "formatted", loss.alias("loss"))
+    read = formatted.select("conv_id", "turns", "formatted", masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
