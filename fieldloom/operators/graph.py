@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.staging import stage
+from fieldloom.staging import release, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternating large-star / small-star contraction: every round is four hash exchanges over at most as many
     rows as there are edges, hubs are pre-aggregated map-side, and AQE splits the hub side of the joins. The
-    edge table is staged after each round; only its row count and checksum reach the driver.
+    edge table is staged after each round, and that of the round before is deleted; only its row count and checksum
+    reach the driver.
 
     Nulls: an edge with a null end is ignored. Self-loops and repeated edges change nothing. No edges: no rows.
     """
@@ -34,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = stage(small, "edges")
+        earlier, e = e, stage(small, "edges")
+        release(earlier)
         now = _state(e)
         if now == was:
             break

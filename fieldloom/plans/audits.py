@@ -404,6 +404,21 @@ def recovery_list(spark, d):
     return lineage.recovery_list(lineage.recovery(images, b.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("leaf_id"))))
 
 
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), k AS (SELECT CAST(u AS BIGINT) AS u, CAST(i AS BIGINT) AS i, cos(pi() * u * (2 * i + 1) / 64.0::DOUBLE) AS c FROM range(0, 8) a(u), range(0, 32) b(i)),
+    p AS (SELECT vec_id, i, j, 10 * v[i + 1] * v[j + 33] + (i * 5 + j * 3) % 11 AS x FROM e, range(0, 32) a(i), range(0, 32) b(j)), t AS (SELECT vec_id, u, j, sum(x * c) AS x FROM p JOIN k USING (i) GROUP BY ALL),
+    f AS (SELECT vec_id, t.u, k.u AS w, sum(x * c) AS x FROM t JOIN k ON k.i = t.j GROUP BY ALL), m AS (SELECT vec_id, median(x) AS m FROM f GROUP BY vec_id)
+    SELECT vec_id AS id, CAST(bit_xor(CASE WHEN x > m THEN CAST(1 AS UBIGINT) << CAST(63 - u * 8 - w AS BIGINT) ELSE CAST(0 AS UBIGINT) END) >> 1 AS BIGINT) AS hash63, bool_or(u = 7 AND w = 7 AND x > m) AS last_bit FROM f JOIN m USING (vec_id) GROUP BY vec_id"""
+)
+def perceptual_hashes(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    at = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    row = lambda i: F.transform(at(32), lambda j: 10 * F.get(v, i) * F.get(v, j + 32) + (i * 5 + j * 3) % 11)
+    pixels = F.flatten(F.transform(at(32), row))
+    hashed = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), scalars.perceptual_hash(pixels).alias("hash"))
+    return hashed.select("id", F.shiftrightunsigned("hash", 1).alias("hash63"), (F.col("hash").bitwiseAND(F.lit(1).cast("long")) == 1).alias("last_bit"))
+
+
 # ------------------------------------------------------------------------------------------------ evaluation
 
 

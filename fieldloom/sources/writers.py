@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -69,6 +70,23 @@ def predictions_csv(df: DataFrame, path: str) -> None:
     df.withColumn("probabilities", F.to_json("probabilities")).write.csv(path, header=True, emptyValue="", escape='"')
 
 
+def sorted_keys(c: Column, kind: T.DataType) -> Column:
+    """A value whose objects, at any depth, have their keys in order."""
+    if isinstance(kind, T.StructType):
+        fields = [sorted_keys(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_keys(x, kind.elementType))
+    return c
+
+
 def report_json(df: DataFrame, path: str) -> None:
-    """A report as JSON lines whose keys are sorted."""
-    df.select(*sorted(df.columns)).write.json(path, ignoreNullFields=False)
+    """A report as JSON lines whose keys are sorted at every depth."""
+    rows = [sorted_keys(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    df.select(*rows).write.json(path, ignoreNullFields=False)
+
+
+def pretty_json(df: DataFrame, path: str) -> None:
+    """A report of few rows as indented documents with sorted keys, one after the other in one file."""
+    rows = F.struct(*[sorted_keys(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    df.select(F.to_json(rows, {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)

@@ -10,17 +10,24 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared work folder: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The shared work folder: ``spark.checkpoint.dir``, or a temporary one where it is unset on a local master.
+
+    On a cluster a folder of the driver's machine would be another one on every executor, so there it must be set.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="fieldloom-")
@@ -39,10 +46,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``stage`` wrote for ``df``, which nothing must read any more."""
+    path = _staged.pop(df, None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def discard(spark: SparkSession) -> None:
     """Delete everything staged under the shared folder; results that still read it become invalid."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fieldloom")
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _delete(spark, f"{shared_dir(spark)}/fieldloom")

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom import schemas
 from fieldloom.functions import scalars, text
 from fieldloom.operators import checks, dedup, evaluation, lineage, provenance
-from fieldloom.sources import reports, writers
+from fieldloom.sources import readers, reports, writers
 from fieldloom.streaming import counters
 
 
@@ -122,3 +123,70 @@ def test_settled_stream_keeps_the_last_count(spark, tmp_path):
     (tmp_path / "none").mkdir()
     empty = spark.readStream.schema("user_id int, t string").parquet(str(tmp_path / "none"))
     assert counters.settled(counters.user_counts(empty), "settled-none", "analysis_count").count() == 0
+
+
+def test_lookups(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"e{k}", k % 3) for k in range(30)], "id int, email string, userId int")
+    df.write.parquet(str(tmp_path / "u"))
+    back = spark.read.parquet(str(tmp_path / "u"))
+    assert [r.email for r in readers.by_key(back, "id", 7).collect()] == ["e7"]
+    assert readers.by_key(back, "email", "e99").count() == 0
+    one = readers.by_user(back, 2)
+    assert one.count() == 10 and "EqualTo(userId,2)" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_csvs_and_json_documents(spark, tmp_path):
+    for name, rows in (("a.csv", "File Name,Leaf #\nx.jpg,1\ny.jpg,\n"), ("b.csv", "File Name,Leaf #\nz.jpg,007\n")):
+        (tmp_path / name).write_text(rows)
+    got = readers.text_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r["File Name"], r["Leaf #"], r.source_file.rsplit("/", 1)[1]) for r in got.collect()) == [("x.jpg", "1", "a.csv"), ("y.jpg", None, "a.csv"), ("z.jpg", "007", "b.csv")]
+    assert checks.blank_rows(got, ["File Name", "Leaf #"]).first().malformed == 1
+    (tmp_path / "c.json").write_text('{\n "status": "approved",\n "guards": [{"guard_group_id": "g"}]\n}')
+    doc = readers.json_document(spark, str(tmp_path / "c.json")).first()
+    assert doc.status == "approved" and doc.guards[0].guard_group_id == "g"
+    (tmp_path / "d.json").write_text('{"status": ')
+    with pytest.raises(Exception):
+        readers.json_document(spark, str(tmp_path / "d.json"), "status string").collect()
+
+
+def test_predictions_round_trip(spark, tmp_path):
+    rows = [("p1", "a", 0, "b", 1, 0.75, [0.25, 0.75], "True", "g", ""), ("p,2", "a", 0, "a", 0, 0.5, [0.5, 0.5], "1", 'g"x', "u")]
+    names = [f.name for f in schemas.PREDICTIONS.fields]
+    df = spark.createDataFrame(rows, "path string, true_class_name string, true_class_index int, predicted_class_name string, predicted_class_index int, maximum_probability double, probabilities array<double>, correct string, group_key string, similarity_guard_group string")
+    writers.predictions_csv(df.coalesce(1), str(tmp_path / "p"))
+    back = readers.predictions(spark, str(tmp_path / "p")).collect()
+    assert sorted(map(tuple, back)) == sorted((*r[:7], True, *r[8:]) for r in rows)
+    at = names.index("maximum_probability") + 1
+    wide = df.select(*names[:at], (F.col("maximum_probability") >= 0.6).alias("accepted"), *names[at:])
+    writers.predictions_csv(wide.coalesce(1), str(tmp_path / "w"))
+    told = readers.predictions(spark, str(tmp_path / "w"), with_accepted=True)
+    assert {r.path: r.accepted for r in told.collect()} == {"p1": True, "p,2": False}
+    assert checks.accepted_column(told, 0.6).count() == 0 and checks.accepted_column(told, 0.4).count() == 1
+
+
+def test_file_inventory(spark, tmp_path):
+    for name, content in (("a.csv", b"\xef\xbb\xbfx"), ("b.csv", "é".encode()), ("c.csv", b"\xff")):
+        (tmp_path / name).write_bytes(content)
+    got = checks.inventory(readers.binaries(spark, str(tmp_path), "*.csv")).collect()
+    assert sorted((r.path[-5:], r.size_bytes, r.utf8_bom_present, r.encoding) for r in got) == [("a.csv", 4, True, "utf-8-sig"), ("b.csv", 2, False, "utf-8"), ("c.csv", 1, False, "latin-1")]
+
+
+def test_json_keys_are_sorted_at_every_depth(spark, tmp_path):
+    df = spark.createDataFrame([((2, [(1, "x")], None), 7)], "z struct<b int, a array<struct<d int, c string>>, none string>, k int")
+    writers.report_json(df, str(tmp_path / "j"))
+    writers.pretty_json(df, str(tmp_path / "p"))
+    assert spark.read.text(str(tmp_path / "j")).first().value == '{"k":7,"z":{"a":[{"c":"x","d":1}],"b":2,"none":null}}'
+    assert spark.read.text(str(tmp_path / "p"), wholetext=True).first().value.startswith('{\n  "k" : 7,')
+
+
+def test_perceptual_hash(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).random((32, 32))
+    y = x + 1e-6
+    df = spark.createDataFrame([(1, x.ravel().tolist()), (2, y.ravel().tolist()), (3, None), (4, [1.0])], "id int, p array<double>")
+    got = {r.id: r.h for r in df.select("id", scalars.perceptual_hash(F.col("p")).alias("h")).collect()}
+    n = np.arange(32)
+    low = np.array([[(x * np.outer(np.cos(np.pi * u * (2 * n + 1) / 64), np.cos(np.pi * v * (2 * n + 1) / 64))).sum() for v in range(8)] for u in range(8)])
+    bits = (low > np.median(low)).ravel()
+    assert got[1] % 2**64 == int("".join("01"[int(b)] for b in bits), 2) and got[2] == got[1] and got[3] is got[4] is None
