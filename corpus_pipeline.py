@@ -16,7 +16,11 @@ from fieldloom.staging import stage
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    Null and empty texts have the score of the model's bias alone and stay unless that rejects. Repeated rows and null
+    ids share the fate of their text. An empty table stays empty; without usable labels nothing goes.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
@@ -25,26 +29,36 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
-    Near are fingerprints within 4 bits and five-word shingle sets of a Jaccard similarity of 0.8 or more.
+    Near are fingerprints within 4 bits and five-word shingle sets of a Jaccard similarity of 0.8 or more. Null ids
+    come after all others; of rows of one id the one with the least hash of its text stays, of repeated rows one.
+    Null and empty texts, and those of white space, are one group. An empty table stays empty.
     """
     ship(spark)
     return near.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut out of every text; all documents stay."""
+    """Passages that occur more than once are cut out of every text; all documents stay.
+
+    Null texts stay null, texts of fewer than 35 words as they are; repeated rows repeat each other whole and become
+    empty. ``n_chars``, where there is one, is counted anew. An empty table stays empty.
+    """
     ship(spark)
-    return substring.dedup_texts(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    out = substring.dedup_texts(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item of five words or more go; shorter ones are no evidence for dropping a document.
+
+    Null and empty texts hold none and stay. Repeated rows and null ids stay or go as they are. Empty tables: all stay.
+    """
     ship(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text that is left."""
+    """Token counts and digests of every text that is left; null texts count as empty, repeated rows each give a row."""
     ship(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(docs, bpe.ByteBPE(ranks, public_tokenizers.PATTERN))
