@@ -3,7 +3,8 @@
 Rows are shuffled by a seeded hash within each source, ranked, and ordered by fractional rank
 ``(rank + 1/2) / rows of the source``; cutting that order into equal runs gives every shard each source's share
 to within a row. Ranks come from counts of hash ranges plus a row number inside a range, so no task ever sorts a
-whole source or the whole table.
+whole source or the whole table. Rows alike in all are counted and numbered, and their number is hashed too, so
+that no key, not even a null id that a third of all rows share, fills a range of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from fieldloom.staging import stage
 
 #: Rows in one range on average: what a single sort inside a window handles.
 RANGE_ROWS = 20_000
+#: Rows alike that one task writes out.
+ALIKE = 10_000
 
 
 def _scaled(bits32: Column, n: int) -> Column:
@@ -23,6 +26,35 @@ def _scaled(bits32: Column, n: int) -> Column:
     return F.shiftright(bits32 * F.lit(n), 32)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with column ``copy``: 0, 1, 2 ... among rows that are alike in all columns.
+
+    Rows alike are interchangeable, so they are counted, partial counts first, and written out again from the count;
+    a large count is dealt to many tasks in blocks.
+    """
+    keys = rows.columns
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("alike"))
+    few = counted.where(F.col("alike") <= ALIKE).withColumn("first", F.lit(0).cast("long"))
+    many = counted.where(F.col("alike") > ALIKE).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1, F.lit(ALIKE).cast("long"))))
+    many = many.repartition("order", "first")
+    last = F.least(F.col("alike"), F.col("first") + ALIKE) - 1
+    return few.unionByName(many).select(*keys, F.explode(F.sequence("first", last)).alias("copy"))
+
+
+def ordered(docs: DataFrame, ranges: int, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with their stratum, their place ``order`` in a seeded shuffle, and the range of places it is in."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("stratum"),
+        *[F.col(c).alias(f"carry_{c}") for c in carry],
+    ).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "stratum", "size", "text_crc32"))
+    order = F.shiftrightunsigned(F.when(F.col("copy") == 0, F.col("order")).otherwise(F.xxhash64("order", "copy")), 1)
+    return _numbered(rows).withColumn("order", order).drop("copy").withColumn("range", _scaled(F.shiftright("order", 31), ranges))
+
+
 def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` and the ``carry`` columns for every row.
 
@@ -35,15 +67,7 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, carry:
     """
     n = docs.count()
     ranges = max(1, -(-n // RANGE_ROWS))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("stratum"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 1).alias("order"),
-        *[F.col(c).alias(f"carry_{c}") for c in carry],
-    ).withColumn("range", _scaled(F.shiftright("order", 31), ranges))
+    rows = ordered(docs, ranges, seed, carry)
     ties = ["order", "doc_id", "size", "text_crc32"]
     own, here = W.partitionBy("stratum"), W.partitionBy("range").orderBy("stratum")
     counts = rows.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n"))
