@@ -181,10 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 42
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [statistics(t.as_py())[1] for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("sig"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "sig", "x"])
 
-    sample = labelled_sample(docs, labels, "quality", most, seed).select("doc_id", "y", F.col("text").cast("binary").alias("text"))
-    t = sample.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    sample = labelled_sample(docs, labels, "quality", most, seed=seed).select("doc_id", "y", "sig", F.col("text").cast("binary").alias("text"))
+    t = sample.mapInArrow(run, "doc_id long, y int, sig long, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("sig", "ascending")])
     return fit(np.array(t["x"].to_pylist(), float).reshape(-1, len(FEATURES)), t["y"].to_numpy().astype(float))
 
 
