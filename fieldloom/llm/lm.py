@@ -3,14 +3,19 @@
 Counts. Every training document's words are counted (pre-aggregated per batch, summed by word); totals, the
 vocabulary and the add-one base model come from these counts.
 
-Model. The most frequent words have a class of their own, all others share one, and the end is one more. The
-prediction for a position is the sum of its context words' vectors, each scaled by a vector of its distance; a
-class's score is that prediction's product with the class's vector plus a bias. Training starts from the unigram
-distribution; each task goes once over all training documents it holds, in minibatches with shared noise, and the
-tasks' parameters are averaged by the words they saw. Scoring normalises over all classes by batched matrix
-products. Within the shared class a word has its add-one share of the class's counts, so the whole is a
+Model. The most frequent words, CLASSES of them at most, are *symbols* of their own; all others share one symbol, and
+the end is one more. The prediction for a position is the sum of its context symbols' vectors, each scaled by a
+vector of its distance. Symbols are grouped by frequency rank into about the square root of their number of groups,
+and a symbol's probability is its group's, after the context, times its own within the group, after the context:
+both are softmaxes of the prediction's products with vectors plus biases, so the whole is normalised at the cost of
+two square roots. Within the shared symbol a word has its add-one share of the symbol's counts, so the result is a
 distribution over the vocabulary and one unseen word, like the base model.
 
+Training. Each document's symbols are staged once. Documents are dealt by a hash of id and text to *streams*, whose
+number follows from the tokens alone; a stream goes once over its documents in the order of their hashes, in
+minibatches, from the unigram distribution. A parameter becomes its start plus the mean change in the streams that
+touched it. The means are sums of whole numbers, so neither partitions nor their order change the model.
+
 Lookup. The counts of the most frequent words, as many as fit a fixed bound, are broadcast; occurrences of any
 other word are matched with its count by a join.
 """
@@ -27,17 +32,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.frequent import most_frequent
 from fieldloom.llm.labels import id_crc32
 from fieldloom.llm.text import word_hashes, words
 from fieldloom.staging import stage
 
-#: Words with a class of their own, context words, size of vectors.
-CLASSES, CONTEXT, DIM = 254, 4, 16
-#: Noise samples for a minibatch of so many words, and the learning rate of AdaGrad.
-NOISE, BATCH, RATE = 32, 512, 0.1
+#: Words that the network tells apart at most (two bytes a symbol), context words, size of vectors.
+CLASSES, CONTEXT, DIM = 16_384, 4, 16
+#: Groups drawn as noise for a minibatch of so many words, words drawn for each word, and the rate of AdaGrad.
+NOISE, OWN_NOISE, BATCH, RATE = 32, 2, 1024, 0.3
+#: Consecutive words that go into a minibatch together: the vectors of their contexts are looked up once.
+CHUNK = 64
+#: Tokens of a stream on average, and documents' tokens that are learned from at a time.
+STREAM, LEARN = 1 << 20, 1 << 16
 #: Words whose counts are broadcast, at most.
 HEAD = 1 << 18
 _SLICE = 1 << 19
+#: Parameters in one row of a sum, and the fraction of one that is kept.
+_BLOCK, _UNIT = 1 << 13, 1 << 24
 END = xxhash.xxh64_intdigest(b"", 1) - (1 << 64 if xxhash.xxh64_intdigest(b"", 1) >> 63 else 0)
 
 
@@ -75,7 +87,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Totals of the counts, and the most frequent words by hash with their counts and classes."""
+    """Totals of the counts, and the most frequent words by hash with their counts and symbols (``classes``)."""
 
     tokens: int
     size: int
@@ -87,17 +99,17 @@ class Vocabulary:
 
     @property
     def other(self) -> int:
-        """The class of words without one of their own; the end's is the next."""
+        """The symbol of words without one of their own; the end's is the next, and what is before a text the one after."""
         return self.n_classes
 
     @property
     def other_total(self) -> int:
-        """Denominator of a word's share in that class."""
+        """Denominator of a word's share in that symbol."""
         own = self.classes < self.n_classes
         return self.tokens - int(self.counts[own].sum()) - self.ends + self.size - int(own.sum()) - (self.ends > 0) + 1
 
     def noise(self) -> np.ndarray:
-        """Add-one unigram distribution over the classes."""
+        """Add-one unigram distribution over the symbols."""
         n = np.zeros(self.n_classes + 2)
         own = self.classes < self.n_classes
         n[self.classes[own]] = self.counts[own]
@@ -112,29 +124,20 @@ class Vocabulary:
         return at, self.words[at] == h
 
     def class_of(self, h: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-        c = np.full(len(h), self.other, np.int16)
+        c = np.full(len(h), self.other, np.uint16)
         c[known] = self.classes[at[known]]
         c[h == END] = self.n_classes + 1
         return c
 
 
-def vocabulary(counts: DataFrame, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, classes: int | None = None, head: int = HEAD) -> Vocabulary:
     """The vocabulary of a table of counts; words as frequent as the bound allows are collected."""
+    classes = CLASSES if classes is None else classes
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("e")).first()
-    bin_of = F.floor(F.log2("n") * 16)
-    left, least = head, None
-    for b, n in sorted(counts.groupBy(bin_of.alias("b")).count().collect(), reverse=True):
-        if n > left:
-            break
-        left, least = left - n, b
-    if least is None:
-        w, n = np.empty(0, np.int64), np.empty(0, np.int64)
-    else:
-        t = counts.where(bin_of >= least).orderBy("word").toArrow()
-        w, n = t["word"].to_numpy(), t["n"].to_numpy()
+    w, n = most_frequent(counts, "word", head, F.col("word") == END)
     own = np.lexsort((w, -n))
     own = own[w[own] != END][:classes]
-    of = np.full(len(w), len(own), np.int16)
+    of = np.full(len(w), len(own), np.int32)
     of[own] = np.arange(len(own))
     of[w == END] = len(own) + 1
     return Vocabulary(total["n"], total["v"], total["e"], w, n, of, len(own))
@@ -145,137 +148,291 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, head: int = HEAD) -> V
 
 @dataclass
 class LogBilinear:
-    """Context vectors (one more than classes, for before the text), distance vectors, class vectors and biases."""
+    """Context vectors of symbols (one more, for before the text), distance vectors, group vectors and biases, and
+    vectors and biases of the words within their groups of ``width`` consecutive words."""
 
     context: np.ndarray
     distance: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    word: np.ndarray
+    word_bias: np.ndarray
+    width: int
 
     @classmethod
     def start(cls, noise: np.ndarray, dim: int = DIM, context: int = CONTEXT, seed: int = 42) -> LogBilinear:
+        """The unigram distribution ``noise`` over words, the shared symbol and the end, and small random vectors."""
         r = np.random.default_rng(seed)
         draw = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
-        return cls(draw(len(noise) + 1, dim), np.full((context, dim), 1 / context, np.float32), draw(len(noise), dim), np.log(noise).astype(np.float32))
+        words = len(noise) - 2
+        width = max(1, int(np.ceil(np.sqrt(words))))
+        groups = _group_noise(noise, width)
+        own = noise[:words] / np.repeat(groups[:-2], width)[:words]
+        return cls(draw(len(noise) + 1, dim), np.full((context, dim), 1 / context, np.float32), draw(len(groups), dim), np.log(groups).astype(np.float32), draw(words, dim), np.log(own).astype(np.float32), width)
+
+    @property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.distance, self.target, self.bias, self.word, self.word_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.distance, self.target, self.bias)])
+        return np.concatenate([x.ravel() for x in self.tables])
 
     def like(self, flat: np.ndarray) -> LogBilinear:
         parts, at = [], 0
-        for x in (self.context, self.distance, self.target, self.bias):
+        for x in self.tables:
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return LogBilinear(*parts)
+        return LogBilinear(*parts, self.width)
+
+    def group_of(self, c: np.ndarray) -> np.ndarray:
+        words = len(self.word)
+        c = c.astype(np.int64)
+        return np.where(c < words, c // self.width, c - words + len(self.bias) - 2)
 
     def predict(self, before: np.ndarray) -> np.ndarray:
-        """The vector predicted for each position from the classes before it."""
+        """The vector predicted for each position from the symbols before it."""
         q = self.context[before[:, 0]] * self.distance[0]
         for d in range(1, before.shape[1]):
             q += self.context[before[:, d]] * self.distance[d]
         return q
 
-    def log_probs(self, c: np.ndarray, before: np.ndarray, step: int = 1024) -> np.ndarray:
-        """Natural log-probability of each class in ``c`` after its context, normalised over all classes."""
-        out, target = np.empty(len(c), np.float64), np.ascontiguousarray(self.target.T)
+    def log_probs(self, c: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each symbol in ``c`` after its context, normalised over all symbols."""
+        return self._log_probs(c, self.predict(before))
+
+    def text_log_probs(self, row: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """The same for the ``real`` places of a row of texts as ``laid_out`` gives it."""
+        vectors, q = self.context[row], np.zeros((len(row), self.context.shape[1]), np.float32)
+        for d, scale in enumerate(self.distance, 1):
+            q[d:] += vectors[:-d] * scale
+        return self._log_probs(row[real], q[real])
+
+    def _log_probs(self, c: np.ndarray, q: np.ndarray, step: int = 1024) -> np.ndarray:
+        out, group = np.empty(len(c), np.float64), self.group_of(c)
+        target = np.ascontiguousarray(self.target.T)
         for k in range(0, len(c), step):
-            s = self.predict(before[k : k + step]) @ target
-            s += self.bias
-            own = s[np.arange(len(s)), c[k : k + step]]
-            top = s.max(axis=1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[k : k + step] = own - top - np.log(s.sum(axis=1))
+            out[k : k + step] = _log_softmax(q[k : k + step], target, self.bias, group[k : k + step])
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(len(self.bias) - 1))
+        for g in range(len(self.bias) - 2):
+            first = g * self.width
+            target = np.ascontiguousarray(self.word[first : first + self.width].T)
+            for k in range(cuts[g], cuts[g + 1], step):
+                at = order[k : min(k + step, cuts[g + 1])]
+                out[at] += _log_softmax(q[at], target, self.word_bias[first : first + self.width], c[at].astype(np.int64) - first)
         return out
 
 
+def _group_noise(noise: np.ndarray, width: int) -> np.ndarray:
+    """Probabilities of the groups of words, the shared symbol and the end."""
+    words = len(noise) - 2
+    return np.append(np.add.reduceat(noise[:words], np.arange(0, words, width)), noise[-2:]) if words else noise[-2:]
+
+
+def _log_softmax(q: np.ndarray, target: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    s = q @ target
+    s += bias
+    value = s[np.arange(len(s)), own]
+    top = s.max(axis=1)
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return value - top - np.log(s.sum(axis=1))
+
+
 def contexts(c: np.ndarray, lengths: np.ndarray, start: int, context: int = CONTEXT) -> np.ndarray:
-    """The classes before each position of each text, nearest first; ``start`` before the text."""
+    """The symbols before each position of each text, nearest first; ``start`` before the text."""
     place = np.arange(len(c)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.full((len(c), context), start, np.int16)
+    out = np.full((len(c), context), start, np.uint16)
     for d in range(1, context + 1):
         inside = np.flatnonzero(place >= d)
         out[inside, d - 1] = c[inside - d]
     return out
 
 
+def laid_out(texts: list[np.ndarray], start: int, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in one row, before each as many ``start`` symbols as a context has, and which places are a text's own."""
+    before = np.full(context, start, np.uint16)
+    row = np.concatenate([x for t in texts for x in (before, t)])
+    real = np.ones(len(row), bool)
+    ends = np.cumsum([len(t) + context for t in texts])
+    real[(np.r_[0, ends[:-1]][:, None] + np.arange(context)).ravel()] = False
+    return row, real
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
 class Trainer:
-    """AdaGrad on the noise-contrastive objective, with noise shared by a minibatch."""
+    """AdaGrad on the noise-contrastive objective: of groups, with noise shared by a minibatch, and of words within
+    their group, with noise of their own."""
 
     def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int):
         self.m = model.like(model.flat().copy())
-        self.noise, self.log_kq = noise, np.log(NOISE * noise).astype(np.float32)
+        self.groups = _group_noise(noise, model.width)
+        self.log_kq = np.log(NOISE * self.groups).astype(np.float32)
+        self.own_log_kq = np.log(OWN_NOISE) + model.word_bias  # the start is the unigram distribution
+        self.ends = np.concatenate([[0.0], np.cumsum(noise[:-2])])
         self.r = np.random.default_rng(seed)
-        self.seen = [np.full_like(x, 1e-3) for x in (self.m.context, self.m.distance, self.m.target, self.m.bias)]
+        self.seen = [np.full_like(x, 1e-3) for x in self.m.tables]
         self.words = 0
 
     def learn(self, c: np.ndarray, before: np.ndarray) -> None:
-        """One pass over positions in random order."""
-        order = self.r.permutation(len(c))
-        drawn = self.r.choice(len(self.noise), (-(-len(c) // BATCH), NOISE), p=self.noise)
-        for k in range(0, len(c), BATCH):
-            own = order[k : k + BATCH]
-            self._step(c[own], before[own], drawn[k // BATCH])
-        self.words += len(c)
-
-    def _step(self, c: np.ndarray, before: np.ndarray, x: np.ndarray) -> None:
-        m, n = self.m, len(c)
-        q = m.predict(before)
-        true = (q * m.target[c]).sum(axis=1) + m.bias[c] - self.log_kq[c]
-        false = q @ m.target[x].T + m.bias[x] - self.log_kq[x]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30))) / n
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30))) / n
-        g_q = up[:, None] * m.target[c] + down @ m.target[x]
-        g_target = _summed(np.concatenate([c, x]), np.concatenate([up[:, None] * q, down.T @ q]), m.target)
-        g_bias = _summed(np.concatenate([c, x]), np.concatenate([up, down.sum(axis=0)])[:, None], m.bias[:, None])[:, 0]
-        g_context, g_distance = np.zeros_like(m.context), np.empty_like(m.distance)
-        for d in range(before.shape[1]):
-            g_context += _summed(before[:, d], g_q * m.distance[d], m.context)
-            g_distance[d] = (g_q * m.context[before[:, d]]).sum(axis=0)
-        for value, seen, g in zip((m.context, m.distance, m.target, m.bias), self.seen, (g_context, g_distance, g_target, g_bias)):
-            seen += g * g
-            value += RATE * g / np.sqrt(seen)
-
-
-def _summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Sums of the rows that go to each place, in the shape of ``like``."""
-    width = like.shape[1]
-    flat = (at.astype(np.int64)[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(flat, rows.ravel(), like.size).reshape(like.shape).astype(like.dtype)
-
-
-def train(docs: DataFrame, vocab: Vocabulary, seed: int = 42) -> LogBilinear:
-    """A model from all of ``docs(text)``; each task trains on its rows and the parameters are averaged."""
+        """One pass over positions with contexts of their own, in random order."""
+        windows = np.concatenate([before[:, ::-1], c[:, None]], axis=1)
+        self._pass(windows, np.ones((len(c), 1), bool))
+
+    def learn_texts(self, row: np.ndarray, real: np.ndarray) -> None:
+        """One pass over the ``real`` places of a row of texts as ``laid_out`` gives it, its chunks in random order."""
+        context = len(self.m.distance)
+        chunks = -(-(len(row) - context) // CHUNK)
+        short = context + chunks * CHUNK - len(row)
+        row, real = np.pad(row, (0, short)), np.pad(real, (0, short))
+        at = np.arange(chunks)[:, None] * CHUNK
+        self._pass(row[at + np.arange(context + CHUNK)], real[at + context + np.arange(CHUNK)])
+
+    def _pass(self, windows: np.ndarray, real: np.ndarray) -> None:
+        size = max(1, BATCH // real.shape[1])
+        order = self.r.permutation(len(windows))
+        drawn = self.r.choice(len(self.groups), (-(-len(windows) // size), NOISE), p=self.groups)
+        for k in range(0, len(windows), size):
+            own = order[k : k + size]
+            if real[own].any():
+                self._step(windows[own], real[own], drawn[k // size])
+        self.words += int(real.sum())
+
+    def _step(self, windows: np.ndarray, real: np.ndarray, x: np.ndarray) -> None:
+        """A minibatch: each window is a context and the words after it, of which the ``real`` ones are learned."""
+        m, span, length = self.m, len(self.m.distance), real.shape[1]
+        shifted = [slice(span - d, span - d + length) for d in range(1, span + 1)]
+        vectors = m.context[windows]
+        q = sum(vectors[:, at] * scale for at, scale in zip(shifted, m.distance))[real]
+        c = windows[:, span:][real]
+        n, g = len(c), m.group_of(c)
+        target, noise = m.target[g], m.target[x]
+        true = np.einsum("nd,nd->n", q, target) + m.bias[g] - self.log_kq[g]
+        false = q @ noise.T + m.bias[x] - self.log_kq[x]
+        up, down = _sigmoid(-true) / n, -_sigmoid(false) / n
+        g_q = up[:, None] * target + down @ noise
+        changes = [(2, np.concatenate([g, x]), np.concatenate([up[:, None] * q, down.T @ q])), (3, np.concatenate([g, x]), np.concatenate([up, down.sum(axis=0)]))]
+        inside = np.flatnonzero(c < len(m.word))
+        if len(inside):
+            w, own = c[inside].astype(np.int64), q[inside]
+            first = g[inside] * m.width
+            last = np.minimum(first + m.width, len(m.word))
+            low, high = self.ends[first], self.ends[last]
+            z = np.searchsorted(self.ends, low + self.r.random((OWN_NOISE, len(w))) * (high - low), side="right") - 1
+            z = np.clip(z, first, last - 1)
+            u = m.word[w]
+            up = _sigmoid(self.own_log_kq[w] - np.einsum("nd,nd->n", own, u) - m.word_bias[w]) / n
+            at, rows, sums, back = [w], [up[:, None] * own], [up], up[:, None] * u
+            for z in z:
+                v = m.word[z]
+                down = -_sigmoid(np.einsum("nd,nd->n", own, v) + m.word_bias[z] - self.own_log_kq[z]) / n
+                back += down[:, None] * v
+                at.append(z)
+                rows.append(down[:, None] * own)
+                sums.append(down)
+            g_q[inside] += back
+            at = np.concatenate(at)
+            changes += [(4, at, np.concatenate(rows)), (5, at, np.concatenate(sums))]
+        spread, g_vectors = np.zeros((*real.shape, g_q.shape[1]), np.float32), np.zeros_like(vectors)
+        spread[real] = g_q
+        for at, scale in zip(shifted, m.distance):
+            g_vectors[:, at] += spread * scale
+        distance = np.stack([np.einsum("mld,mld->d", spread, vectors[:, at]) for at in shifted])
+        changes += [(0, windows.ravel(), g_vectors.reshape(-1, g_q.shape[1])), (1, np.arange(span), distance)]
+        for table, at, rows in changes:
+            self._add(m.tables[table], self.seen[table], at, rows)
+
+    @staticmethod
+    def _add(value: np.ndarray, seen: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+        """An AdaGrad step on the rows of a table that the gradients, summed by row, go to."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        g, own = np.add.reduceat(rows[order], new, axis=0), at[new]
+        total = seen[own] + g * g
+        seen[own] = total
+        value[own] += RATE * g / np.sqrt(total)
+
+
+def streams_of(vocab: Vocabulary) -> int:
+    """Number of streams: from the training tokens alone."""
+    return max(1, round(vocab.tokens / STREAM))
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, seed: int = 42) -> LogBilinear:
+    """A model from all of ``encoded(mix, symbols)``: a stream trains on the documents whose hash deals them to it."""
     noise = vocab.noise()
     start = LogBilinear.start(noise, seed=seed)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, noise, start))
+    streams = streams_of(vocab)
+    shared = encoded.sparkSession.sparkContext.broadcast((vocab.n_classes, noise, start))
+    size = start.flat().size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, noise, start = shared.value
-        own = Trainer(start, noise, seed)
-        for b in batches:
-            for _, h, lengths in _slices(b.column(0)):
-                c = vocab.class_of(h, *vocab.find(h))
-                own.learn(c, contexts(c, lengths, vocab.n_classes + 2))
-        if own.words:
-            flat = own.m.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * own.words), pa.array(np.full(len(flat), own.words))], ["at", "value", "words"])
+        n_classes, noise, start = shared.value
+        begun = start.flat()
+        total, touched = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        name, own, held, waiting = None, None, [], 0
+
+        def learn() -> None:
+            own.learn_texts(*laid_out(held, n_classes + 2))
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "at long, value double, words long")
-    mean = parts.groupBy("at").agg((F.sum("value") / F.sum("words")).alias("value")).orderBy("at").toArrow()
-    return start.like(mean["value"].to_numpy()) if mean.num_rows else start
+        def close() -> None:
+            if held:
+                learn()
+            change = own.m.flat() - begun
+            total[:] += np.rint(change.astype(np.float64) * _UNIT).astype(np.int64)
+            touched[:] += change != 0
+
+        for b in batches:
+            for stream, symbols in zip(b.column(0).to_pylist(), b.column(1)):
+                if stream != name:
+                    if own:
+                        close()
+                    name, own, held, waiting = stream, Trainer(start, noise, seed + stream), [], 0
+                held.append(np.frombuffer(symbols.as_py(), "<u2"))
+                waiting += len(held[-1])
+                if waiting >= LEARN:
+                    learn()
+                    held, waiting = [], 0
+        if own:
+            close()
+            pad = np.zeros(-size % _BLOCK, np.int64)
+            rows = [np.concatenate([x, pad]).reshape(-1, _BLOCK) for x in (total, touched)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows[0]))), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in rows)], ["block", "total", "touched"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for block, *parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                found = [np.frombuffer(x.as_py(), np.int64) for x in parts]
+                sums[block] = [x + y for x, y in zip(sums[block], found)] if block in sums else found
+        if sums:
+            means = [(block, (total / np.maximum(touched, 1) / _UNIT).astype(np.float32).tobytes()) for block, (total, touched) in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in means], pa.int64()), pa.array([x for _, x in means], pa.binary())], ["block", "change"])
+
+    tasks = min(streams, 10_000)
+    dealt = encoded.select(F.pmod("mix", F.lit(streams)).cast("int").alias("stream"), "mix", "symbols")
+    dealt = dealt.repartitionByRange(tasks, "stream").sortWithinPartitions("stream", "mix", "symbols").select("stream", "symbols")
+    parts = dealt.mapInArrow(run, "block long, total binary, touched binary")
+    means = parts.repartition(min(-(-size // _BLOCK), 64), "block").mapInArrow(add, "block long, change binary").orderBy("block").toArrow()
+    if not means.num_rows:
+        return start
+    return start.like(start.flat() + np.concatenate([np.frombuffer(x, np.float32) for x in means["change"].to_pylist()])[:size])
 
 
 # -------------------------------------------------------------------------------------------------- scoring
 
 
-def _first_pass(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
-    """Per row: what the broadcast tables give, and the words to be looked up (``word``, ``times``)."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "n_other", "word", "times"]
+def _encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Per row: its symbols, what the broadcast tables give, and the words to be looked up (``word``, ``times``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    names = ["rid", "doc_id", "held_out", "mix", "n_tokens", "n_known", "base", "n_other", "shares", "symbols", "word", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value
+        vocab = shared.value
         rid = TaskContext.get().partitionId() << 33
         log_count = np.log10(vocab.counts + 1.0)
         for b in batches:
@@ -286,7 +443,6 @@ def _first_pass(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataF
                 logs = np.where(known, log_count[at] if len(log_count) else 0.0, 0.0)
                 other = c == vocab.other
                 starts = np.cumsum(lengths) - lengths
-                lm = model.log_probs(c, contexts(c, lengths, vocab.n_classes + 2)) / np.log(10)
                 total = lambda x: np.add.reduceat(x, starts)
                 lost = np.flatnonzero(~known)
                 row = np.repeat(np.arange(n), lengths)[lost]
@@ -297,26 +453,51 @@ def _first_pass(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataF
                 offsets = pa.array(np.searchsorted(r[new], np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (w[new], times.astype(np.int32))]
                 part = b.slice(first, n)
+                texts = [c[a : a + k].astype("<u2").tobytes() for a, k in zip(starts.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + np.arange(n)),
-                        part.column("doc_id"),
-                        part.column("held_out"),
+                        *(part.column(x) for x in ("doc_id", "held_out", "mix")),
                         pa.array(lengths),
                         pa.array(total(known.astype(np.int64))),
                         pa.array(total(logs)),
-                        pa.array(total(lm + np.where(other, logs, 0.0))),
                         pa.array(total(other.astype(np.int64))),
+                        pa.array(total(np.where(other, logs, 0.0))),
+                        pa.array(texts, pa.binary()),
                         *lists,
                     ],
                     names,
                 )
                 rid += n
 
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, n_other long, word array<long>, times array<int>"
+    schema = "rid long, doc_id long, held_out boolean, mix long, n_tokens long, n_known long, base double, n_other long, shares double, symbols binary, word array<long>, times array<int>"
     return docs.mapInArrow(run, schema)
 
 
+def _scored(encoded: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
+    """``encoded`` without its symbols and words, and with ``lm``: their log10 probability under the network."""
+    shared = encoded.sparkSession.sparkContext.broadcast((vocab.n_classes, model))
+    rows = encoded.drop("mix", "word", "times")
+    kept = [c for c in rows.columns if c != "symbols"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_classes, model = shared.value
+        for b in batches:
+            lm, held, first, size = [], [], 0, 0
+            for k in range(b.num_rows):
+                held.append(np.frombuffer(b.column("symbols")[k].as_py(), "<u2"))
+                size += len(held[-1])
+                if size >= _SLICE or k == b.num_rows - 1:
+                    lengths = np.fromiter(map(len, held), np.int64, len(held))
+                    p = model.text_log_probs(*laid_out(held, n_classes + 2)) / np.log(10)
+                    lm.append(np.add.reduceat(p, np.cumsum(lengths) - lengths))
+                    held, size = [], 0
+            if lm:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.concatenate(lm))], [*kept, "lm"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in kept) + ", lm double")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs(doc_id, text)``.
 
@@ -324,19 +505,20 @@ def score(docs: DataFrame) -> DataFrame:
     text with its end. Words are told apart by 64 hash bits.
 
     Null or empty texts: the end alone. A null doc_id counts as the empty text for ``held_out``. Repeated rows are
-    kept and count each. Empty table: no rows. Nothing to learn from: every token is the one unseen word.
+    kept and count each. Empty table: no rows. Nothing to learn from: every token is the one unseen word. The scores
+    don't depend on how the rows are partitioned; rows alike in id and text go to one stream.
     """
     held_out = (id_crc32(F.col("doc_id")) % 7 == 2).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, F.col("text").cast("binary").alias("text"))
-    learned = rows.where("not held_out")
-    counts = stage(count_words(learned), "counts")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("binary")
+    rows = docs.select(doc_id.alias("doc_id"), held_out, F.xxhash64(F.lit(42), doc_id, text).alias("mix"), text.alias("text"))
+    counts = stage(count_words(rows.where("not held_out")), "counts")
     vocab = vocabulary(counts)
-    model = train(learned, vocab)
-    first = stage(_first_pass(rows, vocab, model), "scored")
-    rest = first.select("rid", F.explode(F.arrays_zip("word", "times")).alias("w")).select("rid", "w.word", "w.times")
+    encoded = stage(_encoded(rows, vocab), "symbols")
+    model = train(encoded.where("not held_out"), vocab)
+    rest = encoded.select("rid", F.explode(F.arrays_zip("word", "times")).alias("w")).select("rid", "w.word", "w.times")
     rest = rest.join(counts, "word").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    whole = first.drop("word", "times").join(rest, "rid", "left")
+    whole = _scored(encoded, vocab, model).join(rest, "rid", "left")
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     base = F.col("base") + logs - F.col("n_tokens") * float(np.log10(vocab.tokens + vocab.size + 1))
-    lm = F.col("lm") + logs - F.col("n_other") * float(np.log10(vocab.other_total))
+    lm = F.col("lm") + F.col("shares") + logs - F.col("n_other") * float(np.log10(vocab.other_total))
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), lm.alias("score"))
