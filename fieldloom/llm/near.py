@@ -3,7 +3,9 @@
 Two sets of Jaccard similarity 4/5 or more share at least 4/5 of either. In any fixed order of all shingles the first
 ``n - ceil(4n/5) + 1`` of each set therefore have one in common (the prefix filter), and these are the keys of an
 equi-join. The order puts frequent shingles last. Frequencies come from a bounded sample of the texts; they decide
-only how many candidates there are, never which pairs are found. Every candidate is verified on its whole sets.
+only how many candidates there are, never which pairs are found. A candidate is dropped if the parities of its two
+sets in BITS buckets differ in more places than near sets can differ in members; every other one is verified on its
+whole sets.
 
 A key of many documents first links all of them with one (a star); the rest of its pairs are looked at only where
 that left them in different groups, so that a large group of near copies costs a row for each member.
@@ -19,12 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.simhash import BLOCK, fingerprint, near_links, shingle_hashes
+from fieldloom.llm.frequent import most_frequent
+from fieldloom.llm.simhash import BLOCK, fingerprint_of, near_links, shingle_hashes
 from fieldloom.operators.graph import connected_components
 from fieldloom.staging import stage
 
 #: Texts whose shingles are counted for the order, and the most shingles that it puts last, about.
-SAMPLE, FREQUENT = 1 << 16, 1 << 17
+SAMPLE, FREQUENT = 1 << 14, 1 << 17
+#: Buckets of the parity sketch.
+BITS = 512
 #: Members of a key from which on it is linked as a star first.
 STAR = 16
 
@@ -34,6 +39,12 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width).view(np.int64))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's members in each of BITS buckets, as longs; sets of which k members differ differ in k bits at most."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix(s: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order of frequency, then hash; one of them at least is in any set near it."""
     n = len(s)
@@ -60,30 +71,32 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["key", "n"])
 
     counts = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
-    t = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    keys, n = t["key"].to_numpy(), t["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order], every
+    keys, n = most_frequent(stage(counts, "frequent"), "key", FREQUENT)
+    return keys, n, every
 
 
 def _described(docs: DataFrame, width: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(doc, sig, fp, sid, n, keys)``: fingerprint, the hash, size and prefix of the shingle set."""
+    """``(doc, sig, fp, sid, n, keys, odd)``: fingerprint, the hash, size, prefix and parities of the shingle set."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for b in batches:
             fp, sid, n, first = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int32), []
+            odd = np.empty((b.num_rows, BITS // 64), np.int64)
             for k, t in enumerate(b.column("text")):
                 text = t.as_py()
-                s = shingle_set(text, width)
-                fp[k], sid[k], n[k] = fingerprint(text, width), xxhash.xxh64_intdigest(s.tobytes()), len(s)
+                h = shingle_hashes(text, width)
+                s = np.unique(h.view(np.int64))
+                fp[k], sid[k], n[k] = fingerprint_of(h), xxhash.xxh64_intdigest(s.tobytes()), len(s)
                 first.append(prefix(s, keys, counts))
+                odd[k] = parities(s)
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("sig"), pa.array(fp.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(n), lists], ["doc", "sig", "fp", "sid", "n", "keys"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, BITS // 64, dtype=np.int32)), pa.array(odd.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("sig"), pa.array(fp.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(n), lists, bits], ["doc", "sig", "fp", "sid", "n", "keys", "odd"])
 
-    return docs.mapInArrow(run, "doc long, sig long, fp long, sid long, n int, keys array<long>")
+    return docs.mapInArrow(run, "doc long, sig long, fp long, sid long, n int, keys array<long>, odd array<long>")
 
 
 # ------------------------------------------------------------------------------------------------ candidates
@@ -150,10 +163,22 @@ def _candidates(postings: DataFrame, star: bool) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long").distinct()
 
 
+def _maybe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose parities allow that they are near: sets of Jaccard 4/5 differ in a ninth of their members together."""
+    side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.lit(0)
+    for k in range(BITS // 64):
+        differ = differ + F.bit_count(F.get("odda", F.lit(k)).bitwiseXOR(F.get("oddb", F.lit(k))))
+    return both.where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs whose whole shingle sets are near, as links ``(src, dst)`` of their components."""
+    pairs = stage(_maybe(pairs, classes), "maybe")
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ids, "sid").select("sid", "doc", "sig", "component")
+    # staged, so that its size is known: a small one is broadcast, and the texts aren't shuffled
+    wanted = stage(classes.join(ids, "sid").select("sid", "doc", "sig", "component"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,9 +221,9 @@ def keep_one(docs: DataFrame, tau: int = 4, width: int = 5) -> DataFrame:
     found = connected_components(near_links(reps, tau).unionByName(known)).withColumnRenamed("node", "fp")
     reps = stage(reps.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
 
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "sig", "fp")).alias("x")).select("sid", "x.*")
-    classes = stage(classes.join(reps.select("fp", "component"), "fp").select("sid", "doc", "sig", "component"), "classes")
-    once = rows.where("n > 0").join(classes, ["sid", "doc", "sig"]).dropDuplicates(["sid"])
+    classes = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "sig", "fp", "n", "odd")).alias("x")).select("sid", "x.*")
+    classes = stage(classes.join(reps.select("fp", "component"), "fp").select("sid", "doc", "sig", "component", "n", "odd"), "classes")
+    once = rows.where("n > 0").drop("n", "odd").join(classes, ["sid", "doc", "sig"]).dropDuplicates(["sid"])
     postings = once.select("sid", "n", "component", F.posexplode("keys").alias("p", "key"))
     hot = counts * every > BLOCK // 2
     if hot.any():

@@ -46,7 +46,11 @@ def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.nda
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
     """The fingerprint as an unsigned integer: bit b is set if it is set in over half the shingle hashes."""
-    h = shingle_hashes(text, width, seed)
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The same from the shingles' hashes."""
     if len(h) < 2:
         return int(h[0]) if len(h) else 0
     ones = np.zeros((8, 8), np.int64)

@@ -362,10 +362,13 @@ def test_pipeline_equals_brute_force(spark):
     kept = [set(rows)]
 
     fps = {i: fingerprint(t.encode(), 5) for i, t in rows.items()}
+    words = {i: t.encode().lower().split() for i, t in rows.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
     name = {i: i for i in fps}
     for i in fps:
         for j in fps:
-            if i < j and (fps[i] ^ fps[j]).bit_count() <= 4 and name[i] != name[j]:
+            if i < j and name[i] != name[j] and near(i, j):
                 a, b = sorted((name[i], name[j]))
                 name = {k: a if v == b else v for k, v in name.items()}
     rows = {i: t for i, t in rows.items() if name[i] == i}
