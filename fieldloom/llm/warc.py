@@ -135,7 +135,10 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system that a Python process on an executor reaches ``uri`` by."""
+    """The file system that a Python process on an executor reaches ``uri`` by: what pyarrow knows (file, hdfs, s3, gs).
+
+    Archives in a store that only Spark reaches are for ``read_files``; it has no writer.
+    """
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
@@ -215,7 +218,7 @@ def read_archives(archives: DataFrame, texts: bool = False) -> DataFrame:
                     yield from _batches(read_records(stream), texts)
 
     tasks = min(max(archives.count(), 1), 10_000)
-    return archives.select("path").repartition(tasks, "path").mapInArrow(run, FIELDS + ", url string, payload binary" * texts)
+    return archives.select("path").repartition(tasks).mapInArrow(run, FIELDS + ", url string, payload binary" * texts)
 
 
 def read_files(spark: SparkSession, glob: str, texts: bool = False) -> DataFrame:
