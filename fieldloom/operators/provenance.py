@@ -244,3 +244,33 @@ def normalised_upstream(bodies: DataFrame) -> DataFrame:
         "id", F.coalesce(holds & (F.size(top) > 0), F.lit(False)).alias("valid"), p["class_name"].alias("disease"), p["class_index"].alias("classIndex"), p["model_confidence"].alias("modelConfidence"),
         crop.alias("crop"), condition.alias("condition"), healthy.alias("healthy"), top.alias("topPredictions"), F.slice("b.limitations", 1, schemas.MAX_LIMITATIONS).alias("limitations"),
     )
+
+
+def string_items(body: Column, path: str, most: int = schemas.MAX_LIMITATIONS) -> Column:
+    """The first texts of a JSON array at a path; items of other types are left out, and so is all where there is no array."""
+    items = F.try_variant_get(F.try_parse_json(body), path, "array<variant>")
+    texts = F.filter(items, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    return F.slice(F.coalesce(F.transform(texts, lambda x: F.variant_get(x, "$", "string")), F.array().cast("array<string>")), 1, most)
+
+
+def prediction_response(outcomes: DataFrame) -> DataFrame:
+    """``(id, response)``: a model result as the nested document that the service answers with."""
+    p = F.col("model_confidence")
+    message = F.when(F.col("accepted"), F.lit(None).cast("string")).otherwise("The model is not confident about this image.")
+    prediction = F.struct("class_name", "class_index", p.alias("model_confidence"), "accepted", "uncertain", message.alias("message"))
+    top = F.array(F.struct("class_name", "class_index", p.alias("model_confidence")))
+    policy = F.struct(F.lit(schemas.CONFIDENCE_METHODS[0]).alias("method"), F.col("confidence_threshold").alias("threshold"), F.lit(schemas.CONFIDENCE_LABEL).alias("label"), F.col("production_calibrated"))
+    return outcomes.select("id", F.struct(F.lit("success").alias("status"), prediction.alias("prediction"), top.alias("top_predictions"), policy.alias("confidence_policy"), F.array().cast("array<string>").alias("limitations")).alias("response"))
+
+
+def registration_errors(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """``(id, error)`` of each registration (id, name, email, password): the first rule it breaks, null if none.
+
+    All three must be given, the password must have six characters, and the email, as it is stored, must be new.
+    """
+    blank = lambda c: text.given(F.col(c)).isNull()
+    email = text.normalised_email(F.col("email"))
+    known = users.select(text.normalised_email(F.col("email")).alias("stored"), F.lit(True).alias("taken")).distinct()
+    joined = requests.withColumn("stored", email).join(known, "stored", "left")
+    error = F.when(blank("name") | blank("email") | blank("password"), "missing_fields").when(F.char_length("password") < 6, "password_too_short").when(F.col("taken"), "email_taken")
+    return joined.select("id", error.alias("error"))

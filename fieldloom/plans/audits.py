@@ -198,6 +198,39 @@ def provenance_agreement(spark, d):
     )
 
 
+_ITEMS = """(SELECT p_partkey AS id, '{"limitations": [' || array_to_string(list_transform(range(0, p_partkey % 14), lambda i: CASE i % 4 WHEN 0 THEN '"t' || i || '"' WHEN 1 THEN CAST(i AS VARCHAR) WHEN 2 THEN '"u"' ELSE 'null' END), ',') || ']}' AS body FROM part)"""
+
+
+@query(f"""SELECT id, array_to_string(list_transform(list_filter(CAST(json_extract(body, '$.limitations') AS JSON[]), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$')[:10], ',') AS limitations FROM {_ITEMS}""")
+def limitations(spark, d):
+    k = F.col("p_partkey")
+    item = lambda i: F.when(i % 4 == 0, F.concat(F.lit('"t'), i, F.lit('"'))).when(i % 4 == 1, i.cast("string")).when(i % 4 == 2, '"u"').otherwise("null")
+    items = F.when(k % 14 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(k % 14 - 1, F.lit(0))), item))
+    body = F.concat(F.lit('{"limitations": ['), F.array_join(items, ","), F.lit("]}"))
+    return b.table(spark, d, "part").select(k.alias("id"), F.array_join(provenance.string_items(body, "$.limitations"), ",").alias("limitations"))
+
+
+@query(
+    f"""SELECT id, class_name AS name, class_index AS place, CAST(round(model_confidence * 100) AS BIGINT) AS pct, accepted, uncertain, NOT accepted AS has_message, 1 AS n_top, confidence_threshold AS threshold, production_calibrated AS calibrated FROM {b.OUTCOMES}"""
+)
+def prediction_responses(spark, d):
+    r = provenance.prediction_response(b.outcomes(spark, d))
+    p, c = F.col("response.prediction"), F.col("response.confidence_policy")
+    return r.select(
+        "id", p["class_name"].alias("name"), p["class_index"].alias("place"), F.round(p["model_confidence"] * 100).cast("long").alias("pct"), p["accepted"].alias("accepted"), p["uncertain"].alias("uncertain"), p["message"].isNotNull().alias("has_message"),
+        F.size("response.top_predictions").alias("n_top"), c["threshold"].alias("threshold"), c["production_calibrated"].alias("calibrated"),
+    )
+
+
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'missing_fields' WHEN c_custkey % 5 = 0 THEN 'password_too_short' WHEN c_custkey IN (SELECT s_suppkey FROM supplier) THEN 'email_taken' END AS error FROM customer"""
+)
+def registration_errors(spark, d):
+    k = F.col("c_custkey")
+    requests = b.table(spark, d, "customer").select(k.alias("id"), F.when(k % 7 != 0, F.col("c_name")).otherwise("").alias("name"), F.concat(F.lit(" User"), k, F.lit("@X ")).alias("email"), F.when(k % 5 == 0, "12345").otherwise("123456").alias("password"))
+    return provenance.registration_errors(requests, b.table(spark, d, "supplier").select(F.concat(F.lit("user"), "s_suppkey", F.lit("@x")).alias("email")))
+
+
 # ---------------------------------------------------------------------------------------------- split audits
 
 _MANIFEST = f"""(SELECT path, CASE WHEN doc_id % 50 = 3 THEN 'zz' ELSE class_name END AS class_name, group_key, CASE WHEN k % 2 = 0 THEN 'leaf_id' ELSE 'tomato_filename_group' END AS group_source,
@@ -447,3 +480,33 @@ def accepted_recomputed(spark, d):
     p = F.col("maximum_probability")
     rows = b.predictions(spark, d).withColumn("accepted", F.when(F.col("group_key") % 10 == 0, p < 0.6).otherwise(p >= 0.6))
     return checks.accepted_column(rows, 0.6).select("path", "maximum_probability", "accepted")
+
+
+# ---------------------------------------------------------------------------------------- allocated components
+
+
+def _allocated(spark, d):
+    from fieldloom.plans import catalog
+
+    return splits.allocate(catalog._components(spark, d))
+
+
+def register_allocation(allocated_sql: str, images_sql: str) -> None:
+    """The queries over allocated components, whose SQL the catalogue states."""
+
+    @query(
+        f"""WITH {allocated_sql}, g AS (SELECT class_name, split, CAST(sum(size) AS BIGINT) AS images FROM a GROUP BY ALL)
+        SELECT class_name, split, images, round(images * 100.0::DOUBLE / total, 2) AS pct, round(images * 100.0::DOUBLE / total - CASE split WHEN 'train' THEN 0.7::DOUBLE WHEN 'val' THEN 0.15::DOUBLE ELSE 1 - (0.7::DOUBLE + 0.15::DOUBLE) END * 100, 2) AS deviation_pct FROM g JOIN t USING (class_name)"""
+    )
+    def allocation_deviation(spark, d):
+        return splits.deviation(_allocated(spark, d))
+
+    @query(
+        f"""WITH {allocated_sql}, i AS (SELECT path, class_name, group_key, CASE WHEN k % 5 = 0 THEN 'guard:' || class_name || ':' || (k // 10) ELSE group_key END AS component_id FROM (SELECT *, CAST(string_split(group_key, 'src')[-1] AS INTEGER) AS k FROM {images_sql}))
+        SELECT path, component_id, split FROM i JOIN a USING (class_name, component_id)"""
+    )
+    def component_members(spark, d):
+        images = b.images(spark, d)
+        k = F.element_at(F.split("group_key", "src"), -1).cast("int")
+        guards = images.select("class_name", "group_key").distinct().where(k % 5 == 0).select("group_key", F.concat(F.lit("guard:"), "class_name", F.lit(":"), F.floor(k / 10).cast("string")).alias("guard_id"))
+        return splits.component_members(_allocated(spark, d), images.select("class_name", "group_key"), guards, images)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars, text
 from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
-from fieldloom.plans import audits  # noqa: F401  registers its queries
+from fieldloom.plans import audits
 from fieldloom.plans.registry import oracle_sql, queries  # noqa: F401
 from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
@@ -384,6 +384,9 @@ _ALLOCATED = f"""RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY class
     a AS (SELECT class_name, component_id, size, group_count, ['train', 'val', 'test'][pick + 1] AS split FROM o JOIN f USING (class_name, i))"""
 
 
+audits.register_allocation(_ALLOCATED, b.IMAGES)
+
+
 @_query(f"SELECT * FROM {_COMPONENTS}")
 def guard_components(spark, d):
     return _components(spark, d)
