@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,32 +69,6 @@ def sign_bits(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
 
 
-@functools.cache
-def _cosines(size: int, low: int) -> np.ndarray:
-    """The first ``low`` rows of the cosine transform of ``size`` values."""
-    return 2 * np.cos(np.pi * np.outer(np.arange(low), 2 * np.arange(size) + 1) / (2 * size))
-
-
-def perceptual_hash(pixels: Column, size: int = 32, low: int = 8) -> Column:
-    """64 bits of a grey image of ``size`` by ``size`` values, row by row: its lowest frequencies above their median, first highest.
-
-    A transform of Arrow batches; null for null and for an array of another length.
-    """
-
-    def run(batch: pd.Series) -> pd.Series:
-        c = _cosines(size, low)
-
-        def one(p: np.ndarray | None) -> int | None:
-            if p is None or len(p) != size * size:
-                return None
-            f = c @ np.asarray(p, float).reshape(size, size) @ c.T
-            return int(np.packbits((f > np.median(f)).ravel()).view(">i8")[0])
-
-        return pd.Series([one(p) for p in batch], dtype="Int64")
-
-    return F.pandas_udf(run, "long")(pixels)
-
-
 def bin_right(x: Column, bins: int) -> Column:
     """Bin of x in [0, 1] cut in equal parts that include their right edge; what lies outside goes to the ends."""
     edges = [F.lit(k / bins) for k in range(1, bins)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +45,26 @@ def duplicate_summary(images: DataFrame) -> DataFrame:
     )
 
 
+def perceptual_hashes(images: DataFrame, size: int = 32, low: int = 8) -> DataFrame:
+    """``(id, hash)`` of grey images (id, pixels): 64 bits, the lowest frequencies of their cosine transform above the median, first highest.
+
+    ``pixels`` are ``size`` by ``size`` values row by row; null for null and for another number of values.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.cos(np.pi * np.outer(np.arange(low), 2 * np.arange(size) + 1) / (2 * size))
+        for b in batches:
+            out = []
+            for p in b.column("pixels"):
+                p = p.values.to_numpy(zero_copy_only=False) if p.is_valid else ()
+                f = c @ p.reshape(size, size) @ c.T if len(p) == size * size else None
+                out.append(None if f is None else int(np.packbits((f > np.median(f)).ravel()).view(">i8")[0]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.int64())], ["id", "hash"])
+
+    rows = images.select(F.col("id").cast("long").alias("id"), F.col("pixels").cast("array<double>").alias("pixels"))
+    return rows.mapInArrow(run, "id long, hash long")
+
+
 def near_hashes(hashes: DataFrame, most: int) -> DataFrame:
     """``(hash, hash2, distance)`` of distinct hashes ``hash < hash2`` within ``most`` bits.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import schemas
 from fieldloom.functions import scalars, text
-from fieldloom.operators import analytics, checks, evaluation, lineage, provenance, splits
+from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as b
 
@@ -329,8 +329,6 @@ def group_source_breakdown(spark, d):
     OR sha256 IN (SELECT sha256 FROM {b.IMAGES} GROUP BY sha256 HAVING count(DISTINCT class_name) > 1) GROUP BY class_name"""
 )
 def quarantine_by_class(spark, d):
-    from fieldloom.operators import dedup
-
     images = b.images(spark, d)
     return lineage.quarantine_counts(lineage.quarantine(images, b.table(spark, d, "labels"), dedup.exact_groups(images).where("cross_class")))
 
@@ -394,8 +392,6 @@ def prediction_provenance(spark, d):
     UNION ALL {_check_sql("no_cross_class_conflict", f"SELECT sha256 FROM {b.IMAGES} GROUP BY sha256 HAVING count(DISTINCT class_name) > 1")}"""
 )
 def input_gates(spark, d):
-    from fieldloom.operators import dedup
-
     images = b.images(spark, d)
     classes = images.select("class_name").distinct().withColumn("class_index", F.lit(0)).withColumn("expected_index", F.when(F.col("class_name") == "en", 0).when(F.col("class_name") == "de", 1))
     names = lambda *c: spark.createDataFrame([(x,) for x in c], "class_name string")
@@ -448,7 +444,7 @@ def perceptual_hashes(spark, d):
     at = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     row = lambda i: F.transform(at(32), lambda j: 10 * F.get(v, i) * F.get(v, j + 32) + (i * 5 + j * 3) % 11)
     pixels = F.flatten(F.transform(at(32), row))
-    hashed = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), scalars.perceptual_hash(pixels).alias("hash"))
+    hashed = dedup.perceptual_hashes(b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), pixels.alias("pixels")))
     return hashed.select("id", F.shiftrightunsigned("hash", 1).alias("hash63"), (F.col("hash").bitwiseAND(F.lit(1).cast("long")) == 1).alias("last_bit"))
 
 

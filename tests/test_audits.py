@@ -185,7 +185,7 @@ def test_perceptual_hash(spark):
     x = np.random.default_rng(1).random((32, 32))
     y = x + 1e-6
     df = spark.createDataFrame([(1, x.ravel().tolist()), (2, y.ravel().tolist()), (3, None), (4, [1.0])], "id int, p array<double>")
-    got = {r.id: r.h for r in df.select("id", scalars.perceptual_hash(F.col("p")).alias("h")).collect()}
+    got = {r.id: r.hash for r in dedup.perceptual_hashes(df.withColumnRenamed("p", "pixels")).collect()}
     n = np.arange(32)
     low = np.array([[(x * np.outer(np.cos(np.pi * u * (2 * n + 1) / 64), np.cos(np.pi * v * (2 * n + 1) / 64))).sum() for v in range(8)] for u in range(8)])
     bits = (low > np.median(low)).ravel()
