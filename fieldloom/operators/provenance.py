@@ -14,7 +14,7 @@ INFRASTRUCTURE_CODES = ["ML_SERVICE_UNAVAILABLE", "ML_SERVICE_TIMEOUT", "ML_SERV
 UPLOAD_STATUS = {"file_too_large": 413, "unsupported_media_type": 415}
 EXTENSIONS = [".jpg", ".jpeg", ".png"]
 FORMATS = {"image/jpeg": "JPEG", "image/png": "PNG"}
-PROVIDER_LABELS = {"gemini": "Gemini Vision", "groq": "Groq Llama 3", "custom-ml": "AgriAI Custom Model", "combined": "AgriAI Custom Model + Gemini"}
+PROVIDER_LABELS = {"gemini": "Gemini Vision", "groq": "Groq Llama 3", "custom-ml": "{product} Custom Model", "combined": "{product} Custom Model + Gemini"}
 REASON_LABELS = {
     "service_unavailable": "the custom model service was unavailable",
     "timeout": "the custom model took too long to respond",
@@ -117,6 +117,11 @@ def display_label(value: Column, labels: dict[str, str], default: str | None = N
     return shown if default is None else F.coalesce(F.when(text.given(value).isNotNull(), shown), F.lit(default))
 
 
+def provider_labels(product: str) -> dict[str, str]:
+    """The labels of providers; the own model's bear the product's name."""
+    return {k: v.format(product=product) for k, v in PROVIDER_LABELS.items()}
+
+
 def kept_predictions(predictions: Column, most: int = schemas.MAX_TOP_PREDICTIONS) -> Column:
     """The first entries ``(className, classIndex, modelConfidence)`` that name a class by its own index, with a confidence in [0, 1]."""
     index = lambda n: F.array_position(F.array(*map(F.lit, schemas.CLASS_NAMES)), n) - 1

@@ -72,22 +72,23 @@ def _label_sql(column: str, labels: dict[str, str], default: str | None = None)
     return f"CASE WHEN {column} IS NULL OR {column} = '' THEN '{default}' ELSE {shown} END" if default else shown
 
 
+_PROVIDERS = provenance.provider_labels("Fieldloom")
 _LABELLED = """(SELECT p_partkey AS id, ['gemini', 'groq', 'custom-ml', 'combined', 'other', '', NULL][p_partkey % 7 + 1] AS provider,
     ['service_unavailable', 'timeout', 'malformed_upstream', 'service_not_ready', 'uncertain_prediction', 'new_reason', '', NULL][p_partkey % 8 + 1] AS reason, ['critical', 'high', 'medium', 'low', 'healthy', 'odd'][p_partkey % 6 + 1] AS severity FROM part)"""
 
 
 @query(
-    f"""SELECT id, {_label_sql("provider", provenance.PROVIDER_LABELS, provenance.NO_PROVIDER)} AS provider_label, {_label_sql("reason", provenance.REASON_LABELS, provenance.NO_REASON)} AS reason_label,
+    f"""SELECT id, {_label_sql("provider", _PROVIDERS, provenance.NO_PROVIDER)} AS provider_label, {_label_sql("reason", provenance.REASON_LABELS, provenance.NO_REASON)} AS reason_label,
     {_label_sql("severity", provenance.SEVERITY_LABELS)} AS severity_label FROM {_LABELLED}"""
 )
 def status_labels(spark, d):
     k = F.col("p_partkey")
     pick = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (k % len(values)).cast("int"))
-    provider = pick([*provenance.PROVIDER_LABELS, "other", "", None])
+    provider = pick([*_PROVIDERS, "other", "", None])
     reason = pick([*provenance.REASON_LABELS, "new_reason", "", None])
     severity = pick([*provenance.SEVERITY_LABELS, "odd"])
     return b.table(spark, d, "part").select(
-        k.alias("id"), provenance.display_label(provider, provenance.PROVIDER_LABELS, provenance.NO_PROVIDER).alias("provider_label"),
+        k.alias("id"), provenance.display_label(provider, _PROVIDERS, provenance.NO_PROVIDER).alias("provider_label"),
         provenance.display_label(reason, provenance.REASON_LABELS, provenance.NO_REASON).alias("reason_label"), provenance.display_label(severity, provenance.SEVERITY_LABELS).alias("severity_label"),
     )
 
