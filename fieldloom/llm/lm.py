@@ -40,7 +40,7 @@ from fieldloom.staging import stage
 #: Words that the network tells apart at most (two bytes a symbol), context words, size of vectors.
 CLASSES, CONTEXT, DIM = 16_384, 4, 16
 #: Groups drawn as noise for a minibatch of so many words, words drawn for each word, and the rate of AdaGrad.
-NOISE, OWN_NOISE, BATCH, RATE = 32, 2, 1024, 0.3
+NOISE, OWN_NOISE, BATCH, RATE = 32, 2, 1536, 0.3
 #: Consecutive words that go into a minibatch together: the vectors of their contexts are looked up once.
 CHUNK = 64
 #: Tokens of a stream on average, and documents' tokens that are learned from at a time.
@@ -314,7 +314,7 @@ class Trainer:
         false = q @ noise.T + m.bias[x] - self.log_kq[x]
         up, down = _sigmoid(-true) / n, -_sigmoid(false) / n
         g_q = up[:, None] * target + down @ noise
-        changes = [(2, np.concatenate([g, x]), np.concatenate([up[:, None] * q, down.T @ q])), (3, np.concatenate([g, x]), np.concatenate([up, down.sum(axis=0)]))]
+        changes = [(np.concatenate([g, x]), {2: np.concatenate([up[:, None] * q, down.T @ q]), 3: np.concatenate([up, down.sum(axis=0)])})]
         inside = np.flatnonzero(c < len(m.word))
         if len(inside):
             w, own = c[inside].astype(np.int64), q[inside]
@@ -334,27 +334,28 @@ class Trainer:
                 rows.append(down[:, None] * own)
                 sums.append(down)
             g_q[inside] += back
-            at = np.concatenate(at)
-            changes += [(4, at, np.concatenate(rows)), (5, at, np.concatenate(sums))]
+            changes.append((np.concatenate(at), {4: np.concatenate(rows), 5: np.concatenate(sums)}))
         spread, g_vectors = np.zeros((*real.shape, g_q.shape[1]), np.float32), np.zeros_like(vectors)
         spread[real] = g_q
         for at, scale in zip(shifted, m.distance):
             g_vectors[:, at] += spread * scale
         distance = np.stack([np.einsum("mld,mld->d", spread, vectors[:, at]) for at in shifted])
-        changes += [(0, windows.ravel(), g_vectors.reshape(-1, g_q.shape[1])), (1, np.arange(span), distance)]
-        for table, at, rows in changes:
-            self._add(m.tables[table], self.seen[table], at, rows)
+        changes += [(windows.ravel(), {0: g_vectors.reshape(-1, g_q.shape[1])}), (np.arange(span), {1: distance})]
+        for at, rows in changes:
+            self._add(at.astype(np.uint16), rows)
 
-    @staticmethod
-    def _add(value: np.ndarray, seen: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-        """An AdaGrad step on the rows of a table that the gradients, summed by row, go to."""
+    def _add(self, at: np.ndarray, rows: dict[int, np.ndarray]) -> None:
+        """An AdaGrad step on the rows of some tables that the gradients, summed by row, go to."""
         order = np.argsort(at, kind="stable")
         at = at[order]
         new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        g, own = np.add.reduceat(rows[order], new, axis=0), at[new]
-        total = seen[own] + g * g
-        seen[own] = total
-        value[own] += RATE * g / np.sqrt(total)
+        own = at[new]
+        for table, each in rows.items():
+            value, seen = self.m.tables[table], self.seen[table]
+            g = np.add.reduceat(each[order], new, axis=0)
+            total = seen[own] + g * g
+            seen[own] = total
+            value[own] += RATE * g / np.sqrt(total)
 
 
 def streams_of(vocab: Vocabulary) -> int:
