@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, chat, decontaminate, lm, quality, sharding, simhash, substring, toxicity, warc
+from fieldloom.llm import bpe, chat, decontaminate, lm, quality, sharding, simhash, substring, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_lm": op9_lm,
     "op10_quality": op10_quality,
+    "op11_trie": op11_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +112,27 @@ ORACLE_SQL: dict[str, str] = {
         lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)""",
+    "op11_trie": r"""
+        WITH said AS (
+            SELECT conv_id, turn, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, sha256(length(t.r) || ':' || t.r || t.x)) AS ts FROM said GROUP BY conv_id),
+        bytes AS (SELECT conv_id, list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))) AS b FROM own),
+        h AS (
+            SELECT conv_id, xor(list_reduce(b, lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h FROM bytes),
+        built AS (
+            SELECT o.conv_id, list_concat(coalesce(d.ts, [])[1 : h.h], o.ts[h.h + 1 :]) AS ts
+            FROM own o JOIN h USING (conv_id) LEFT JOIN own d ON d.conv_id = o.conv_id - o.conv_id % 20),
+        met AS (SELECT conv_id, len(ts) AS size, d, list_slice(ts, 1, d) AS p FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM built)),
+        node AS (
+            SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256 FROM met GROUP BY p, d),
+        kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+        told AS (
+            SELECT unnest(range(d + 1)) AS upto, node.p, coalesce(n, 0) = 0 AS leaf,
+                CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(node.p[-1].x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS saved
+            FROM node LEFT JOIN kids ON kids.p = node.p),
+        sums AS (SELECT list_slice(p, 1, upto) AS p, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM told GROUP BY 1)
+        SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+        FROM node JOIN sums USING (p) LEFT JOIN kids USING (p) LEFT JOIN node up ON node.d > 0 AND up.p = list_slice(node.p, 1, node.d - 1)""",
 }
