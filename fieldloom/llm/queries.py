@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, chat, decontaminate, lm, quality, sharding, simhash, substring, toxicity, trie, warc
+from fieldloom.llm import bpe, chat, decontaminate, jaccard, lm, quality, sharding, simhash, substring, toxicity, trie, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), most=4)
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=5)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -72,6 +80,8 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_quality": op10_quality,
     "op11_trie": op11_trie,
+    "op12_whitening": op12_whitening,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -83,39 +83,43 @@ def lent(conv_id: int) -> int:
     return zlib.crc32(str(conv_id).encode()) % 4
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Partial tries of rebuilt conversations; rows ``(block, conv_id, digest, words)`` come in order, a block's first conversation first."""
-    part, trie = TaskContext.get().partitionId(), PartialTrie()
-    block = conv = None
-    first: list[tuple[bytes, int]] = []
-    own = take = 0
-    for b in batches:
-        for at, c, digest, words in zip(*(b.column(k).to_pylist() for k in range(4))):
-            if (at, c) != (block, conv):
-                if conv is not None:
-                    trie.end()
-                    if trie.held >= HELD:
-                        yield trie.emit(part)
-                if at != block:
-                    first = []
-                block, conv, own, take = at, c, 0, lent(c)
-                trie.begin(c)
-                if c != at:
-                    for turn in first[:take]:
-                        trie.add(*turn)
-            if c == at:
-                trie.add(digest, words)
-                if own < 3:
-                    first.append((digest, words))
-            elif own >= take:
-                trie.add(digest, words)
-            own += 1
-    if conv is not None:
-        trie.end()
-        yield trie.emit(part)
-
-
-def partial_tries(turns: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, trie = TaskContext.get().partitionId(), PartialTrie()
+        block = conv = None
+        first: list[tuple[bytes, int]] = []
+        own = take = 0
+        for b in batches:
+            for at, c, digest, words in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if (at, c) != (block, conv):
+                    if conv is not None:
+                        trie.end()
+                        if trie.held >= held:
+                            yield trie.emit(part)
+                    if at != block:
+                        first = []
+                    block, conv, own, take = at, c, 0, lent(c)
+                    trie.begin(c)
+                    if c != at:
+                        for turn in first[:take]:
+                            trie.add(*turn)
+                if c == at:
+                    trie.add(digest, words)
+                    if own < 3:
+                        first.append((digest, words))
+                elif own >= take:
+                    trie.add(digest, words)
+                own += 1
+        if conv is not None:
+            trie.end()
+            yield trie.emit(part)
+
+    return run
+
+
+def partial_tries(turns: DataFrame, held: int = HELD) -> DataFrame:
     """Node tables of the rebuilt conversations of ``turns``, a row per node and task that met it.
 
     Only a digest and a word count stand for a turn's text, so no text is shuffled. A block of conversations that share
@@ -131,7 +135,7 @@ def partial_tries(turns: DataFrame) -> DataFrame:
         "turn",
     )
     order = ["block", F.col("conv_id") != F.col("block"), "conv_id", F.col("turn").asc_nulls_first(), "digest"]
-    return rows.repartition("block").sortWithinPartitions(*order).select("block", "conv_id", "digest", "words").mapInArrow(_partial, _SCHEMA)
+    return rows.repartition("block").sortWithinPartitions(*order).select("block", "conv_id", "digest", "words").mapInArrow(_reader(held), _SCHEMA)
 
 
 def _rounds(width: int) -> int:
