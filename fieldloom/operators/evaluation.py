@@ -283,6 +283,11 @@ def bootstrap(preds: DataFrame, threshold: float, draws: int = 2000, seed: int =
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(p, pa.int32()), *lists], [_T, _P, "n", "acc"])
 
     added = sums.mapInArrow(add, f"{_T} int, {_P} int, n array<long>, acc array<long>")
+    return intervals(added, preds, draws, classes)
+
+
+def intervals(added: DataFrame, preds: DataFrame, draws: int, classes: DataFrame | None = None) -> DataFrame:
+    """Mean and 95% interval of four metrics from ``added``: arrays of ``draws`` counts of cells (true, predicted), all and accepted."""
     zipped = F.arrays_zip(F.sequence(F.lit(1), F.lit(draws)).alias("draw"), "n", "acc")
     each = added.select(_T, _P, F.explode(zipped).alias("x")).select(_T, _P, "x", "x.draw")
     cells = each.groupBy("draw", _T, _P).agg(F.sum("x.n").alias("n"), F.sum("x.acc").alias("acc"))

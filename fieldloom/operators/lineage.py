@@ -97,7 +97,7 @@ def shared_numbers(parsed: DataFrame) -> DataFrame:
 
 def stratified_sample(groups: DataFrame, n: int) -> DataFrame:
     """n groups (group_key, size) in rounds over the sizes: the first of each size by key, then the second, ..."""
-    ranked = groups.withColumn("round", F.row_number().over(W.partitionBy("size").orderBy("group_key")))
+    ranked = groups.withColumn("round", F.row_number().over(W.partitionBy("size").orderBy("group_key"))).where(F.col("round") <= n)  # n rows of a size leave a task
     return ranked.orderBy("round", "size").limit(n)
 
 

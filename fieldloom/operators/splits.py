@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.staging import stage
+
 # Split names in priority order, and their shares.
 SPLITS = ["train", "val", "test"]
 SHARES = {"train": 0.70, "val": 0.15}
@@ -19,29 +25,101 @@ def components(groups: DataFrame, guards: DataFrame) -> DataFrame:
     return joined.groupBy("class_name", cid.alias("component_id")).agg(F.sum("images").alias("size"), F.count(F.lit(1)).alias("group_count"))
 
 
-def allocate(comps: DataFrame) -> DataFrame:
+Pattern = tuple[tuple[int, ...], int]
+
+
+def deal(left: list[int], held: list[int], size: int, groups: int, count: int) -> list[Pattern]:
+    """Deal ``count`` components alike by deficit; returns patterns of splits and how often each repeats, in order.
+
+    ``left`` and ``held``, the images that each split lacks and the groups that it has, are brought up to date. As soon
+    as the splits picked so far have been picked equally often, their differences are what they were, so the picks
+    repeat until a split that wasn't picked could be; how often that is, is arithmetic. The number of patterns depends
+    on the splits, not on ``count``.
+    """
+    out: list[Pattern] = []
+    while count:
+        l, g, picks, low = list(left), list(held), [], None
+        repeats = 1
+        while len(picks) < count:
+            k = min(range(3), key=lambda i: (-l[i], g[i], i))
+            low = l[k] if low is None else min(low, l[k])
+            l[k], g[k] = l[k] - size, g[k] + groups
+            picks.append(k)
+            times = [picks.count(i) for i in range(3)]
+            if len({t for t in times if t}) == 1:
+                step = size * max(times)
+                others = max((left[i] for i in range(3) if not times[i]), default=None)
+                most = count // len(picks)
+                if others is not None:
+                    most = 0 if low <= others else min(most, (low - others - 1) // step + 1 if step else most)
+                if most > 1:
+                    repeats = most
+                    break
+            if len(picks) == 64:
+                break
+        out.append((tuple(picks), repeats))
+        for i in range(3):
+            n = picks.count(i) * repeats
+            left[i], held[i] = left[i] - n * size, held[i] + n * groups
+        count -= len(picks) * repeats
+    return out
+
+
+_ROWS = "class_name string, component_id string, size long, group_count long, part int, run long, place long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted components with the run of equal class, size and groups that each is in, within its partition, and its place there."""
+    part, run, place, last = TaskContext.get().partitionId(), -1, 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        name, size, groups = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+        new = np.r_[last != (name[0], size[0], groups[0]), (name[1:] != name[:-1]) | (size[1:] != size[:-1]) | (groups[1:] != groups[:-1])]
+        first = np.flatnonzero(new)
+        runs = run + np.cumsum(new)
+        begin = np.full(len(new), -place, np.int64)
+        if len(first):
+            begin[first[0] :] = np.repeat(first, np.diff(np.r_[first, len(new)]))
+        places = np.arange(len(new)) - begin
+        run, place, last = int(runs[-1]), int(places[-1]) + 1, (name[-1], size[-1], groups[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(new), part, np.int32)), pa.array(runs), pa.array(places)], ["class_name", "component_id", "size", "group_count", "part", "run", "place"])
+
+
+def _dealt(runs: pa.Table) -> pa.Table:
+    """The runs ``(class_name, part, run, size, group_count, n)`` of one class, in order, with where each pattern begins."""
+    runs = runs.sort_by([("part", "ascending"), ("run", "ascending")])
+    total = sum(s * n for s, n in zip(runs["size"].to_pylist(), runs["n"].to_pylist()))
+    train, val = (round(total * SHARES[k]) for k in ("train", "val"))
+    left, held = [train, val, total - train - val], [0, 0, 0]
+    out = []
+    for part, run, size, groups, n in zip(*(runs[c].to_pylist() for c in ("part", "run", "size", "group_count", "n"))):
+        at = 0
+        for picks, repeats in deal(left, held, size, groups, n):
+            out.append((runs["class_name"][0].as_py(), part, run, at, at + len(picks) * repeats, list(picks)))
+            at = out[-1][4]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["class_name", "part", "run", "begin", "end", "picks"])
+
+
+def allocate(comps: DataFrame, ranges: int | None = None) -> DataFrame:
     """``(class_name, component_id, size, group_count, split)`` by deficit: the largest component first (ties by id),
     each to the split that lacks most images of its share, then the one with fewer groups, then in priority order.
 
-    The order of a class is inherently sequential, so a class is one fold in the JVM over its component sizes; its
-    state is three pairs of numbers. Sizes and ids of one class must fit in a row; images never do so.
+    The order of a class is sequential, but components alike are dealt by arithmetic (``deal``). So components are
+    sorted in ranges, a row is left of every run of equal size and groups, the fold of a class sees runs only,
+    and each component finds its split by its place in its run. Components are never gathered. ``ranges`` is the number of ranges
+    (the session's shuffle partitions where it is None); it changes no result.
     """
-    order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("minus"), "component_id", "group_count"))).alias("c")
-    per = comps.groupBy("class_name").agg(order, F.sum("size").alias("total"))
-    train, val = F.bround(F.col("total") * SHARES["train"]).cast("long"), F.bround(F.col("total") * SHARES["val"]).cast("long")
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<int>")
-    start = F.struct(train.alias("l0"), val.alias("l1"), (F.col("total") - train - val).alias("l2"), zero.alias("g0"), zero.alias("g1"), zero.alias("g2"), none.alias("out"))
-
-    def put(s, c):
-        pick = F.array_min(F.array(*[F.struct((-s[f"l{k}"]).alias("d"), s[f"g{k}"].alias("g"), F.lit(k).alias("k")) for k in range(3)]))["k"]
-        left = [(s[f"l{k}"] + F.when(pick == k, c["minus"]).otherwise(zero)).alias(f"l{k}") for k in range(3)]
-        held = [(s[f"g{k}"] + F.when(pick == k, c["group_count"]).otherwise(zero)).alias(f"g{k}") for k in range(3)]
-        return F.struct(*left, *held, F.array_append(s["out"], pick).alias("out"))
-
-    folded = per.select("class_name", "c", F.aggregate("c", start, put)["out"].alias("out"))
-    each = folded.select("class_name", F.explode(F.arrays_zip("c", "out")).alias("z"))
-    split = F.get(F.array(*map(F.lit, SPLITS)), F.col("z.out"))
-    return each.select("class_name", F.col("z.c.component_id").alias("component_id"), (-F.col("z.c.minus")).alias("size"), F.col("z.c.group_count").alias("group_count"), split.alias("split"))
+    order = ["class_name", F.col("size").desc(), "component_id"]
+    rows = comps.select("class_name", F.col("component_id").cast("string").alias("component_id"), F.col("size").cast("long").alias("size"), F.col("group_count").cast("long").alias("group_count"))
+    placed = (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    placed = stage(placed.mapInArrow(_runs, _ROWS), "placed-components")
+    key = ["class_name", "part", "run"]
+    runs = placed.groupBy(*key, "size", "group_count").agg(F.count(F.lit(1)).alias("n"))
+    dealt = stage(runs.groupBy("class_name").applyInArrow(_dealt, "class_name string, part int, run long, begin long, end long, picks array<int>"), "dealt-runs")
+    found = placed.join(dealt, key).where((F.col("place") >= F.col("begin")) & (F.col("place") < F.col("end")))
+    pick = F.get("picks", F.pmod(F.col("place") - F.col("begin"), F.size("picks")).cast("int"))
+    return found.select("class_name", "component_id", "size", "group_count", F.get(F.array(*map(F.lit, SPLITS)), pick).alias("split"))
 
 
 def summary(allocated: DataFrame, min_images: int = 30, min_groups: int = 15) -> DataFrame:

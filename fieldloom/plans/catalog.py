@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars, text
 from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
-from fieldloom.plans import audits
+from fieldloom.plans import audits, stores  # noqa: F401
 from fieldloom.plans.registry import oracle_sql, queries  # noqa: F401
 from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
-from fieldloom.sources import writers
+from fieldloom.sources import pull, writers
+from fieldloom.staging import new_path
 from fieldloom.streaming import counters
 
 
@@ -721,19 +722,41 @@ def display_labels(spark, d):
 _BODY = """(SELECT o_orderkey AS id, o_orderkey % 6 AS k, o_orderkey % 120 AS c, o_orderkey % 7 = 0 AS torn FROM orders)"""
 
 
-@_query(
-    f"""SELECT id, NOT torn AND c <= 100 AS valid, CASE WHEN NOT torn THEN class_name END AS disease, CASE WHEN NOT torn THEN c / 100.0::DOUBLE END AS "modelConfidence", CASE WHEN NOT torn AND c <= 100 THEN 1 ELSE 0 END AS n_top
-    FROM {_BODY} JOIN {b.CLASSES} ON class_index = k"""
-)
-def upstream_bodies(spark, d):
+def _bodies(spark, d):
     k = F.col("o_orderkey")
     name = F.get(F.array(*map(F.lit, b.CLASS_NAMES)), (k % 6).cast("int"))
     p = F.format_string('{"class_name":"%s","class_index":%d,"model_confidence":%s,"accepted":%s,"uncertain":%s}', name, k % 6, ((k % 120) / F.lit(100.0)).cast("string"), F.when(k % 120 >= 50, "true").otherwise("false"), F.when(k % 120 >= 50, "false").otherwise("true"))
     body = F.concat(F.lit('{"status":"success","prediction":'), p, F.lit(',"top_predictions":['), p, F.lit('],"confidence_policy":{"label":"model confidence","threshold":0.5,"production_calibrated":false}}'))
-    bodies = b.table(spark, d, "orders").select(k.alias("id"), F.when(k % 7 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    return b.table(spark, d, "orders").select(k.alias("id"), F.when(k % 7 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+
+
+def _normalised(bodies):
     return provenance.normalised_upstream(bodies).select("id", "valid", "disease", "modelConfidence", F.size("topPredictions").alias("n_top"))
 
 
+_UPSTREAM = f"""SELECT id, NOT torn AND c <= 100 AS valid, CASE WHEN NOT torn THEN class_name END AS disease, CASE WHEN NOT torn THEN c / 100.0::DOUBLE END AS "modelConfidence", CASE WHEN NOT torn AND c <= 100 THEN 1 ELSE 0 END AS n_top
+    FROM {_BODY} JOIN {b.CLASSES} ON class_index = k"""
+
+
+@_query(_UPSTREAM)
+def upstream_bodies(spark, d):
+    return _normalised(_bodies(spark, d))
+
+
+@_query(_UPSTREAM)
+def pulled_bodies(spark, d):
+    """The same bodies recorded as pages of 500, which the pull source asks for one by one."""
+    bodies, path = _bodies(spark, d), new_path(spark, "recorded")
+    page = F.floor(F.col("id") / 500).cast("int")
+    last = bodies.agg(F.coalesce(F.max(page), F.lit(-1)).alias("last")).first()["last"]
+    lines = bodies.select(F.to_json(F.struct("id", "body")).alias("value"), page.alias("page"))
+    spark.range(last + 1).select(F.lit("").alias("value"), F.col("id").cast("int").alias("page")).union(lines).repartition("page").write.partitionBy("page").text(path)
+    pulled = pull.pull(spark, f"{path}/page={{page}}/", last + 1)
+    line = F.explode(F.split(F.coalesce("body", F.raise_error(F.concat("url", F.lit(": "), "error"))), "\n"))
+    rows = pulled.select(line.alias("line")).where("line <> ''").select(F.from_json("line", "id long, body string").alias("x")).select("x.*")
+    return _normalised(rows)
+
+
 # ------------------------------------------------------------------------------------------------- streaming
 
 

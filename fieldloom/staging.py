@@ -42,10 +42,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fieldloom/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
+def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, a folder for each value of ``by``, and return a DataFrame that reads it back."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _staged[out] = path
     return out
