@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import window_hashes, word_hashes
@@ -412,9 +412,11 @@ def _candidates(members: DataFrame, forest: bool) -> DataFrame:
 
 
 def _maybe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, src, dst)`` of different components whose bitmaps allow that they are near."""
+    """Pairs ``(a, b, src, dst)``, of the staged ``pairs``, of different components whose bitmaps allow that they are near."""
     side = lambda x, c: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("hidden").alias(f"h{x}"), F.col("bits").alias(f"w{x}"), F.col("component").alias(c))
-    both = pairs.join(side("a", "src"), "a").join(side("b", "dst"), "b").where("src <> dst")
+    n = pairs.count()
+    left = side("a", "src").join(_small(pairs, n), "a")
+    both = side("b", "dst").join(_small(left, n), "b").where("src <> dst")
     shared, differ = F.least("ha", "hb"), F.lit(0)
     for k in range(_WORDS):
         x, y = F.get("wa", F.lit(k)), F.get("wb", F.lit(k))
@@ -460,9 +462,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     known = stage(known.dropDuplicates(["sid"]) if repeated else known, "sets")
     many = stage(pairs.groupBy("a").count().where(F.col("count") > PARTNERS).select("a", F.ceil(F.col("count") / PARTNERS).alias("g")), "centres")
     dealt = pairs.withColumn("part", F.lit(0).cast("long")) if many.isEmpty() else pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("g", F.lit(1)))).drop("g")
-    one = F.lit(None).cast("long")
-    own = dealt.select("a", "part").distinct().join(known.withColumnRenamed("sid", "a"), "a").select("a", "part", F.lit(0).alias("kind"), "s", one.alias("src"), one.alias("dst"))
-    others = dealt.join(known.withColumnRenamed("sid", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "s", "src", "dst")
+    one, n = F.lit(None).cast("long"), pairs.count()
+    own = known.withColumnRenamed("sid", "a").join(_small(dealt.select("a", "part").distinct(), n), "a").select("a", "part", F.lit(0).alias("kind"), "s", one.alias("src"), one.alias("dst"))
+    others = known.withColumnRenamed("sid", "b").join(_small(dealt, n), "b").select("a", "part", F.lit(1).alias("kind"), "s", "src", "dst")
     rows = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("kind", "s", "src", "dst")
     out = stage(rows.mapInArrow(_check, "src long, dst long").distinct(), "links")
     for t in (pairs, wanted, known, many):
@@ -473,7 +475,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Staged ``classes`` with the components that the links make of theirs."""
     found = stage(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("to")), "merged")
-    out = stage(classes.join(found, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "classes")
+    out = stage(classes.join(_small(found, found.count()), "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "classes")
     for t in (found, classes, links):
         release(t)
     return out
@@ -497,16 +499,21 @@ def merge_near(rows: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     of = members.join(classes.select("sid", "component"), "sid")
     open_ = stage(of.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l < m").select("key"), "open")
     rest = stage(members.join(open_, "key"), "rest")
-    pairs = _candidates(_members(rest, sizes, classes, False), False).join(tried, ["a", "b"], "left_anti")
+    pairs = stage(_candidates(_members(rest, sizes, classes, False), False).join(tried, ["a", "b"], "left_anti"), "pairs")
     classes = _joined(classes, _verified(pairs, classes, texts, width, repeated))
-    for t in (groups, sizes, tried, open_, rest):
+    for t in (groups, sizes, tried, open_, rest, pairs):
         release(t)
     return classes
 
 
+def row_key() -> list[Column]:
+    """What tells rows apart: the id, nulls as the greatest long, and the text's hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("sig")]
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
-    """``(doc, sig, text)``: the id, nulls as the greatest long, the text's hash and its bytes."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("sig"), F.col("text").cast("binary").alias("text"))
+    """``(doc, sig, text)``: the key of each row and its text's bytes."""
+    return docs.select(*row_key(), F.col("text").cast("binary").alias("text"))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
