@@ -1,206 +1,30 @@
-"""Exact join of shingle sets by Jaccard similarity, on top of SimHash links.
+"""Near-duplicate groups of the pipeline: SimHash links by pigeonring, and the exact Jaccard join for what they miss.
 
-Two sets of Jaccard similarity 4/5 or more share at least 4/5 of either. In any fixed order of all shingles the first
-``n - ceil(4n/5) + 1`` of each set therefore have one in common (the prefix filter), and these are the keys of an
-equi-join. The order puts frequent shingles last. Frequencies come from a bounded sample of the texts; they decide
-only how many candidates there are, never which pairs are found. A candidate is dropped if the parities of its two
-sets in BITS buckets differ in more places than near sets can differ in members; every other one is verified on its
-whole sets.
-
-A key of many documents first links all of them with one (a star); the rest of its pairs are looked at only where
-that left them in different groups, so that a large group of near copies costs a row for each member.
+Fingerprints link first; sets of one component of theirs are never compared again. The rest is found by signature trees
+(``fieldloom.llm.jaccard``), which lose no pair of a similarity of 0.8 or more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.frequent import most_frequent
-from fieldloom.llm.simhash import BLOCK, fingerprint_of, near_links, shingle_hashes
+from fieldloom.llm.jaccard import bucket_loads, classes_of, describe, merge_near, prefix, row_key, shingle_set, texts_of  # noqa: F401
+from fieldloom.llm.simhash import fingerprint_of, near_links, shingle_hashes
 from fieldloom.operators.graph import connected_components
-from fieldloom.staging import stage
-
-#: Texts whose shingles are counted for the order, and the most shingles that it puts last, about.
-SAMPLE, FREQUENT = 1 << 16, 1 << 17
-#: Buckets of the parity sketch.
-BITS = 512
-#: Members of a key from which on it is linked as a star first.
-STAR = 16
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted, as signed longs."""
-    return np.unique(shingle_hashes(text, width).view(np.int64))
-
-
-def parities(s: np.ndarray) -> np.ndarray:
-    """The parity of a set's members in each of BITS buckets, as longs; sets of which k members differ differ in k bits at most."""
-    odd = np.bincount((s.view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def prefix(s: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of frequency, then hash; one of them at least is in any set near it."""
-    n = len(s)
-    if n and len(keys):
-        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-        s = s[np.lexsort((s, np.where(keys[at] == s, counts[at], 0)))]
-    return s[: n - -(-4 * n // 5) + 1] if n else s
-
-
-def near_enough(shared: int, n: int, m: int) -> bool:
-    """Whether sets of n and m members that share so many have a Jaccard similarity of 4/5 or more."""
-    return 9 * shared >= 4 * (n + m)
-
-
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles that several sampled texts hold, sorted, with their counts, and the sample's divisor."""
-    every = max(1, -(-docs.count() // SAMPLE))
-    some = docs.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(every)) == 0).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), width) for t in b.column(0)]
-            w, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.int64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["key", "n"])
-
-    counts = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
-    keys, n = most_frequent(stage(counts, "frequent"), "key", FREQUENT)
-    return keys, n, every
-
-
-def _described(docs: DataFrame, width: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(doc, sig, fp, sid, n, keys, odd)``: fingerprint, the hash, size, prefix and parities of the shingle set."""
-    shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
-        for b in batches:
-            fp, sid, n, first = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int32), []
-            odd = np.empty((b.num_rows, BITS // 64), np.int64)
-            for k, t in enumerate(b.column("text")):
-                text = t.as_py()
-                h = shingle_hashes(text, width)
-                s = np.unique(h.view(np.int64))
-                fp[k], sid[k], n[k] = fingerprint_of(h), xxhash.xxh64_intdigest(s.tobytes()), len(s)
-                first.append(prefix(s, keys, counts))
-                odd[k] = parities(s)
-            offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, BITS // 64, dtype=np.int32)), pa.array(odd.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("sig"), pa.array(fp.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(n), lists, bits], ["doc", "sig", "fp", "sid", "n", "keys", "odd"])
-
-    return docs.mapInArrow(run, "doc long, sig long, fp long, sid long, n int, keys array<long>, odd array<long>")
-
-
-# ------------------------------------------------------------------------------------------------ candidates
-
-
-def _fits(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m members whose first common one stands at p and q can be near."""
-    return 9 * (1 + np.minimum(n - p - 1, m - q - 1)) >= 4 * (n + m)
+from fieldloom.staging import release, stage
 
 
-def pairs_of(key: np.ndarray, part: np.ndarray, sid: np.ndarray, n: np.ndarray, p: np.ndarray, group: np.ndarray, star: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs within each run of equal (key, part), of different groups; with ``star``, of large runs with one member."""
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-    size = np.diff(np.r_[first, len(key)])
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        fits = (group[a] != group[b]) & _fits(n[a], p[a], n[b], p[b])
-        out.append((a[fits], b[fits]))
-
-    if not star:
-        after = np.repeat(first + size, size) - np.arange(len(key)) - 1
-        at, step = np.flatnonzero((after > 0) & (np.repeat(size, size) <= STAR)), 1
-        while len(at):
-            keep(at, at + step)
-            step += 1
-            at = at[after[at] >= step]
-    for k in np.flatnonzero(size > STAR).tolist():
-        run = np.arange(first[k], first[k] + size[k])
-        if star:
-            mid = run[np.argmin(sid[run])]
-            keep(np.full(len(run), mid), run)
-            continue
-        names, of, members = np.unique(group[run], return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            continue
-        large = of == members.argmax()
-        run = np.concatenate([run[~large], run[large]])
-        for i in range(int((~large).sum())):
-            keep(np.full(len(run) - i - 1, run[i]), run[i + 1 :])
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*out)) or [(), ()]))
-    return np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])
-
-
-def _candidates(postings: DataFrame, star: bool) -> DataFrame:
-    """Distinct ``(a, b)`` of the sets that may be near; ``postings(key, part, sid, n, p, component)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b.column(k).to_numpy() for k in range(6)]
-            cols = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(*(c[:cut] for c in cols), star)], ["a", "b"])
-        if rest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(*rest, star)], ["a", "b"])
-
-    rows = postings.select("key", "part", "sid", F.col("n").cast("long"), F.col("p").cast("long"), "component")
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long").distinct()
-
-
-def _maybe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose parities allow that they are near: sets of Jaccard 4/5 differ in a ninth of their members together."""
-    side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.lit(0)
-    for k in range(BITS // 64):
-        differ = differ + F.bit_count(F.get("odda", F.lit(k)).bitwiseXOR(F.get("oddb", F.lit(k))))
-    return both.where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose whole shingle sets are near, as links ``(src, dst)`` of their components."""
-    pairs = stage(_maybe(pairs, classes), "maybe")
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    # staged, so that its size is known: a small one is broadcast, and the texts aren't shuffled
-    wanted = stage(classes.join(ids, "sid").select("sid", "doc", "sig", "component"), "wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = pa.array([shingle_set(t.as_py(), width).tobytes() for t in b.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("component"), packed], ["sid", "component", "s"])
-
-    texts = docs.join(wanted, ["doc", "sig"]).select("sid", "component", "text")
-    # repeated rows give the same set more than once; a repeated link changes nothing
-    known = stage(texts.mapInArrow(sets, "sid long, component long, s binary"), "sets")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = []
-            for x, y in zip(b.column("s"), b.column("t")):
-                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                near.append(near_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
-
-    left = known.select(F.col("sid").alias("a"), F.col("component").alias("src"), "s")
-    right = known.select(F.col("sid").alias("b"), F.col("component").alias("dst"), F.col("s").alias("t"))
-    both = pairs.join(left, "a").join(right, "b").select("src", "dst", "s", "t")
-    return both.mapInArrow(check, "src long, dst long").distinct()
+def _fingerprint_components(rows: DataFrame, tau: int) -> DataFrame:
+    """Staged ``(fp, first, component)`` of all fingerprints; equal sets whose fingerprints differ are linked besides."""
+    reps = stage(rows.groupBy("fp").agg(F.min(F.struct("doc", "sig")).alias("first")), "representatives")
+    sets = stage(rows.groupBy("sid").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("sid", "least"), "equal-sets")
+    known = rows.select("sid", "fp").join(sets, "sid").select(F.col("fp").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+    found = connected_components(near_links(reps, tau).unionByName(known)).withColumnRenamed("node", "fp")
+    out = stage(reps.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
+    release(reps)
+    release(sets)
+    return out
 
 
 def keep_one(docs: DataFrame, tau: int = 4, width: int = 5) -> DataFrame:
@@ -210,39 +34,17 @@ def keep_one(docs: DataFrame, tau: int = 4, width: int = 5) -> DataFrame:
     ``width``-word shingles have a Jaccard similarity of 0.8 or more. The one with the smallest doc_id stays (nulls
     last), then the smallest hash of its text. Rows are told apart by id and text; of repeated rows one stays.
     """
-    doc, sig = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("sig")
-    plain = docs.select(doc, sig, F.col("text").cast("binary").alias("text"))
-    keys, counts, every = _frequent(plain, width)
-    rows = stage(_described(plain, width, keys, counts), "described")
-
-    reps = stage(rows.groupBy("fp").agg(F.min(F.struct("doc", "sig")).alias("first")), "representatives")
-    same = rows.select("sid", "fp").join(rows.groupBy("sid").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most"), "sid")
-    known = same.select(F.col("fp").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
-    found = connected_components(near_links(reps, tau).unionByName(known)).withColumnRenamed("node", "fp")
-    reps = stage(reps.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
-
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "sig", "fp", "n", "odd")).alias("x")).select("sid", "x.*")
-    classes = stage(classes.join(reps.select("fp", "component"), "fp").select("sid", "doc", "sig", "component", "n", "odd"), "classes")
-    once = rows.where("n > 0").drop("n", "odd").join(classes, ["sid", "doc", "sig"]).dropDuplicates(["sid"])
-    postings = once.select("sid", "n", "component", F.posexplode("keys").alias("p", "key"))
-    hot = counts * every > BLOCK // 2
-    if hot.any():
-        spark = docs.sparkSession
-        table = F.broadcast(spark.createDataFrame([(int(k), int(2 * c * every // BLOCK) + 1) for k, c in zip(keys[hot], counts[hot])], "key long, g long"))
-        dealt = postings.join(table, "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("m", F.pmod(F.xxhash64("sid"), "g"))
-        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.least("m", o) * F.col("g") + F.greatest("m", o))
-        postings = dealt.select("key", "sid", "n", "p", "component", F.explode(pair).alias("part"))
-    else:
-        postings = postings.withColumn("part", F.lit(0).cast("long"))
-
-    for star in (True, False):
-        pairs = stage(_candidates(postings, star), "candidates")
-        found = stage(connected_components(_verified(pairs, classes, plain, width)).select(F.col("node").alias("component"), F.col("component").alias("to")), "merged")
-        merged = lambda df: df.join(found, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")  # noqa: B023, E731
-        reps, classes, postings = stage(merged(reps), "grouped"), stage(merged(classes), "classes"), merged(postings)
-
-    stay = stage(reps.groupBy("component").agg(F.min("first").alias("first")).select("first.doc", "first.sig"), "kept")
-    kept = docs.select(F.struct("*").alias("row"), doc, sig).join(stay, ["doc", "sig"], "left_semi")
-    if not rows.groupBy("doc", "sig").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc", "sig"])
-    return kept.select("row.*")
+    texts = texts_of(docs)
+    rows = stage(describe(texts, bucket_loads(texts, width), width, extra=lambda t: fingerprint_of(shingle_hashes(t, width))), "described")
+    reps = _fingerprint_components(rows, tau)
+    classes = stage(classes_of(rows).join(reps.select("fp", "component"), "fp").drop("fp").withColumn("began", F.col("component")), "classes")
+    merged = merge_near(rows, classes, texts, width)
+    became = stage(merged.where("began <> component").select(F.col("began").alias("component"), F.col("component").alias("to")).distinct(), "became")
+    last = reps.join(became, "component", "left").groupBy(F.coalesce("to", "component").alias("component")).agg(F.min("first").alias("first"))
+    stay = stage(last.select("first.doc", "first.sig"), "kept")
+    repeated = not rows.groupBy("doc", "sig").count().where("count > 1").isEmpty()
+    for t in (rows, reps, merged, became):
+        release(t)
+    keyed = docs.select(F.struct("*").alias("row"), *row_key())
+    kept = keyed.join(stay, ["doc", "sig"], "left_semi")
+    return (kept.dropDuplicates(["doc", "sig"]) if repeated else kept).select("row.*")
