@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash within each source, ranked, and ordered by fractional rank
-``(rank + 1/2) / rows of the source``; cutting that order into equal runs gives every shard each source's share
-to within a row. Ranks come from counts of hash ranges plus a row number inside a range, so no task ever sorts a
+``(rank + offset) / rows of the source`` with an offset in [0, 1) of the source's own, from a seeded hash; cutting that
+order into equal runs gives every shard each source's share to within a row. With one offset for all, sources of one
+row would all stand in the middle, in few shards and in one range; with their own they are spread like all else. Ranks come from counts of hash ranges plus a row number inside a range, so no task ever sorts a
 whole source or the whole table. Rows alike in all are counted and numbered, and their number is hashed too, so
 that no key, not even a null id that a third of all rows share, fills a range of its own.
 """
@@ -76,8 +77,9 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, carry:
     counts = counts.select("stratum", "range", (before - ahead).alias("shift"), F.sum("n").over(own).alias("of"))
     place = F.row_number().over(W.partitionBy("range").orderBy("stratum", *ties)) - 1  # a range is as large for any mix of sources
     ranked = rows.withColumn("place", place).join(counts, ["stratum", "range"]).withColumn("rank", F.col("place") + F.col("shift"))
-    placed = stage(ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("of"))).drop("range", "place", "shift", "of", "rank"), "ranked")
-    placed = placed.withColumn("range", F.floor(F.col("fraction") * ranges))
+    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "stratum"), 12) / float(1 << 52)
+    placed = stage(ranked.withColumn("fraction", (F.col("rank") + offset) / F.col("of")).drop("range", "place", "shift", "of", "rank"), "ranked")
+    placed = placed.withColumn("range", F.least(F.floor(F.col("fraction") * ranges), F.lit(ranges - 1)))
     counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # one row per range
     at = placed.join(counts, "range").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("range").orderBy("fraction", "stratum", *ties)) - 1)
