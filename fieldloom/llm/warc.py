@@ -149,7 +149,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     same = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(same.where("n > 1").drop("n"), "digest", "left")
+    same = stage(same.where("n > 1").drop("n"), "first-pages")  # staged, so that AQE can split the payloads of one digest
+    rows = rows.join(same, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -229,11 +230,26 @@ def read_files(spark: SparkSession, glob: str, texts: bool = False) -> DataFrame
     return spark.read.format("binaryFile").load(glob).select("content").mapInArrow(run, FIELDS + ", url string, payload binary" * texts)
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """The records, each revisit held against the response that it names: another digest there, or none, raises.
+
+    What is compared are ids and digests; a page with very many revisits is split by AQE, as both sides are staged.
+    """
+    records = stage(records, "records")
+    known = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    known = stage(known.withColumn("held", F.lit(True)), "responses")
+    found = records.join(known, ["refers_to", "payload_digest"], "left")
+    wrong = F.raise_error(F.concat(F.lit("Corrupt: a revisit's digest isn't that of response "), F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))
+    kind = F.when((F.col("record_type") == "response") | F.col("held"), F.col("record_type")).otherwise(wrong)
+    return found.select(*[kind.alias(c) if c == "record_type" else F.col(c) for c in records.columns])
+
+
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the pages and read the archives back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
     Null html: an empty payload. Null url: no target URI. Null page_id: read back as null; it never is the page
     referred to. Rows that share the smallest page_id of a payload are all responses; other repeated rows are
-    revisits. Empty table: no archives and no rows. A damaged archive raises ``Corrupt``.
+    revisits. Empty table: no archives and no rows. A damaged archive raises ``Corrupt``, a revisit whose response has
+    another digest fails likewise.
     """
-    return read_archives(write_archives(pages, folder or new_path(pages.sparkSession, "warc")))
+    return verified(read_archives(write_archives(pages, folder or new_path(pages.sparkSession, "warc"))))
