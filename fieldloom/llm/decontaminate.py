@@ -6,22 +6,25 @@ hits of pieces place the item in a text, and Myers' bit-parallel distance, a bit
 once for each stretch of text that hits of one item cover, however many lie in it. Words are runs of letters and
 digits; in scripts that are written without spaces each character is one.
 
-The items are taken in blocks of bounded size; a block's tables are broadcast and the documents scanned once.
+The items are taken in blocks of bounded size; a block's tables are broadcast and the documents scanned once,
+and its result is written before the next block is made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import plain_tokens, window_hashes, word_hashes
+from fieldloom.staging import stage
 
 BUDGET = 0.2
 #: Items of fewer words are left out unless a caller asks for them: chance repeats them.
@@ -160,11 +163,19 @@ def matches(items: Items, sieves: dict[int, np.ndarray], text: bytes | None) ->
     return out
 
 
-def blocks(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> Iterator[Items]:
-    """The items in blocks of bounded size; equal texts come in one block."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    k = max(-(-size["n"] // BLOCK_ITEMS), -(-size["b"] // BLOCK_BYTES), 1)
+def block_count(benchmark: DataFrame) -> int:
+    """How many blocks of bounded size the items make."""
+    size = _rows(benchmark).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    return max(-(-size["n"] // BLOCK_ITEMS), -(-size["b"] // BLOCK_BYTES), 1)
+
+
+def _rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+
+
+def blocks(benchmark: DataFrame, least_words: int = LEAST_WORDS, k: int | None = None) -> Iterator[Items]:
+    """The items in ``k`` blocks, by default of bounded size; equal texts come in one block. One is made at a time."""
+    rows, k = _rows(benchmark), k or block_count(benchmark)
     for b in range(k):
         own = rows if k == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(k)) == b)
         yield Items.of([(r["item_id"], r["text"]) for r in own.collect()], least_words=least_words)
@@ -194,9 +205,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     rows. Other columns are not read.
     """
 
-    def scan(items: Items) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
+    def scan(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             sieves = _tables(items)
@@ -209,10 +220,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
                     names = [f.split()[0] for f in FIELDS.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         return rows.mapInArrow(run, FIELDS)
 
-    return reduce(DataFrame.unionByName, map(scan, blocks(benchmark, least_words)))
+    return _each_block(benchmark, least_words, scan)
+
+
+def _each_block(benchmark: DataFrame, least_words: int, scan: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """What ``scan`` gives for all blocks of items. With more blocks than one each result is written before the next
+    block is made, so that one block at a time is on the driver and the executors."""
+    k = block_count(benchmark)
+    context = benchmark.sparkSession.sparkContext
+    if k == 1:
+        return scan(context.broadcast(next(blocks(benchmark, least_words, 1))))
+    found = []
+    for items in blocks(benchmark, least_words, k):
+        shared = context.broadcast(items)
+        found.append(stage(scan(shared), "matches"))
+        shared.destroy()
+        del items, shared
+    return reduce(DataFrame.unionByName, found)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -222,15 +248,30 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_W
     documents stay.
     """
 
-    def scan(docs: DataFrame, items: Items) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    if block_count(benchmark) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(blocks(benchmark, least_words, 1)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             sieves = _tables(items)
             for b in batches:
                 yield b.filter(pa.array([not matches(items, sieves, t.as_py()) for t in b.column("text").cast(pa.binary())], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(clean, docs.schema)
+    doc, sig = F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("sig")
+    texts = docs.select(doc, sig, F.col("text").cast("binary").alias("text"))
+
+    def scan(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            sieves = _tables(items)
+            for b in batches:
+                dirty = pa.array([bool(matches(items, sieves, t.as_py())) for t in b.column("text")], pa.bool_())
+                yield b.select(["doc", "sig"]).filter(dirty)
+
+        return texts.mapInArrow(run, "doc long, sig long")
 
-    return reduce(scan, blocks(benchmark, least_words), docs)
+    dirty = stage(_each_block(benchmark, least_words, scan).distinct(), "dirty")
+    rows = docs.select(F.struct("*").alias("row"), doc, sig)
+    gone = (rows["sig"] == dirty["sig"]) & rows["doc"].eqNullSafe(dirty["doc"])
+    return rows.join(dirty, gone, "left_anti").select("row.*")
