@@ -11,10 +11,13 @@ both are softmaxes of the prediction's products with vectors plus biases, so the
 two square roots. Within the shared symbol a word has its add-one share of the symbol's counts, so the result is a
 distribution over the vocabulary and one unseen word, like the base model.
 
-Training. Each document's symbols are staged once. Documents are dealt by a hash of id and text to *streams*, whose
-number follows from the tokens alone; a stream goes once over its documents in the order of their hashes, in
-minibatches, from the unigram distribution. A parameter becomes its start plus the mean change in the streams that
-touched it. The means are sums of whole numbers, so neither partitions nor their order change the model.
+Training. Each document's symbols are staged once. Documents are dealt by a hash of id and text to *streams*, and
+streams to *rounds*, whose numbers follow from the tokens alone. In a round each stream goes once over its documents in the
+order of their hashes, in minibatches, from the model of the round before (first: the unigram distribution). A
+parameter, and what AdaGrad has seen of it, then becomes its start plus the mean change in the streams that touched it.
+Each round learns from documents of its own, so rounds cost no further pass; what they add up to is that a parameter sees
+DEPTH tokens of learning in sequence instead of a stream's. Means are taken in the order of streams, so partitions don't
+change the model.
 
 Lookup. The counts of the most frequent words, as many as fit a fixed bound, are broadcast; occurrences of any
 other word are matched with its count by a join.
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.frequent import most_frequent
@@ -45,11 +48,13 @@ NOISE, OWN_NOISE, BATCH, RATE = 32, 2, 1536, 0.3
 CHUNK = 64
 #: Tokens of a stream on average, and documents' tokens that are learned from at a time.
 STREAM, LEARN = 1 << 20, 1 << 16
+#: Tokens that are learned from one after the other, over all rounds: streams of a round run beside each other.
+DEPTH = 1 << 23
 #: Words whose counts are broadcast, at most.
 HEAD = 1 << 18
 _SLICE = 1 << 19
-#: Parameters in one row of a sum, and the fraction of one that is kept.
-_BLOCK, _UNIT = 1 << 13, 1 << 24
+#: Parameters in one row of a sum.
+_BLOCK = 1 << 13
 END = xxhash.xxh64_intdigest(b"", 1) - (1 << 64 if xxhash.xxh64_intdigest(b"", 1) >> 63 else 0)
 
 
@@ -267,14 +272,15 @@ class Trainer:
     """AdaGrad on the noise-contrastive objective: of groups, with noise shared by a minibatch, and of words within
     their group, with noise of their own."""
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int):
+    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int, seen: np.ndarray | None = None, unigram: np.ndarray | None = None):
+        """``seen`` is AdaGrad's state, ``unigram`` the log share of each word in its group; both as of a first round if not given."""
         self.m = model.like(model.flat().copy())
         self.groups = _group_noise(noise, model.width)
         self.log_kq = np.log(NOISE * self.groups).astype(np.float32)
-        self.own_log_kq = np.log(OWN_NOISE) + model.word_bias  # the start is the unigram distribution
+        self.own_log_kq = np.log(OWN_NOISE) + (model.word_bias if unigram is None else unigram)
         self.ends = np.concatenate([[0.0], np.cumsum(noise[:-2])])
         self.r = np.random.default_rng(seed)
-        self.seen = [np.full_like(x, 1e-3) for x in self.m.tables]
+        self.seen = list(self.m.like(seen.copy()).tables) if seen is not None else [np.full_like(x, 1e-3) for x in self.m.tables]
         self.words = 0
 
     def learn(self, c: np.ndarray, before: np.ndarray) -> None:
@@ -363,65 +369,86 @@ def streams_of(vocab: Vocabulary) -> int:
     return max(1, round(vocab.tokens / STREAM))
 
 
-def train(encoded: DataFrame, vocab: Vocabulary, seed: int = 42) -> LogBilinear:
-    """A model from all of ``encoded(mix, symbols)``: a stream trains on the documents whose hash deals them to it."""
-    noise = vocab.noise()
-    start = LogBilinear.start(noise, seed=seed)
-    streams = streams_of(vocab)
-    shared = encoded.sparkSession.sparkContext.broadcast((vocab.n_classes, noise, start))
-    size = start.flat().size
+def rounds_of(streams: int) -> int:
+    """Number of rounds that the streams are dealt to."""
+    return max(1, min(streams, DEPTH // STREAM))
+
+
+def round_of(mix: Column, held_out: Column, streams: int) -> Column:
+    """The round in which a document is learned from; -1 if it is held out."""
+    return F.when(held_out, -1).otherwise(F.pmod(F.pmod(mix, F.lit(streams)), F.lit(rounds_of(streams)))).cast("int")
+
+
+def _trained(part: DataFrame, vocab: Vocabulary, model: LogBilinear, seen: np.ndarray, unigram: np.ndarray, streams: int, seed: int) -> tuple[LogBilinear, np.ndarray]:
+    """The model and AdaGrad's state after a round over ``part(stream, mix, symbols)``."""
+    noise, size = vocab.noise(), len(seen)
+    shared = part.sparkSession.sparkContext.broadcast((vocab.n_classes, noise, model, seen, unigram))
+
+    def blocks(x: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in np.pad(x, (0, -size % _BLOCK)).reshape(-1, _BLOCK)], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_classes, noise, start = shared.value
-        begun = start.flat()
-        total, touched = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n_classes, noise, model, seen, unigram = shared.value
+        begun = model.flat()
         name, own, held, waiting = None, None, [], 0
 
         def learn() -> None:
             own.learn_texts(*laid_out(held, n_classes + 2))
 
-        def close() -> None:
+        def close() -> pa.RecordBatch:
             if held:
                 learn()
-            change = own.m.flat() - begun
-            total[:] += np.rint(change.astype(np.float64) * _UNIT).astype(np.int64)
-            touched[:] += change != 0
+            change, more = own.m.flat() - begun, np.concatenate([x.ravel() for x in own.seen]) - seen
+            n = -(-size // _BLOCK)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, name, np.int32)), blocks(change), blocks(more)], ["block", "stream", "change", "more"])
 
         for b in batches:
             for stream, symbols in zip(b.column(0).to_pylist(), b.column(1)):
                 if stream != name:
                     if own:
-                        close()
-                    name, own, held, waiting = stream, Trainer(start, noise, seed + stream), [], 0
+                        yield close()
+                    name, own, held, waiting = stream, Trainer(model, noise, seed + stream, seen, unigram), [], 0
                 held.append(np.frombuffer(symbols.as_py(), "<u2"))
                 waiting += len(held[-1])
                 if waiting >= LEARN:
                     learn()
                     held, waiting = [], 0
         if own:
-            close()
-            pad = np.zeros(-size % _BLOCK, np.int64)
-            rows = [np.concatenate([x, pad]).reshape(-1, _BLOCK) for x in (total, touched)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows[0]))), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in rows)], ["block", "total", "touched"])
+            yield close()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block, whose rows come in the order of streams."""
         sums: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for block, *parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                found = [np.frombuffer(x.as_py(), np.int64) for x in parts]
-                sums[block] = [x + y for x, y in zip(sums[block], found)] if block in sums else found
-        if sums:
-            means = [(block, (total / np.maximum(touched, 1) / _UNIT).astype(np.float32).tobytes()) for block, (total, touched) in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in means], pa.int64()), pa.array([x for _, x in means], pa.binary())], ["block", "change"])
-
-    tasks = min(streams, 10_000)
-    dealt = encoded.select(F.pmod("mix", F.lit(streams)).cast("int").alias("stream"), "mix", "symbols")
-    dealt = dealt.repartitionByRange(tasks, "stream").sortWithinPartitions("stream", "mix", "symbols").select("stream", "symbols")
-    parts = dealt.mapInArrow(run, "block long, total binary, touched binary")
-    means = parts.repartition(min(-(-size // _BLOCK), 64), "block").mapInArrow(add, "block long, change binary").orderBy("block").toArrow()
+                change, more = (np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in parts)
+                total = sums.setdefault(block, [np.zeros(_BLOCK), np.zeros(_BLOCK), np.zeros(_BLOCK, np.int64)])
+                for x, y in zip(total, (change, more, change != 0)):
+                    x += y
+        each = [[(x / np.maximum(n, 1)).astype(np.float32).tobytes() for x in (change, more)] for change, more, n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([x[k] for x in each], pa.binary()) for k in range(2))], ["block", "change", "more"])
+
+    dealt = part.repartitionByRange(min(streams, 10_000), "stream").sortWithinPartitions("stream", "mix", "symbols").select("stream", "symbols")
+    parts = dealt.mapInArrow(run, "block long, stream int, change binary, more binary")
+    parts = parts.repartition(min(-(-size // _BLOCK), 64), "block").sortWithinPartitions("block", "stream").drop("stream")
+    means = parts.mapInArrow(mean, "block long, change binary, more binary").orderBy("block").toArrow()
     if not means.num_rows:
-        return start
-    return start.like(start.flat() + np.concatenate([np.frombuffer(x, np.float32) for x in means["change"].to_pylist()])[:size])
+        return model, seen
+    flat = lambda k: np.concatenate([np.frombuffer(x, np.float32) for x in means[k].to_pylist()])[:size]
+    return model.like(model.flat() + flat("change")), seen + flat("more")
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, seed: int = 42) -> LogBilinear:
+    """A model from all of ``encoded(round, mix, symbols)``: a stream trains on the documents whose hash deals them to it."""
+    streams = streams_of(vocab)
+    rounds = rounds_of(streams)
+    model = LogBilinear.start(vocab.noise(), seed=seed)
+    seen, unigram = np.full(model.flat().size, 1e-3, np.float32), model.word_bias.copy()
+    dealt = encoded.select("round", F.pmod("mix", F.lit(streams)).cast("int").alias("stream"), "mix", "symbols")
+    for k in range(rounds):
+        of = len(range(k, streams, rounds))
+        model, seen = _trained(dealt.where(F.col("round") == k).drop("round"), vocab, model, seen, unigram, of, seed)
+    return model
 
 
 # -------------------------------------------------------------------------------------------------- scoring
@@ -478,7 +505,7 @@ def _encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 def _scored(encoded: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """``encoded`` without its symbols and words, and with ``lm``: their log10 probability under the network."""
     shared = encoded.sparkSession.sparkContext.broadcast((vocab.n_classes, model))
-    rows = encoded.drop("mix", "word", "times")
+    rows = encoded.drop("mix", "word", "times", "round")
     kept = [c for c in rows.columns if c != "symbols"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,8 +541,9 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(doc_id.alias("doc_id"), held_out, F.xxhash64(F.lit(42), doc_id, text).alias("mix"), text.alias("text"))
     counts = stage(count_words(rows.where("not held_out")), "counts")
     vocab = vocabulary(counts)
-    encoded = stage(_encoded(rows, vocab), "symbols")
-    model = train(encoded.where("not held_out"), vocab)
+    encoded = _encoded(rows, vocab).withColumn("round", round_of(F.col("mix"), F.col("held_out"), streams_of(vocab)))
+    encoded = stage(encoded, "symbols", "round")
+    model = train(encoded, vocab)
     rest = encoded.select("rid", F.explode(F.arrays_zip("word", "times")).alias("w")).select("rid", "w.word", "w.times")
     rest = rest.join(counts, "word").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     whole = _scored(encoded, vocab, model).join(rest, "rid", "left")
