@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import provenance, splits
+from fieldloom.staging import stage
 
 
 def check(name: str, violations: DataFrame) -> DataFrame:
@@ -85,10 +86,11 @@ def preview_leakage(manifest: DataFrame, files: DataFrame, quarantined: DataFram
 
     ``manifest`` has path, class_name, group_key, similarity_guard_group, sha256 and split; rows without a hash are
     left out. ``files`` and ``quarantined`` have paths, ``guards`` (guard_id, group_key), ``classes`` class_name, and
-    ``least`` what ``minimums`` gives. Every side is grouped before it is joined.
+    ``least`` what ``minimums`` gives. The manifest is read once and staged narrow, as are its overlaps; every side is
+    grouped before it is joined.
     """
-    m = manifest.where("sha256 is not null and sha256 <> ''")
-    over = splits.overlaps(m, ["sha256", "group_key", "similarity_guard_group"])
+    m = stage(manifest.where("sha256 is not null and sha256 <> ''").select("path", "class_name", "group_key", "similarity_guard_group", "sha256", "split"), "checked-rows")
+    over = stage(splits.overlaps(m, ["sha256", "group_key", "similarity_guard_group"]), "overlaps")
     tagged = m.where("similarity_guard_group <> ''")
     keys = m.groupBy("group_key").agg(F.collect_set("split").alias("held"), F.max("similarity_guard_group").alias("tag"))  # three splits at most
     absent = guards.join(keys, "group_key", "left_anti")

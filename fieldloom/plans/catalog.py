@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars, text
 from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
-from fieldloom.plans import audits, stores  # noqa: F401
+from fieldloom.plans import audits, reporting, stores, validations  # noqa: F401
 from fieldloom.plans.registry import oracle_sql, queries  # noqa: F401
 from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
@@ -365,11 +365,14 @@ def cluster_stats(spark, d):
 # ---------------------------------------------------------------------------------------------------- splits
 
 
+def _guards(spark, d):
+    keys = b.images(spark, d).select("group_key", F.element_at(F.split("group_key", "src"), -1).cast("int").alias("k")).distinct().where("k % 5 = 0")
+    return keys.select("group_key", F.concat(F.lit("guard:"), F.substring_index("group_key", ":::", 1), F.lit(":"), F.floor(F.col("k") / 10).cast("string")).alias("guard_id"))
+
+
 def _components(spark, d):
     groups = b.images(spark, d).groupBy("class_name", "group_key").agg(F.count(F.lit(1)).alias("images"))
-    guards = b.images(spark, d).select("group_key", F.element_at(F.split("group_key", "src"), -1).cast("int").alias("k")).distinct().where("k % 5 = 0")
-    guards = guards.select("group_key", F.concat(F.lit("guard:"), F.substring_index("group_key", ":::", 1), F.lit(":"), F.floor(F.col("k") / 10).cast("string")).alias("guard_id"))
-    return splits.components(groups, guards)
+    return splits.components(groups, _guards(spark, d))
 
 
 _COMPONENTS = f"""(SELECT class_name, coalesce(guard_id, group_key) AS component_id, CAST(sum(images) AS BIGINT) AS size, count(*) AS group_count FROM (
@@ -386,6 +389,37 @@ _ALLOCATED = f"""RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY class
 
 
 audits.register_allocation(_ALLOCATED, b.IMAGES)
+validations.register(_ALLOCATED, _COMPONENTS)
+
+
+_MEMBERS = f"""i AS (SELECT path, class_name, group_key, CASE WHEN k % 5 = 0 THEN 'guard:' || class_name || ':' || (k // 10) ELSE group_key END AS component_id FROM (SELECT *, CAST(string_split(group_key, 'src')[-1] AS INTEGER) AS k FROM {b.IMAGES})),
+    m AS (SELECT path, split FROM i JOIN a USING (class_name, component_id))"""
+
+
+@_query(
+    f"""WITH {_ALLOCATED}, {_MEMBERS}, c AS (SELECT 'integrity' AS report, 2 AS rows UNION ALL SELECT unnest(['components', 'allocation']), count(*) FROM a
+        UNION ALL SELECT unnest(['summary', 'deviation']), count(*) FROM (SELECT DISTINCT class_name, split FROM a) UNION ALL SELECT s, count(path) FROM (SELECT unnest(['train', 'val', 'test']) AS s) LEFT JOIN m ON s = split GROUP BY s)
+    SELECT report, rows, rows AS read FROM c"""
+)
+def split_build_reports(spark, d):
+    """The eight reports of a split build as one committed set, and how many rows of each are read back."""
+    images = b.images(spark, d)
+    groups = images.groupBy("class_name", "group_key").agg(F.count(F.lit(1)).alias("images"))
+    return reporting.committed_counts(spark, "splits", reporting.split_build(groups, _guards(spark, d), images), new_path(spark, "split-reports"))
+
+
+@_query(
+    f"""WITH h AS {b.HASHES}, i AS {b.IMAGES}, p AS {_PAIRS}, x AS (SELECT sha256, count(*) AS n, count(DISTINCT class_name) AS classes FROM i GROUP BY sha256), q AS (SELECT class_name FROM i JOIN x USING (sha256) WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR classes > 1),
+    c AS (SELECT unnest(['class_counts', 'id_join_summary']) AS report, count(DISTINCT class_name) AS rows FROM i UNION ALL SELECT unnest(['file_inventory', 'id_join']), count(*) FROM i
+        UNION ALL SELECT 'exact_duplicates', CAST(sum(n - 1) AS BIGINT) FROM x UNION ALL SELECT 'duplicate_summary', 1 UNION ALL SELECT 'cross_class_conflicts', count(*) FROM x WHERE classes > 1
+        UNION ALL SELECT 'near_pairs', count(*) FROM (SELECT DISTINCT hash FROM h) y JOIN (SELECT DISTINCT hash FROM h) z ON y.hash < z.hash AND bit_count(xor(y.hash, z.hash)) <= {RADIUS}
+        UNION ALL SELECT 'clusters', count(*) FROM (SELECT a FROM p UNION SELECT b FROM p) UNION ALL SELECT 'quarantine', count(*) FROM q UNION ALL SELECT 'quarantine_by_class', count(DISTINCT class_name) FROM q)
+    SELECT report, rows, rows AS read FROM c"""
+)
+def preparation_reports(spark, d):
+    """The eleven reports of a preparation run as one committed set."""
+    built = reporting.preparation(b.images(spark, d), b.hashes(spark, d), b.table(spark, d, "labels"), RADIUS)
+    return reporting.committed_counts(spark, "prepare", built, new_path(spark, "prepare-reports"))
 
 
 @_query(f"SELECT * FROM {_COMPONENTS}")

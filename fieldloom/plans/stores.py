@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.operators import analytics, resampling
 from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
-from fieldloom.sources import layout
+from fieldloom.sources import layout, numbered
 from fieldloom.staging import new_path
 from fieldloom.streaming import stored
 
@@ -98,3 +99,39 @@ def bootstrap_exact_rows(spark, d):
 def bootstrap_exact_units(spark, d):
     """Every resample has as many groups as the table."""
     return resampling.units_drawn(b.predictions(spark, d))
+
+
+# --------------------------------------------------------------------------------------- numbered validation
+
+_LANGS = "(SELECT lang AS class_name, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS class_index FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"
+
+
+@_query(
+    f"""WITH m AS (SELECT 'doc/' || CASE WHEN doc_id % 29 = 1 THEN doc_id - 1 ELSE doc_id END AS path, CASE WHEN doc_id % 50 = 3 THEN 'zz' ELSE lang END AS class_name, CASE WHEN doc_id % 41 = 0 THEN 'x' ELSE CAST(class_index + CASE WHEN doc_id % 37 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS class_index, doc_id
+        FROM documents JOIN {_LANGS} ON class_name = lang),
+    n AS (SELECT *, row_number() OVER (ORDER BY class_name, path, doc_id) AS number FROM m),
+    r AS (SELECT number, path, n.class_name, n.class_index, min(number) OVER (PARTITION BY path) < number AS again, l.class_index AS want, n.class_name = (SELECT max(class_name) FROM {_LANGS}) AS excluded,
+        path IN (SELECT 'doc/' || doc_id FROM labels) AS there FROM n LEFT JOIN {_LANGS} l USING (class_name)),
+    e AS (SELECT *, CASE WHEN again THEN 'duplicate_path' WHEN excluded THEN 'excluded_class' WHEN want IS NULL THEN 'class_out_of_scope' WHEN class_index = 'x' THEN 'index_not_integer'
+        WHEN CAST(class_index AS INTEGER) <> want THEN 'index_mismatch' WHEN NOT there THEN 'file_missing' END AS rule FROM r)
+    SELECT number, path, rule, CASE rule WHEN 'duplicate_path' THEN path WHEN 'excluded_class' THEN class_name WHEN 'class_out_of_scope' THEN class_name WHEN 'index_not_integer' THEN class_index
+        WHEN 'index_mismatch' THEN class_index || ' for ' || want ELSE path END AS detail FROM e WHERE rule IS NOT NULL"""
+)
+def manifest_row_errors(spark, d):
+    """What is wrong with each row of a manifest that was written as several CSV files, by its number over all of them."""
+    docs, i, path = b.table(spark, d, "documents"), F.col("doc_id"), new_path(spark, "manifest")
+    classes = docs.where("lang IS NOT NULL").groupBy(F.col("lang").alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
+    classes = classes.select("class_name", (F.row_number().over(W.orderBy("class_name")) - 1).alias("class_index"))  # a row for each language
+    index = F.when(i % 41 == 0, "x").otherwise((F.col("class_index") + F.when(i % 37 == 0, 1).otherwise(0)).cast("string"))
+    rows = docs.join(F.broadcast(classes), F.col("lang") == F.col("class_name")).select(
+        F.concat(F.lit("doc/"), F.when(i % 29 == 1, i - 1).otherwise(i).cast("string")).alias("path"),
+        F.when(i % 50 == 3, "zz").otherwise(F.col("lang")).alias("class_name"),
+        index.alias("class_index"),
+        "doc_id",
+        F.translate(F.substring("text", 1, 60), "\r", "").alias("note"),
+    )
+    rows.orderBy("class_name", "path", "doc_id").write.csv(path, header=True, emptyValue="", escape='"')
+    manifest = numbered.across_files(numbered.parsed(numbered.numbered(spark, path), rows.columns))
+    last = classes.agg(F.max("class_name").alias("class_name"))
+    files = b.table(spark, d, "labels").select(F.concat(F.lit("doc/"), i.cast("string")).alias("path"))
+    return numbered.manifest_errors(manifest, classes, classes.join(last, "class_name", "left_anti"), last, files, ["number"])

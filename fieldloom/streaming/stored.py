@@ -9,13 +9,14 @@ written anew over its own folder.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_COMMITS, _DIGITS = "commits", 12
+from fieldloom import commits
+
+_COMMITS = "commits"
 
 
 @dataclass(frozen=True)
@@ -36,33 +37,13 @@ class Counters:
 
     # ---------------------------------------------------------------------------------------------- commits
 
-    def _files(self):
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{_COMMITS}")
-        return at.getFileSystem(sc._jsc.hadoopConfiguration()), at, sc._jvm.org.apache.hadoop.fs.Path
-
     def state(self) -> Commit:
         """The last commit; the one of a new store has no rows."""
-        fs, at, _ = self._files()
-        if not fs.exists(at):
-            return Commit()
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return Commit()
-        text = self.spark.read.text(f"{self.path}/{_COMMITS}/{names[-1]}", wholetext=True).first()[0]
-        return Commit(**json.loads(text))
+        found = commits.last(self.spark, f"{self.path}/{_COMMITS}")
+        return Commit(found[0], **found[1]) if found else Commit()
 
     def _commit(self, c: Commit) -> None:
-        """Put a commit in place by a rename; it fails if another writer has taken its number."""
-        fs, at, path = self._files()
-        fs.mkdirs(at)
-        name = f"{c.number:0{_DIGITS}d}.json"
-        aside, there = path(f"{self.path}/{_COMMITS}/.{name}"), path(f"{self.path}/{_COMMITS}/{name}")
-        out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(c.__dict__, sort_keys=True).encode()))
-        out.close()
-        if fs.exists(there) or not fs.rename(aside, there):
-            raise RuntimeError(f"{there.toString()}: another writer has committed this number")
+        commits.put(self.spark, f"{self.path}/{_COMMITS}", c.number, {"folders": c.folders, "batches": c.batches})
 
     # --------------------------------------------------------------------------------------------- contents
 
@@ -99,7 +80,7 @@ class Counters:
             touched = sorted(r[0] for r in sums.select("bucket").distinct().collect())
             folders = dict(was.folders)
             if touched:
-                home = f"batch-{was.number + 1:0{_DIGITS}d}"
+                home = f"batch-{was.number + 1:012d}"
                 stored = self._read([f"{self.path}/{folders[str(k)]}" for k in touched if str(k) in folders]).withColumn("bucket", self._bucket())
                 new = stored.unionByName(sums).groupBy("bucket", self.key).agg(F.sum(self.value).alias(self.value))
                 new.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{home}")
@@ -111,16 +92,13 @@ class Counters:
 
     def vacuum(self) -> int:
         """Delete the commits but the last, and the bucket tables that it doesn't name; returns how many of these."""
-        fs, at, path = self._files()
-        now = self.state()
-        held, gone = set(now.folders.values()), 0
+        fs, path = commits.files(self.spark, self.path)
+        held, gone = set(self.state().folders.values()), 0
         for s in fs.globStatus(path(f"{self.path}/batch-*/bucket=*")) or []:
             p = s.getPath()
             if f"{p.getParent().getName()}/{p.getName()}" not in held:
                 gone += fs.delete(p, True)
-        for s in fs.listStatus(at) if fs.exists(at) else []:
-            if s.getPath().getName() < f"{now.number:0{_DIGITS}d}.json":
-                fs.delete(s.getPath(), False)
+        commits.trim(self.spark, f"{self.path}/{_COMMITS}")
         return gone
 
 
