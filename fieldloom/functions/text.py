@@ -99,6 +99,19 @@ def blight_name(path: Column) -> Column:
     return F.struct(s.rlike(BLIGHT_NAME).alias("parsed"), prefix.alias("session_prefix"), leaf.alias("leaf_number"), _number(s, BLIGHT_NAME, 4).alias("sub_index"), _number(s, BLIGHT_NAME, 6).alias("day_number"), key.alias("group_key"))
 
 
+def name_flags(path: Column) -> dict[str, Column]:
+    """What a file name shows: a decimal suffix, a day, an upper-case extension, a UUID, or no convention at all."""
+    bare = strip_extension(F.element_at(F.split(path, "/"), -1))
+    plain = F.regexp_replace(bare, UUID_PREFIX, "")
+    return {
+        "decimal_suffix": plain.rlike(r"\d\.\d+(\s|$)"),
+        "dated": plain.rlike(r"(?i)\sDay\s*\d+\s*$"),
+        "upper_extension": path.rlike(r"\.[A-Z]+$"),
+        "uuid_prefixed": bare.rlike(UUID_PREFIX),
+        "unparsed": ~plain.rlike(HEALTHY_NAME) & ~plain.rlike(BLIGHT_NAME),
+    }
+
+
 def first_underscore(x: Column) -> Column:
     """The first underscore as a space."""
     return F.regexp_replace(x, "^([^_]*)_", "$1 ")

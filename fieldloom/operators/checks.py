@@ -199,6 +199,17 @@ def approved_counts(groups: DataFrame, approved: DataFrame) -> DataFrame:
     return summary_agreement(approved, found, "class_name", ["groups", "images"])
 
 
+def large_groups(groups: DataFrame, approved: DataFrame, least: int) -> DataFrame:
+    """``(group_key, images, finding)`` where large groups (group_key, images) and the approved ones (group_key) differ.
+
+    A group of ``least`` images or more must be approved, and an approved one must be among the groups.
+    """
+    a = approved.select("group_key").distinct().withColumn("approved", F.lit(True))
+    both = groups.select("group_key", "images").join(a, "group_key", "full_outer")
+    finding = F.when(F.col("images").isNull(), "approved_but_absent").when((F.col("images") >= least) & F.col("approved").isNull(), "large_but_not_approved")
+    return both.select("group_key", F.coalesce("images", F.lit(0)).alias("images"), finding.alias("finding")).where("finding IS NOT NULL")
+
+
 def set_difference(expected: DataFrame, found: DataFrame, column: str) -> DataFrame:
     """What one set has and the other lacks: ``(value, side)``; no rows if they are equal."""
     e, f = expected.select(F.col(column).alias("value")).distinct(), found.select(F.col(column).alias("value")).distinct()

@@ -107,3 +107,39 @@ def quota_sample(groups: DataFrame, n: int, quota: int = 2) -> DataFrame:
     rest = stratified_sample(groups.join(first, "group_key", "left_anti"), n).select(*groups.columns)
     left = first.withColumn("pass", F.lit(1)).unionByName(rest.withColumn("pass", F.lit(2)))
     return left.orderBy("pass", "size", "group_key").limit(n)
+
+
+def group_lineage(images: DataFrame, leaf_ids: DataFrame, filename_groups: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """``(path, class_name, group_key, group_source, fate)`` of images: the leaf id of a path goes before its file-name group.
+
+    ``leaf_ids`` (path, leaf_id) and ``filename_groups`` (path, filename_group) have a row for a path at most; empty ids are
+    none. ``fate`` is ``duplicate`` for the ``duplicates`` (path), ``eligible`` with a group, else ``quarantined``.
+    """
+    d = duplicates.select("path").distinct().withColumn("duplicate", F.lit(True))
+    rows = images.select("path", "class_name").join(d, "path", "left").join(leaf_ids.select("path", "leaf_id"), "path", "left").join(filename_groups.select("path", "filename_group"), "path", "left")
+    leaf, name = F.nullif("leaf_id", F.lit("")), F.nullif("filename_group", F.lit(""))
+    own = F.col("duplicate").isNull()
+    source = F.when(leaf.isNotNull(), "leaf_id").when(name.isNotNull(), "tomato_filename_group")
+    fate = F.when(~own, "duplicate").when(source.isNotNull(), "eligible").otherwise("quarantined")
+    return rows.select("path", "class_name", F.when(own, F.coalesce(leaf, name)).alias("group_key"), F.when(own, source).alias("group_source"), fate.alias("fate"))
+
+
+def cluster_quarantine(images: DataFrame, leaf_ids: DataFrame, members: DataFrame, approved: DataFrame, exact_conflicts: DataFrame, cluster_conflicts: DataFrame) -> DataFrame:
+    """``(path, class_name, group_source, reasons)``: an image without a leaf id needs a reviewed cluster.
+
+    ``members`` (path, cluster_id) are those of clusters within a class, ``approved`` the reviewed cluster_ids. Images of a
+    conflict between classes (path), by content or by cluster, are kept out whatever their group.
+    """
+    mark = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    reviewed = members.join(approved.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    rows = images.select("path", "class_name").join(mark(leaf_ids.where("leaf_id <> ''"), "path", "leaf"), "path", "left").join(mark(reviewed, "path", "reviewed"), "path", "left")
+    rows = rows.join(mark(exact_conflicts, "path", "exact"), "path", "left").join(mark(cluster_conflicts, "path", "cluster"), "path", "left")
+    source = F.when(F.col("leaf"), "leaf_id").when(F.col("reviewed"), "reviewed_phash_cluster")
+    reasons = F.array_compact(F.array(F.when(F.col("exact"), "cross_class_exact_hash_conflict"), F.when(F.col("cluster"), "cross_class_phash_conflict"), F.when(source.isNull(), "no_leaf_id_match_and_no_approved_cluster")))
+    return rows.select("path", "class_name", source.alias("group_source"), reasons.alias("reasons"))
+
+
+def class_collisions(values: DataFrame, column: str) -> DataFrame:
+    """``(value, classes)``: values of a column that occur in several classes (class_name), with these."""
+    held = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sort_array(F.collect_set("class_name")).alias("classes"))  # a model's classes at most
+    return held.where(F.size("classes") > 1)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions import sql, text
 from fieldloom.operators import analytics, resampling
 from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
-from fieldloom.sources import layout, numbered
+from fieldloom.sources import digests, layout, numbered
 from fieldloom.staging import new_path
 from fieldloom.streaming import stored
 
@@ -135,3 +136,56 @@ def manifest_row_errors(spark, d):
     last = classes.agg(F.max("class_name").alias("class_name"))
     files = b.table(spark, d, "labels").select(F.concat(F.lit("doc/"), i.cast("string")).alias("path"))
     return numbered.manifest_errors(manifest, classes, classes.join(last, "class_name", "left_anti"), last, files, ["number"])
+
+
+# ---------------------------------------------------------------------------------------------- SQL functions
+
+_MARKED = text.SECTION.replace("(?i)", "").replace("'", "''")
+
+
+def _view(df, name):
+    df.createOrReplaceTempView(name)
+    return df.sparkSession
+
+
+@_query(
+    rf"""WITH p AS (SELECT id, string_split(regexp_replace(text, '{_MARKED}', chr(1) || '\1' || chr(2), 'gi'), chr(1))[2:] AS parts FROM {b.RESPONSES}),
+    e AS (SELECT id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS place FROM p)
+    SELECT id, CAST(place AS INTEGER) AS place, upper(split_part(part, chr(2), 1)) AS name, regexp_replace(split_part(part, chr(2), 2), '^\s+|\s+$', '', 'g') AS body FROM e"""
+)
+def sql_response_sections(spark, d):
+    """The sections of every response, asked for in SQL text."""
+    sql.register(_view(b.responses(spark, d), "fieldloom_responses"))
+    return spark.sql("SELECT id, s.* FROM fieldloom_responses, LATERAL response_sections(text) AS s")
+
+
+@_query(
+    rf"""WITH f AS (SELECT id, kind, regexp_replace(regexp_replace(string_split(path, '/')[-1], '\.(jpg|jpeg)$', '', 'i'), '{text.UUID_PREFIX.removeprefix("(?i)")}', '', 'i') AS s FROM {b.LEAF_FILES}),
+    x AS (SELECT id, kind, regexp_extract(s, '{text.HEALTHY_NAME}', 1) AS h1, regexp_extract(s, '{text.BLIGHT_NAME}', 1) AS p, regexp_extract(s, '{text.BLIGHT_NAME}', 2) AS b2, regexp_extract(s, '{text.BLIGHT_NAME}', 6) AS b6 FROM f),
+    k AS (SELECT id, CASE WHEN kind = 'healthy' THEN CASE WHEN h1 <> '' THEN 'th::Leaf' || CAST(h1 AS INTEGER) END
+        ELSE CASE WHEN p <> '' THEN 'tlb::' || CASE WHEN upper(p) = 'GH_HL' THEN p ELSE upper(p) END || '::Leaf' || CAST(b2 AS INTEGER) END END AS group_key, CASE WHEN kind = 'blight' THEN TRY_CAST(b6 AS INTEGER) END AS day FROM x)
+    SELECT group_key, count(*) AS files, count(day) AS dated FROM k GROUP BY group_key"""
+)
+def sql_leaf_groups(spark, d):
+    """How many files each leaf has, by both naming conventions, in SQL text."""
+    sql.register(_view(b.leaf_files(spark, d), "fieldloom_files"))
+    return spark.sql(
+        """SELECT if(kind = 'healthy', h.group_key, g.group_key) AS group_key, count(*) AS files, count(if(kind = 'healthy', NULL, g.day_number)) AS dated
+        FROM fieldloom_files, LATERAL healthy_leaf(path) AS h, LATERAL blight_leaf(path) AS g GROUP BY 1"""
+    )
+
+
+# ------------------------------------------------------------------------------------------------ file digests
+
+
+@_query(
+    """SELECT lang || '/' || (doc_id // 250) AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS length, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256
+    FROM documents WHERE lang IS NOT NULL GROUP BY ALL"""
+)
+def file_digests(spark, d):
+    """Documents written as files of 250 ids and a language each, and the digest of every file's bytes."""
+    path, part = new_path(spark, "files"), F.floor(F.col("doc_id") / 250)
+    rows = b.table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("value"), "lang", part.alias("part"))
+    rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id").drop("doc_id").write.partitionBy("lang", "part").text(path)
+    found = digests.file_digests(spark, path, "*.txt")
+    return found.select(F.regexp_replace(F.regexp_extract("path", "lang=([^/]*/part=[^/]*)/", 1), "part=", "").alias("folder"), "length", "sha256")
