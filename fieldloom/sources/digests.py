@@ -53,7 +53,7 @@ def file_digests(spark: SparkSession, path: str, glob: str = "*", most: int | No
     """``(path, length, pieces, sha256, error)`` of the files below a folder, in the order of folder and name.
 
     A file of over ``most`` bytes isn't opened: TOO_LARGE. One that can't be read, say because it went meanwhile: UNREADABLE.
-    An empty file has no pieces and the digest of nothing. ``tasks`` deals the files by name to so many tasks.
+    Spark's listing passes over empty files, so these give no row. ``tasks`` deals the files by name to so many tasks.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     named = files.select("path", "length")
