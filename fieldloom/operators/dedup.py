@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars
@@ -118,29 +118,95 @@ def clusters(hashes: DataFrame, most: int) -> DataFrame:
 
 #: Distinct hashes of a cluster that are compared with as many others in one task.
 BLOCK = 2048
+#: Members of a large cluster, besides its centre, that bound its distances.
+PIVOTS = 3
+#: Distances to the centre, and to the first pivot, that share a cell.
+_CELL = (2, 4)
 
 
-def cluster_stats(members: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Size, greatest distance over all pairs of members, and whether classes mix, of each cluster.
+def _xor_bits(c: str, other: str) -> Column:
+    return F.bit_count(F.col(c).bitwiseXOR(F.col(other)))
+
 
-    Distances are taken among distinct hashes, a large cluster's in pairs of blocks, and only maxima leave a task.
+def pivoted(large: DataFrame) -> DataFrame:
+    """Staged ``(cluster_id, hash, d, least)``: distances ``d`` of each hash to pivots of its cluster, and a length that some pair has.
+
+    The first pivot is the cluster's centre, each bit as most members have it; the second is the member farthest from it,
+    and each other one the member farthest from all pivots so far. Distances to members are such lengths.
+    """
+    on = lambda k: 2 * F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(1))) > F.count(F.lit(1))
+    centre = F.lit(0).cast("long")
+    for k in range(64):
+        centre = centre.bitwiseOR(F.when(on(k), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    centre = large.groupBy("cluster_id").agg(centre.alias("pivot"))
+    rows = large.select("cluster_id", "hash", F.array().cast("array<int>").alias("d"), F.lit(0).alias("least"))
+    for k in range(PIVOTS + 1):
+        # one row of a large cluster, which has BLOCK hashes at least: staged, so that AQE may split the cluster's side
+        pivots = stage(centre if k == 0 else rows.groupBy("cluster_id").agg(F.max_by("hash", F.struct(F.array_min("d"), "hash")).alias("pivot")), "pivots")
+        at = rows.join(pivots, "cluster_id").withColumn("x", _xor_bits("hash", "pivot").cast("int"))
+        rows = at.select("cluster_id", "hash", F.concat("d", F.array("x")).alias("d"), F.greatest("least", F.when(F.lit(k > 0), F.col("x")).otherwise(0)).alias("least"))
+        rows = stage(rows, "pivoted")
+    return rows
+
+
+def block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks ``(cluster_id, hash, block)``, what is known of each, and ``(cluster_id, a, b, na, nb)``: the pairs of blocks
+    of pivoted hashes that may hold a distance above what is known.
+
+    A block is a cell of like distances to the first two pivots, cut by a hash into blocks of BLOCK on average. By the triangle
+    inequality no pair of two blocks is farther apart than the least sum of their greatest distances to one pivot.
+    """
+    cells = [F.floor(F.get("d", F.lit(k)) / w).cast("long") for k, w in enumerate(_CELL)]
+    cell = (cells[0] * 64 + cells[1]).alias("cell")
+    keyed = rows.select("cluster_id", "hash", "d", "least", cell)
+    size = keyed.groupBy("cluster_id", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("g"))
+    blocks = stage(keyed.join(stage(size, "cells"), ["cluster_id", "cell"]).select("cluster_id", "hash", "d", "least", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("hash"), "g")).alias("block")), "blocks")
+    top = [F.max(F.get("d", F.lit(k))).alias(f"d{k}") for k in range(PIVOTS + 1)]
+    known = blocks.groupBy("cluster_id").agg(F.max("least").alias("known"))
+    per = stage(blocks.groupBy("cluster_id", "block").agg(F.count(F.lit(1)).alias("n"), *top).join(known, "cluster_id"), "block-bounds")
+    side = lambda x: per.select("cluster_id", "known", F.col("block").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"d{k}").alias(f"{x}{k}") for k in range(PIVOTS + 1)])
+    both = side("a").join(side("b"), ["cluster_id", "known"]).where("a <= b")
+    bound = F.least(*[F.col(f"a{k}") + F.col(f"b{k}") for k in range(PIVOTS + 1)])
+    return blocks, per, both.where(bound > F.col("known")).select("cluster_id", "a", "b", "na", "nb")
+
+
+def diameters(uniq: DataFrame) -> DataFrame:
+    """``(cluster_id, max_distance)`` of the distinct hashes ``(cluster_id, hash)``, staged, of each cluster.
+
+    A cluster of up to BLOCK hashes is one task's. A larger one is compared in pairs of blocks, of which those go that
+    can't hold more than a distance that is known; only maxima leave a task.
     """
-    m = members.join(hashes, "id")
-    sizes = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("class_index").alias("classes"))
-    uniq = stage(m.select("cluster_id", "hash").distinct(), "cluster-hashes")
-    blocks = uniq.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("g"))
-    dealt = uniq.join(blocks, "cluster_id").withColumn("block", F.pmod(F.xxhash64("hash"), "g"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.least("block", o) * F.col("g") + F.greatest("block", o))
-    dealt = dealt.select("cluster_id", "hash", "block", F.explode(pair).alias("part"))
 
     def farthest(key: tuple, t: pa.Table) -> pa.Table:
-        h, block = t["hash"].to_numpy(), t["block"].to_numpy()
-        own, other = h[block == block[0]], h[block != block[0]]
+        h, side = t["hash"].to_numpy(), t["side"].to_numpy()
+        own, other = h[side == 0], h[side == 1]
         other = other if len(other) else own
         most = max(int(np.bitwise_count((x ^ other).view(np.uint64)).max()) for x in own)
         return pa.table({"cluster_id": [key[0].as_py()], "max_distance": pa.array([most], pa.int32())})
 
-    far = dealt.groupBy("cluster_id", "part").applyInArrow(farthest, "cluster_id long, max_distance int").groupBy("cluster_id").agg(F.max("max_distance").alias("max_distance"))
+    sizes = stage(uniq.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
+    small = uniq.join(sizes.where(F.col("n") <= BLOCK).select("cluster_id"), "cluster_id")
+    schema = "cluster_id long, max_distance int"
+    far = small.withColumn("side", F.lit(0)).groupBy("cluster_id").applyInArrow(farthest, schema)
+    large = sizes.where(F.col("n") > BLOCK).select("cluster_id")
+    if large.isEmpty():
+        return far
+    blocks, per, pairs = block_pairs(pivoted(uniq.join(large, "cluster_id")))
+    pairs = stage(pairs, "block-pairs")
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
+    asked = pairs.select("cluster_id", "a", "b", F.explode(ends).alias("e")).select("cluster_id", "a", "b", "e.block", "e.side")
+    dealt = blocks.select("cluster_id", "block", "hash").join(asked, ["cluster_id", "block"])
+    compared = dealt.groupBy("cluster_id", "a", "b").applyInArrow(farthest, schema)
+    known = per.groupBy("cluster_id").agg(F.max("known").cast("int").alias("max_distance"))
+    return far.unionByName(compared).unionByName(known)
+
+
+def cluster_stats(members: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Size, greatest distance over all pairs of members, and whether classes mix, of each cluster."""
+    m = members.join(hashes, "id")
+    sizes = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("class_index").alias("classes"))
+    uniq = stage(m.select("cluster_id", "hash").distinct(), "cluster-hashes")
+    far = diameters(uniq).groupBy("cluster_id").agg(F.max("max_distance").alias("max_distance"))
     return sizes.join(far, "cluster_id").select("cluster_id", "members", "max_distance", (F.col("classes") > 1).alias("cross_class"))
 
 
