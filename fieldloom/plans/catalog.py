@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars, text
 from fieldloom.operators import analytics, checks, dedup, evaluation, lineage, provenance, splits
-from fieldloom.plans import audits, details, reporting, stores, validations  # noqa: F401
+from fieldloom.plans import audits, details, reporting, round_trips, stores, validations  # noqa: F401
 from fieldloom.plans.registry import oracle_sql, queries  # noqa: F401
 from fieldloom.plans.registry import query as _query
 from fieldloom.sources import bindings as b
