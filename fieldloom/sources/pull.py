@@ -7,10 +7,9 @@ an error status is a row with that error, never a failed task; what may pass is
 
 from __future__ import annotations
 
+import http.client
 import time
-import urllib.error
 import urllib.parse
-import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +25,28 @@ TIMEOUT_MS = (1000, 120_000, 30_000)
 RETRIED = {408, 425, 429, 500, 502, 503, 504}
 
 
-def _reason(e: Exception) -> str:
-    """TIMEOUT or UNREACHABLE."""
-    cause = getattr(e, "reason", e)
-    return "TIMEOUT" if isinstance(e, TimeoutError) or isinstance(cause, TimeoutError) else "UNREACHABLE"
+#: The connections of this process, by scheme and host: a worker keeps one for all the pages that it asks a host for.
+_lines: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+
+def _connection(scheme: str, host: str, timeout_s: float, fresh: bool = False) -> http.client.HTTPConnection:
+    if fresh:
+        _drop(scheme, host)
+    line = _lines.get((scheme, host))
+    if line is None:
+        kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+        line = _lines[scheme, host] = kind(host, timeout=timeout_s)
+        line.used = False
+    line.timeout = timeout_s
+    if line.sock:
+        line.sock.settimeout(timeout_s)
+    return line
+
+
+def _drop(scheme: str, host: str) -> None:
+    line = _lines.pop((scheme, host), None)
+    if line:
+        line.close()
 
 
 @dataclass(frozen=True)
@@ -59,8 +76,7 @@ class Request:
     def _answer(self, url: str) -> tuple[int | None, bytes]:
         """Status and body, a byte more of it than is allowed at most; a recording has no status."""
         if urllib.parse.urlsplit(url).scheme in ("http", "https"):
-            with urllib.request.urlopen(url, timeout=self.timeout_s) as answer:
-                return answer.status, answer.read(self.most_bytes + 1)
+            return self._ask(url)
         files, path = fs.FileSystem.from_uri(url.rstrip("/"))
         if url.endswith("/"):
             there = files.get_file_info(fs.FileSelector(path))
@@ -71,6 +87,29 @@ class Request:
         with files.open_input_stream(path) as answer:
             return None, answer.read(self.most_bytes + 1)
 
+    def _ask(self, url: str, hops: int = 5) -> tuple[int, bytes]:
+        """Status and body of an http request over the process's connection to the host; redirects are followed."""
+        to = urllib.parse.urlsplit(url)
+        for fresh in (False, True):
+            line = _connection(to.scheme, to.netloc, self.timeout_s, fresh)
+            try:
+                line.request("GET", urllib.parse.urlunsplit(("", "", to.path or "/", to.query, "")))
+                answer = line.getresponse()
+                body = answer.read(self.most_bytes + 1)
+            except (http.client.HTTPException, OSError) as e:
+                _drop(to.scheme, to.netloc)
+                if fresh or isinstance(e, TimeoutError) or not line.used:
+                    raise
+                continue  # the host has closed a connection that was idle: once more over a new one
+            line.used = True
+            if len(body) > self.most_bytes or answer.will_close:
+                _drop(to.scheme, to.netloc)
+            where = answer.getheader("Location")
+            if answer.status in (301, 302, 303, 307, 308) and where and hops:
+                return self._ask(urllib.parse.urljoin(url, where), hops - 1)
+            return answer.status, body
+        raise AssertionError
+
     def fetch(self, page: int) -> tuple:
         """The row of a page."""
         url = self.url.replace("{page}", str(page))
@@ -78,15 +117,14 @@ class Request:
             status = error = body = None
             try:
                 status, raw = self._answer(url)
-                if len(raw) > self.most_bytes:
+                if status is not None and status >= 300:
+                    error = "STATUS"
+                elif len(raw) > self.most_bytes:
                     error = "TOO_LARGE"
                 else:
                     body = raw.decode("utf-8", "replace")
-            except urllib.error.HTTPError as e:
-                status, error = e.code, "STATUS"
-                e.close()
-            except (urllib.error.URLError, OSError) as e:
-                error = _reason(e)
+            except (http.client.HTTPException, OSError) as e:
+                error = "TIMEOUT" if isinstance(e, TimeoutError) else "UNREACHABLE"
             if error in (None, "TOO_LARGE") or (error == "STATUS" and status not in RETRIED) or attempt == self.attempts:
                 return page, url, status, error, attempt, body
             time.sleep(self.pause_s * 2 ** (attempt - 1))

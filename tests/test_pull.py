@@ -15,8 +15,22 @@ def server():
     """Page k answers with its number; 3 fails once, 5 is never there, 7 is slow, 9 always fails, pages from ``here.most`` on are absent."""
     asked = Counter()
 
+    lines = Counter()
+
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"  # connections stay open
+
+        def setup(self):
+            lines["opened"] += 1
+            super().setup()
+
         def do_GET(self):
+            if self.path.startswith("/moved/"):
+                self.send_response(302)
+                self.send_header("Location", "/p/" + self.path.rpartition("/")[2])
+                self.send_header("Content-Length", "0")
+                self.end_headers()
+                return
             page = int(self.path.rpartition("/")[2])
             asked[page] += 1
             if page == 7:
@@ -35,7 +49,7 @@ def server():
             pass
 
     here = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    here.most, here.asked, here.url = 12, asked, f"http://127.0.0.1:{here.server_port}/p/{{page}}"
+    here.most, here.asked, here.lines, here.url = 12, asked, lines, f"http://127.0.0.1:{here.server_port}/p/{{page}}"
     threading.Thread(target=here.serve_forever, daemon=True).start()
     yield here
     here.shutdown()
@@ -53,6 +67,22 @@ def test_pages_and_failures_are_rows(spark, server):
     assert got[13].status == 404
 
 
+def test_a_worker_keeps_its_connection(spark, server):
+    server.most = 60
+    asked = [p for p in range(60) if p not in (3, 5, 7, 9)]
+    got = pull.pull(spark, server.url.replace("/p/", "/moved/"), 60, partitions=2, attempts=1, timeoutMs=4000, pauseMs=1).collect()
+    assert sorted(r.page for r in got if r.status == 200) == sorted({*asked, 7}) and len(got) == 60
+    assert server.lines["opened"] <= 4
+
+
+def test_an_idle_connection_that_was_closed_is_opened_again(server):
+    request = pull.Request.of({"url": server.url, "attempts": "1"})
+    assert request.fetch(0)[2] == 200
+    next(iter(pull._lines.values())).sock.shutdown(2)
+    assert request.fetch(1)[2] == 200
+    pull._lines.clear()
+
+
 def test_nobody_answers(spark):
     got = pull.pull(spark, "http://127.0.0.1:9/{page}", 1, attempts=2, pauseMs=1).first()
     assert (got.error, got.attempts, got.status, got.body) == ("UNREACHABLE", 2, None, None)
