@@ -26,8 +26,9 @@ def exact_groups(images: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(images: DataFrame) -> DataFrame:
-    """Images that are not the representative of their hash, with it. A group's members are never gathered."""
-    rep = exact_groups(images).select("sha256", "representative", "cross_class")
+    """Images that are not the representative of their hash, with it. A group's members are never gathered, and as its
+    representative is staged, AQE splits a group that many images share."""
+    rep = stage(exact_groups(images).select("sha256", "representative", "cross_class"), "representatives")
     return images.join(rep, "sha256").where(F.col("path") != F.col("representative")).select("path", "representative", "cross_class")
 
 
@@ -103,6 +104,21 @@ def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
     return pairs.select(pick("a", "b").alias("a"), pick("a_class", "b_class").alias("a_class"), pick("b", "a").alias("b"), pick("b_class", "a_class").alias("b_class"), "distance", (F.col("a_class") != F.col("b_class")).alias("cross_class"))
 
 
+def hamming_classes(hashes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The same pairs without writing out copies: classes of equal hashes, and pairs of classes within ``most`` bits.
+
+    Classes are ``(hash, first, n, classes)``: smallest member, members, and how many class indexes they have. Pairs are
+    ``(first, first2, distance, n, n2)``. With the images' hashes as membership they say as much as all pairs of images, in
+    rows that grow with images and pairs of different hashes instead of with the square of a group of copies.
+    """
+    classes = stage(hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.count_distinct("class_index").alias("classes")), "hash-classes")
+    own, its = classes.select("hash", "first", "n"), classes.select(F.col("hash").alias("hash2"), F.col("first").alias("first2"), F.col("n").alias("n2"))
+    pairs = near_hashes(classes, most).join(own, "hash").join(its, "hash2")
+    swap = F.col("first") > F.col("first2")
+    turned = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return classes, pairs.select(turned("first", "first2").alias("first"), turned("first2", "first").alias("first2"), "distance", turned("n", "n2").alias("n"), turned("n2", "n").alias("n2"))
+
+
 def clusters(hashes: DataFrame, most: int) -> DataFrame:
     """``(id, cluster_id)``: images linked by hashes within ``most`` bits, named by their smallest member.
 

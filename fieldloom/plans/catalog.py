@@ -338,6 +338,24 @@ _PAIRS = f"""(SELECT x.id AS a, x.class_index AS a_class, y.id AS b, y.class_ind
     FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= {RADIUS})"""
 
 
+_CLASSES = "(SELECT hash, min(id) AS first, count(*) AS n, count(DISTINCT class_index) AS classes FROM h GROUP BY hash)"
+
+
+@_query(
+    f"""WITH h AS {b.HASHES}, c AS {_CLASSES} SELECT x.first, y.first AS first2, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance, x.n, y.n AS n2
+    FROM c x JOIN c y ON x.first < y.first AND bit_count(xor(x.hash, y.hash)) <= {RADIUS}"""
+)
+def hamming_class_pairs(spark, d):
+    """Pairs of classes of equal hashes, for which copies aren't written out."""
+    return dedup.hamming_classes(b.hashes(spark, d), RADIUS)[1]
+
+
+@_query(f"WITH h AS {b.HASHES}, c AS {_CLASSES} SELECT first, n, classes > 1 AS cross_class FROM c")
+def hamming_classes(spark, d):
+    classes = dedup.hamming_classes(b.hashes(spark, d), RADIUS)[0]
+    return classes.select("first", "n", (F.col("classes") > 1).alias("cross_class"))
+
+
 @_query(f"WITH h AS {b.HASHES} SELECT * FROM {_PAIRS}")
 def hamming_pairs(spark, d):
     return dedup.hamming_pairs(b.hashes(spark, d), RADIUS)
