@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, decontaminate, near, substring, toxicity
 from fieldloom.shipping import ship
-from fieldloom.staging import stage
+from fieldloom.staging import release, stage
+
+#: Words of a test item below which it drops no document: chance repeats such items.
+LEAST_WORDS = 5
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +52,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item of five words or more go; shorter ones are no evidence for dropping a document.
+    """Documents that hold a test item of LEAST_WORDS words or more go; shorter ones are no evidence for dropping a document.
 
+    The shortest item of the given tables has 15 words, so none is left out there.
     Null and empty texts hold none and stay. Repeated rows and null ids stay or go as they are. Empty tables: all stay.
     """
     ship(spark)
-    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=LEAST_WORDS)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +78,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents in ``sf_dir``; between stages the documents are staged as Parquet."""
+    """All stages over the documents in ``sf_dir``; between stages the documents are staged as Parquet, one copy at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
