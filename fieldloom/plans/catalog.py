@@ -440,6 +440,49 @@ def preparation_reports(spark, d):
     return reporting.committed_counts(spark, "prepare", built, new_path(spark, "prepare-reports"))
 
 
+@_query(
+    """WITH k AS (SELECT o_custkey AS key, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey), s AS (SELECT c_custkey AS id, c_mktsegment AS g, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM customer LEFT JOIN k ON key = c_custkey),
+    c AS (SELECT 'metadata_inventory' AS report, count(*) AS rows FROM k UNION ALL SELECT x, count(id) FROM (SELECT unnest(['matched', 'ambiguous', 'unresolved']) AS x) LEFT JOIN s ON status = x GROUP BY x UNION ALL SELECT 'recovery_status', count(DISTINCT g) FROM s
+        UNION ALL SELECT 'shared_keys', count(*) FROM k WHERE n > 1 UNION ALL SELECT 'examples', coalesce(sum(least(n, 10)), 0) FROM (SELECT count(*) AS n FROM s WHERE status = 'ambiguous' GROUP BY g))
+    SELECT report, CAST(rows AS BIGINT) AS rows, CAST(rows AS BIGINT) AS read FROM c"""
+)
+def recovery_reports(spark, d):
+    """The seven reports of a recovery run as one committed set."""
+    images = b.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("class_name"), F.col("c_custkey").alias("key"))
+    candidates = b.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("leaf_id"))
+    return reporting.committed_counts(spark, "recovery", reporting.recovery_run(images, candidates), new_path(spark, "recovery-reports"))
+
+
+@_query(
+    f"""WITH n AS (SELECT * FROM {_GROUPS}), g AS (SELECT group_key, count(*) AS size, min(session_prefix) AS p FROM n WHERE group_key IS NOT NULL GROUP BY group_key),
+    j AS (SELECT DISTINCT coalesce(s_acctbal > 5000, c_acctbal > 5000) AS yes FROM customer FULL JOIN supplier ON c_custkey = s_suppkey),
+    c AS (SELECT 'groups' AS report, count(*) AS rows FROM g UNION ALL SELECT 'group_sizes', count(DISTINCT size) FROM g UNION ALL SELECT 'sample', least(count(*), 20) FROM g
+        UNION ALL SELECT 'shared_prefixes', count(*) FROM (SELECT leaf_number FROM n WHERE leaf_number IS NOT NULL AND session_prefix IS NOT NULL GROUP BY leaf_number HAVING count(DISTINCT session_prefix) > 1)
+        UNION ALL SELECT 'judgments', count(*) FROM j UNION ALL SELECT 'large_chains', count(*) FROM g WHERE size >= 15)
+    SELECT report, rows, rows AS read FROM c"""
+)
+def review_reports(spark, d):
+    """The six reports of a review run as one committed set."""
+    judged = lambda t, k, v: b.table(spark, d, t).select(F.col(k).alias("group_key"), F.when(F.col(v) > 5000, "supported").otherwise("ambiguous").alias("judgment"))
+    reviews = [judged("customer", "c_custkey", "c_acctbal"), judged("supplier", "s_suppkey", "s_acctbal")]
+    return reporting.committed_counts(spark, "review", reporting.review_run(_named(spark, d), reviews, 15, 20), new_path(spark, "review-reports"))
+
+
+@_query(
+    f"""WITH {_CLUSTERS}, s AS (SELECT path, sha256, group_key, ['train', 'val', 'test'][doc_id % 3 + 1] AS split FROM {b.IMAGES}),
+    v AS (SELECT 'path' AS k, path AS x, split FROM s UNION ALL SELECT 'sha256', sha256, split FROM s UNION ALL SELECT 'group_key', group_key, split FROM s),
+    o AS (SELECT 'checks' AS report, 2 AS rows UNION ALL SELECT 'overlaps', count(*) FROM (SELECT k, x FROM v WHERE x <> '' GROUP BY k, x HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'cluster_consistency', count(DISTINCT cluster_id) FROM c)
+    SELECT report, CAST(rows AS BIGINT) AS rows, CAST(rows AS BIGINT) AS read FROM o"""
+)
+def validation_reports(spark, d):
+    """The three reports of a validation run as one committed set."""
+    split = F.get(F.array(*map(F.lit, splits.SPLITS)), (F.col("doc_id") % 3).cast("int"))
+    rows = b.images(spark, d).select("path", "sha256", "group_key", split.alias("split"))
+    members = dedup.clusters(b.hashes(spark, d), RADIUS).select("cluster_id", (F.col("id") % 7).alias("group_key"), (F.col("id") % 3).alias("split"))
+    built = reporting.validation_run(checks.leakage(rows, ["sha256", "group_key"]), rows, members)
+    return reporting.committed_counts(spark, "validation", built, new_path(spark, "validation-reports"))
+
+
 @_query(f"SELECT * FROM {_COMPONENTS}")
 def guard_components(spark, d):
     return _components(spark, d)

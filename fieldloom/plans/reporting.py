@@ -47,6 +47,39 @@ def preparation(images: DataFrame, hashes: DataFrame, approved: DataFrame, radiu
     }
 
 
+def recovery_run(images: DataFrame, candidates: DataFrame) -> dict[str, DataFrame]:
+    """The reports of a recovery of leaf ids: of ``images(id, class_name, key)`` by ``candidates(key, leaf_id)``."""
+    statuses = stage(lineage.recovery(images, candidates), "statuses")
+    inventory = candidates.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("leaf_id").alias("leaf_ids"))
+    return {
+        "metadata_inventory": inventory,
+        **{s: statuses.where(F.col("status") == s).drop("status") for s in ("matched", "ambiguous", "unresolved")},
+        "recovery_status": lineage.recovery_counts(statuses),
+        "shared_keys": inventory.where("leaf_ids > 1"),
+        "examples": lineage.examples(statuses.where("status = 'ambiguous'"), "class_name", ["id"], 10),
+    }
+
+
+def review_run(named: DataFrame, judged: list[DataFrame], large: int, sample: int) -> dict[str, DataFrame]:
+    """The reports of a review of file-name groups: of ``named(id, group_key, session_prefix, leaf_number)`` and the
+    judgments (group_key, judgment) of one review after another; a group of ``large`` images is a large chain."""
+    groups = stage(named.where("group_key IS NOT NULL").groupBy("group_key").agg(F.count(F.lit(1)).alias("size"), F.min("session_prefix").alias("session_prefix")), "groups")
+    return {
+        "groups": groups,
+        "group_sizes": groups.groupBy("size").agg(F.count(F.lit(1)).alias("groups")),
+        "sample": lineage.quota_sample(groups, sample),
+        "shared_prefixes": lineage.shared_numbers(named.where("leaf_number IS NOT NULL AND session_prefix IS NOT NULL")),
+        "judgments": lineage.judgments(*judged),
+        "large_chains": groups.where(F.col("size") >= large),
+    }
+
+
+def validation_run(found: DataFrame, rows: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """The reports of a validation: the checks ``found``, overlaps of ``rows(path, sha256, group_key, split)``, and the
+    clusters' ``members(cluster_id, group_key, split)``."""
+    return {"checks": found, "overlaps": splits.overlaps(rows, ["path", "sha256", "group_key"]), "cluster_consistency": dedup.consistency(members)}
+
+
 def committed_counts(spark, kind: str, built: dict[str, DataFrame], folder: str) -> DataFrame:
     """``(report, rows, read)``: commits the set and reads every report of it back."""
     rows = reports.commit(kind, built, folder)
