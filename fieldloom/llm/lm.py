@@ -43,7 +43,7 @@ from fieldloom.staging import stage
 #: Words that the network tells apart at most (two bytes a symbol), context words, size of vectors.
 CLASSES, CONTEXT, DIM = 16_384, 4, 16
 #: Groups drawn as noise for a minibatch of so many words, words drawn for each word, and the rate of AdaGrad.
-NOISE, OWN_NOISE, BATCH, RATE = 32, 2, 1536, 0.3
+NOISE, OWN_NOISE, BATCH, RATE = 32, 2, 3072, 0.6
 #: Consecutive words that go into a minibatch together: the vectors of their contexts are looked up once.
 CHUNK = 64
 #: Tokens of a stream on average, and documents' tokens that are learned from at a time.
