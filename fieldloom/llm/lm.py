@@ -298,7 +298,7 @@ class Trainer:
         self._pass(row[at + np.arange(context + CHUNK)], real[at + context + np.arange(CHUNK)])
 
     def _pass(self, windows: np.ndarray, real: np.ndarray) -> None:
-        size = max(1, BATCH // real.shape[1])
+        size = max(1, min(BATCH // real.shape[1], -(-len(windows) // 4)))  # few windows are four minibatches still
         order = self.r.permutation(len(windows))
         drawn = self.r.choice(len(self.groups), (-(-len(windows) // size), NOISE), p=self.groups)
         for k in range(0, len(windows), size):
