@@ -118,3 +118,22 @@ def test_top_k_reads_every_dimension(spark):
         p = e / e.sum()
         want |= {(r.vec_id, int(k)): p[k] for k in np.argsort(-p, kind="stable")[:3]}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_units_share_the_values_of_the_resampling_hash():
+    """Copies equal the rule that SQL states, at any density; values don't grow with units where these are dense."""
+    import numpy as np
+
+    r, low = np.random.default_rng(5), (1 << 32) - 1
+    for span, most in ((1 << 32, 60_000), (1 << 12, (1 << 12) + 200)):
+        place = np.sort(np.append(r.integers(0, span, 299), span - 1))
+        values, begin = evaluation.windows(place, 200, 42)
+        assert len(values) <= most
+        for k in (0, 7, 150, 299):
+            unit = int(place[k]) * pow(evaluation.STRIDE, -1, 1 << 32) & low
+            for draw in (1, 2, 99, 200):
+                h = (unit * evaluation.MIX[0] + draw * evaluation.MIX[1] + 42) & low
+                h = (h ^ h >> 15) * evaluation.MIX[1] & low
+                h = (h ^ h >> 13) * evaluation.MIX[2] & low
+                h ^= h >> 16
+                assert values[begin[k] + draw - 1] == sum(h >= c for c in evaluation.poisson_cuts())
