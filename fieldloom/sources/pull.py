@@ -13,6 +13,7 @@ import urllib.parse
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -21,6 +22,11 @@ SCHEMA = "page int, url string, status int, error string, attempts int, body str
 
 # Bounds of the timeout in milliseconds, and its default.
 TIMEOUT_MS = (1000, 120_000, 30_000)
+#: The same for Arrow, and bytes of bodies that a worker holds before it hands them on.
+_ARROW = pa.schema([("page", pa.int32()), ("url", pa.string()), ("status", pa.int32()), ("error", pa.string()), ("attempts", pa.int32()), ("body", pa.string())])
+HELD = 4 << 20
+#: Pages of a partition where their number isn't given, and partitions at most.
+PART, MOST_PARTS = 256, 10_000
 #: Statuses that another attempt may mend.
 RETRIED = {408, 425, 429, 500, 502, 503, 504}
 
@@ -142,16 +148,23 @@ class Pages(InputPartition):
 class PullReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.request = Request.of(options)
-        self.pages, self.parts = int(options.get("pages", 1)), max(1, int(options.get("partitions", 8)))
+        self.pages = int(options.get("pages", 1))
+        self.parts = max(1, int(options.get("partitions", min(MOST_PARTS, max(8, -(-self.pages // PART))))))
 
     def partitions(self) -> list[Pages]:
         parts = min(self.parts, max(1, self.pages))
         cuts = [self.pages * k // parts for k in range(parts + 1)]
         return [Pages(a, b) for a, b in zip(cuts, cuts[1:])]
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        """Batches of HELD bytes of bodies, and the page that passes them: Spark's own hold 10,000 rows, however large."""
+        held, size = [], 0
         for page in range(partition.first, partition.end):
-            yield self.request.fetch(page)
+            held.append(self.request.fetch(page))
+            size += len(held[-1][-1] or "")
+            if size >= HELD or len(held) == 10_000 or page == partition.end - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+                held, size = [], 0
 
 
 class PullStream(SimpleDataSourceStreamReader):
@@ -195,7 +208,9 @@ class PullSource(DataSource):
         return PullStream(self.options)
 
 
-def pull(spark: SparkSession, url: str, pages: int, partitions: int = 8, **options) -> DataFrame:
-    """The rows of pages 0 to ``pages`` - 1 of ``url``."""
+def pull(spark: SparkSession, url: str, pages: int, partitions: int | None = None, **options) -> DataFrame:
+    """The rows of pages 0 to ``pages`` - 1 of ``url``; ``partitions`` follow from the pages if not given."""
     spark.dataSource.register(PullSource)
-    return spark.read.format("pull").options(url=url, pages=pages, partitions=partitions, **options).load()
+    if partitions is not None:
+        options["partitions"] = partitions
+    return spark.read.format("pull").options(url=url, pages=pages, **options).load()

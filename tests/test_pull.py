@@ -118,3 +118,14 @@ def test_a_stream_goes_on_where_it_was(spark, server, tmp_path):
     server.most = 5
     run(2)
     assert sorted(r.page for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_worker_holds_few_bodies(tmp_path):
+    """Large bodies are handed on in batches of bounded bytes, and partitions follow the pages."""
+    for k in range(40):
+        (tmp_path / f"{k}.txt").write_text("é" * 500_000)
+    reader = pull.PullReader({"url": f"file://{tmp_path}/{{page}}.txt", "pages": "40", "partitions": "1"})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert sum(b.num_rows for b in batches) == 40 and max(b.num_rows for b in batches) * 500_000 <= pull.HELD + 500_000
+    assert [p for b in batches for p in b.column("page").to_pylist()] == list(range(40))
+    assert len(pull.PullReader({"url": "file:///x/{page}", "pages": "100000"}).partitions()) == 391
