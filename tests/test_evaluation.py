@@ -137,3 +137,11 @@ def test_units_share_the_values_of_the_resampling_hash():
                 h = (h ^ h >> 13) * evaluation.MIX[2] & low
                 h ^= h >> 16
                 assert values[begin[k] + draw - 1] == sum(h >= c for c in evaluation.poisson_cuts())
+
+
+def test_rows_without_a_group_are_in_no_resample(spark):
+    """As in SQL, where the hash of a null key is null; its place among others doesn't matter."""
+    rows = [(f"p{k}", k % 3, (k + (k % 5 == 0)) % 3, 0.4 + k % 7 / 10, True, f"g{k % 11}", "") for k in range(90)]
+    lost = [(f"n{k}", 0, 1, 0.9, False, None, "") for k in range(40)]
+    with_lost, without = (evaluation.bootstrap(spark.createDataFrame(x, PRED), 0.5, draws=200, classes=classes(spark, 3)).orderBy("metric").collect() for x in (rows + lost, rows))
+    assert with_lost == without and len(without) == 4
