@@ -58,21 +58,22 @@ _BLOCK = 1 << 13
 END = xxhash.xxh64_intdigest(b"", 1) - (1 << 64 if xxhash.xxh64_intdigest(b"", 1) >> 63 else 0)
 
 
-def _hashes(text: bytes | None) -> np.ndarray:
-    """Hashes of the words and of the end."""
-    return np.append(word_hashes(words(text and text.lower())).view(np.int64), END)
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, word hashes and words per row, of some rows at a time."""
-    first, held, size = 0, [], 0
+def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, hashes of the different words and of the end, their place for each token, and tokens per row, of some rows at a time."""
+    first, held, lengths = 0, [], []
     for k in range(len(texts)):
-        h = _hashes(texts[k].as_py())
-        held.append(h)
-        size += len(h)
-        if size >= _SLICE or k == len(texts) - 1:
-            yield first, np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
-            first, held, size = k + 1, [], 0
+        text = texts[k].as_py()
+        own = words(text and text.lower())
+        held += own
+        held.append(b"")  # the end: no word is empty
+        lengths.append(len(own) + 1)
+        if len(held) >= _SLICE or k == len(texts) - 1:
+            coded = pa.array(held, pa.binary()).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            h = word_hashes(distinct).view(np.int64)
+            h[distinct.index(b"")] = END
+            yield first, h, coded.indices.to_numpy(), np.array(lengths, np.int64)
+            first, held, lengths = k + 1, [], []
 
 
 # --------------------------------------------------------------------------------------------------- counts
@@ -83,9 +84,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, h, _ in _slices(b.column(0)):
-                w, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["word", "n"])
+            for _, w, at, _ in _slices(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.bincount(at, minlength=len(w)))], ["word", "n"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -214,17 +214,20 @@ class LogBilinear:
 
     def _log_probs(self, c: np.ndarray, q: np.ndarray, step: int = 1024) -> np.ndarray:
         out, group = np.empty(len(c), np.float64), self.group_of(c)
+        far = np.sqrt(np.einsum("nd,nd->n", q, q).max(initial=0))
         target = np.ascontiguousarray(self.target.T)
+        tame = _tame(far, target, self.bias)
         for k in range(0, len(c), step):
-            out[k : k + step] = _log_softmax(q[k : k + step], target, self.bias, group[k : k + step])
+            out[k : k + step] = _log_softmax(q[k : k + step], target, self.bias, group[k : k + step], tame)
         order = np.argsort(group.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(len(self.bias) - 1))
         for g in range(len(self.bias) - 2):
             first = g * self.width
-            target = np.ascontiguousarray(self.word[first : first + self.width].T)
+            target, bias = np.ascontiguousarray(self.word[first : first + self.width].T), self.word_bias[first : first + self.width]
+            tame = _tame(far, target, bias)
             for k in range(cuts[g], cuts[g + 1], step):
                 at = order[k : min(k + step, cuts[g + 1])]
-                out[at] += _log_softmax(q[at], target, self.word_bias[first : first + self.width], c[at].astype(np.int64) - first)
+                out[at] += _log_softmax(q.take(at, axis=0), target, bias, c[at].astype(np.int64) - first, tame)
         return out
 
 
@@ -234,14 +237,22 @@ def _group_noise(noise: np.ndarray, width: int) -> np.ndarray:
     return np.append(np.add.reduceat(noise[:words], np.arange(0, words, width)), noise[-2:]) if words else noise[-2:]
 
 
-def _log_softmax(q: np.ndarray, target: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _tame(far: float, target: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no exponential of a product with ``target`` plus ``bias`` can overflow or vanish, for vectors up to ``far`` long."""
+    return bool(far * np.sqrt(np.einsum("dn,dn->n", target, target).max(initial=0)) + np.abs(bias).max(initial=0) < 60)
+
+
+def _log_softmax(q: np.ndarray, target: np.ndarray, bias: np.ndarray, own: np.ndarray, tame: bool = False) -> np.ndarray:
+    """Log-softmax at ``own`` of each row; if ``tame``, without the shift by a row's greatest value."""
     s = q @ target
     s += bias
-    value = s[np.arange(len(s)), own]
-    top = s.max(axis=1)
-    s -= top[:, None]
+    value = s.ravel().take(np.arange(len(s)) * s.shape[1] + own)
+    if not tame:
+        top = s.max(axis=1)
+        s -= top[:, None]
+        value = value - top
     np.exp(s, out=s)
-    return value - top - np.log(s.sum(axis=1))
+    return value - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def contexts(c: np.ndarray, lengths: np.ndarray, start: int, context: int = CONTEXT) -> np.ndarray:
@@ -265,7 +276,10 @@ def laid_out(texts: list[np.ndarray], start: int, context: int = CONTEXT) -> tup
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+    y = np.minimum(np.maximum(np.negative(x), -30), 30)
+    np.exp(y, out=y)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
 class Trainer:
@@ -277,7 +291,7 @@ class Trainer:
         self.m = model.like(model.flat().copy())
         self.groups = _group_noise(noise, model.width)
         self.log_kq = np.log(NOISE * self.groups).astype(np.float32)
-        self.own_log_kq = np.log(OWN_NOISE) + (model.word_bias if unigram is None else unigram)
+        self.own_log_kq = (np.log(OWN_NOISE) + (model.word_bias if unigram is None else unigram)).astype(np.float32)
         self.ends = np.concatenate([[0.0], np.cumsum(noise[:-2])])
         self.r = np.random.default_rng(seed)
         self.seen = list(self.m.like(seen.copy()).tables) if seen is not None else [np.full_like(x, 1e-3) for x in self.m.tables]
@@ -311,29 +325,34 @@ class Trainer:
         """A minibatch: each window is a context and the words after it, of which the ``real`` ones are learned."""
         m, span, length = self.m, len(self.m.distance), real.shape[1]
         shifted = [slice(span - d, span - d + length) for d in range(1, span + 1)]
-        vectors = m.context[windows]
-        q = sum(vectors[:, at] * scale for at, scale in zip(shifted, m.distance))[real]
-        c = windows[:, span:][real]
+        vectors = m.context.take(windows, axis=0)
+        dim, places = vectors.shape[-1], np.flatnonzero(real)
+        q = vectors[:, shifted[0]] * m.distance[0]
+        for at, scale in zip(shifted[1:], m.distance[1:]):
+            q += vectors[:, at] * scale
+        q = q.reshape(-1, dim).take(places, axis=0)
+        c = windows[:, span:].ravel().take(places)
         n, g = len(c), m.group_of(c)
-        target, noise = m.target[g], m.target[x]
+        target, noise = m.target.take(g, axis=0), m.target[x]
         true = np.einsum("nd,nd->n", q, target) + m.bias[g] - self.log_kq[g]
         false = q @ noise.T + m.bias[x] - self.log_kq[x]
         up, down = _sigmoid(-true) / n, -_sigmoid(false) / n
-        g_q = up[:, None] * target + down @ noise
+        g_q = up[:, None] * target
+        g_q += down @ noise
         changes = [(np.concatenate([g, x]), {2: np.concatenate([up[:, None] * q, down.T @ q]), 3: np.concatenate([up, down.sum(axis=0)])})]
         inside = np.flatnonzero(c < len(m.word))
         if len(inside):
-            w, own = c[inside].astype(np.int64), q[inside]
+            w, own = c[inside].astype(np.int64), q.take(inside, axis=0)
             first = g[inside] * m.width
             last = np.minimum(first + m.width, len(m.word))
             low, high = self.ends[first], self.ends[last]
             z = np.searchsorted(self.ends, low + self.r.random((OWN_NOISE, len(w))) * (high - low), side="right") - 1
             z = np.clip(z, first, last - 1)
-            u = m.word[w]
+            u = m.word.take(w, axis=0)
             up = _sigmoid(self.own_log_kq[w] - np.einsum("nd,nd->n", own, u) - m.word_bias[w]) / n
             at, rows, sums, back = [w], [up[:, None] * own], [up], up[:, None] * u
             for z in z:
-                v = m.word[z]
+                v = m.word.take(z, axis=0)
                 down = -_sigmoid(np.einsum("nd,nd->n", own, v) + m.word_bias[z] - self.own_log_kq[z]) / n
                 back += down[:, None] * v
                 at.append(z)
@@ -341,8 +360,8 @@ class Trainer:
                 sums.append(down)
             g_q[inside] += back
             changes.append((np.concatenate(at), {4: np.concatenate(rows), 5: np.concatenate(sums)}))
-        spread, g_vectors = np.zeros((*real.shape, g_q.shape[1]), np.float32), np.zeros_like(vectors)
-        spread[real] = g_q
+        spread, g_vectors = np.zeros((*real.shape, dim), np.float32), np.zeros_like(vectors)
+        spread.reshape(-1, dim)[places] = g_q
         for at, scale in zip(shifted, m.distance):
             g_vectors[:, at] += spread * scale
         distance = np.stack([np.einsum("mld,mld->d", spread, vectors[:, at]) for at in shifted])
@@ -358,10 +377,14 @@ class Trainer:
         own = at[new]
         for table, each in rows.items():
             value, seen = self.m.tables[table], self.seen[table]
-            g = np.add.reduceat(each[order], new, axis=0)
-            total = seen[own] + g * g
+            g = np.add.reduceat(each.take(order, axis=0), new, axis=0)
+            total = seen.take(own, axis=0)
+            total += g * g
             seen[own] = total
-            value[own] += RATE * g / np.sqrt(total)
+            g *= RATE
+            g /= np.sqrt(total, out=total)
+            g += value.take(own, axis=0)
+            value[own] = g
 
 
 def streams_of(vocab: Vocabulary) -> int:
@@ -464,18 +487,19 @@ def _encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         rid = TaskContext.get().partitionId() << 33
         log_count = np.log10(vocab.counts + 1.0)
         for b in batches:
-            for first, h, lengths in _slices(b.column("text")):
+            for first, distinct, place, lengths in _slices(b.column("text")):
                 n = len(lengths)
-                at, known = vocab.find(h)
-                c = vocab.class_of(h, at, known)
+                at, known = vocab.find(distinct)
+                c = vocab.class_of(distinct, at, known)
                 logs = np.where(known, log_count[at] if len(log_count) else 0.0, 0.0)
+                c, known, logs = c[place], known[place], logs[place]
                 other = c == vocab.other
                 starts = np.cumsum(lengths) - lengths
                 total = lambda x: np.add.reduceat(x, starts)
                 lost = np.flatnonzero(~known)
-                row = np.repeat(np.arange(n), lengths)[lost]
-                order = np.lexsort((h[lost], row))
-                w, r = h[lost][order], row[order]
+                row, h = np.repeat(np.arange(n), lengths)[lost], distinct[place[lost]]
+                order = np.lexsort((h, row))
+                w, r = h[order], row[order]
                 new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])]) if len(w) else np.empty(0, np.int64)
                 times = np.diff(np.r_[new, len(w)])
                 offsets = pa.array(np.searchsorted(r[new], np.arange(n + 1)).astype(np.int32))

@@ -98,3 +98,17 @@ def test_very_long_texts(spark):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     read = {x.page_id: x for x in warc.round_trip(pages).collect()}
     assert read[3].refers_to == 1 and read[1].payload_digest == hashlib.sha256(LONG.encode()).hexdigest() and read[1].payload_bytes == len(LONG)
+
+
+def test_training_stays_in_single_precision():
+    """What a minibatch adds up is float32 throughout: a double among the factors would double the work."""
+    import numpy as np
+
+    from fieldloom.llm import lm
+
+    noise = np.array([0.4, 0.3, 0.2, 0.05, 0.05])
+    trainer = lm.Trainer(lm.LogBilinear.start(noise), noise, 3)
+    dtypes, real = set(), trainer._add
+    trainer._add = lambda at, rows: (dtypes.update(x.dtype for x in rows.values()), real(at, rows))
+    trainer.learn_texts(*lm.laid_out([np.array([0, 1, 2, 4], np.uint16)] * 5, 5))
+    assert dtypes == {np.dtype(np.float32)}
