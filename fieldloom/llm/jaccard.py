@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.text import window_hashes, word_hashes
 from fieldloom.operators.graph import connected_components
-from fieldloom.staging import release, stage
+from fieldloom.staging import long_rows, release, stage
 
 #: Hash buckets whose loads order the shingles.
 BUCKETS = 1 << 21
@@ -97,23 +97,12 @@ def bucket_loads(texts: DataFrame, width: int = 5) -> np.ndarray:
     """How many shingles of all texts fall in each bucket; a task sends its table once, compressed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(BUCKETS, np.int64), [], 0
-
-        def add() -> None:
-            nonlocal total, held, size
-            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-            held, size = [], 0
-
+        total = np.zeros(BUCKETS, np.int64)  # all that the task holds besides a batch
         for b in batches:
             for t in b.column(0):
                 ws = (t.as_py() or b"").lower().split()
                 if ws:
-                    held.append(_bucket(window_hashes(word_hashes(ws), min(width, len(ws)))))
-                    size += len(held[-1])
-                    if size > BUCKETS:
-                        add()
-        if held:
-            add()
+                    np.add.at(total, _bucket(window_hashes(word_hashes(ws), min(width, len(ws)))), 1)
         packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(_SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
 
@@ -125,7 +114,8 @@ def bucket_loads(texts: DataFrame, width: int = 5) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in of.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = texts.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(join, schema).collect()
+    with long_rows(texts.sparkSession):
+        parts = texts.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(join, schema).collect()
     out = np.zeros(BUCKETS, np.int64)
     for r in parts:
         out.reshape(_SLICES, -1)[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
@@ -459,14 +449,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
 
     found = texts.join(_small(wanted, wanted.count()), ["doc", "sig"]).select("sid", "text")
     known = found.mapInArrow(sets, "sid long, s binary")
-    known = stage(known.dropDuplicates(["sid"]) if repeated else known, "sets")
+    with long_rows(texts.sparkSession):
+        known = stage(known.dropDuplicates(["sid"]) if repeated else known, "sets")
     many = stage(pairs.groupBy("a").count().where(F.col("count") > PARTNERS).select("a", F.ceil(F.col("count") / PARTNERS).alias("g")), "centres")
     dealt = pairs.withColumn("part", F.lit(0).cast("long")) if many.isEmpty() else pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("g", F.lit(1)))).drop("g")
     one, n = F.lit(None).cast("long"), pairs.count()
     own = known.withColumnRenamed("sid", "a").join(_small(dealt.select("a", "part").distinct(), n), "a").select("a", "part", F.lit(0).alias("kind"), "s", one.alias("src"), one.alias("dst"))
     others = known.withColumnRenamed("sid", "b").join(_small(dealt, n), "b").select("a", "part", F.lit(1).alias("kind"), "s", "src", "dst")
     rows = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("kind", "s", "src", "dst")
-    out = stage(rows.mapInArrow(_check, "src long, dst long").distinct(), "links")
+    with long_rows(texts.sparkSession):
+        out = stage(rows.mapInArrow(_check, "src long, dst long").distinct(), "links")
     for t in (pairs, wanted, known, many):
         release(t)
     return out
@@ -534,7 +526,9 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     and shingles are compared by 64-bit hashes.
     """
     texts = texts_of(docs)
-    rows = stage(describe(texts, bucket_loads(texts, width), width), "described")
+    loads = bucket_loads(texts, width)
+    with long_rows(docs.sparkSession):
+        rows = stage(describe(texts, loads, width), "described")
     classes = stage(classes_of(rows).withColumn("component", F.col("sid")), "classes")
     found = merge_near(rows, classes, texts, width)
     doc = F.when(F.col("doc") != (1 << 63) - 1, F.col("doc"))

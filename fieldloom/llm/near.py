@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.jaccard import bucket_loads, classes_of, describe, merge_near, prefix, row_key, shingle_set, texts_of  # noqa: F401
 from fieldloom.llm.simhash import fingerprint_of, near_links, shingle_hashes
 from fieldloom.operators.graph import connected_components
-from fieldloom.staging import release, stage
+from fieldloom.staging import long_rows, release, stage
 
 
 def _fingerprint_components(rows: DataFrame, tau: int) -> DataFrame:
@@ -35,7 +35,9 @@ def keep_one(docs: DataFrame, tau: int = 4, width: int = 5) -> DataFrame:
     last), then the smallest hash of its text. Rows are told apart by id and text; of repeated rows one stays.
     """
     texts = texts_of(docs)
-    rows = stage(describe(texts, bucket_loads(texts, width), width, extra=lambda t: fingerprint_of(shingle_hashes(t, width))), "described")
+    loads = bucket_loads(texts, width)
+    with long_rows(docs.sparkSession):
+        rows = stage(describe(texts, loads, width, extra=lambda t: fingerprint_of(shingle_hashes(t, width))), "described")
     reps = _fingerprint_components(rows, tau)
     classes = stage(classes_of(rows).join(reps.select("fp", "component"), "fp").drop("fp").withColumn("began", F.col("component")), "classes")
     merged = merge_near(rows, classes, texts, width)

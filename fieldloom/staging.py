@@ -10,10 +10,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of whole texts, or of sets made from them, that a reader or a Python worker holds at once.
+TEXT_ROWS = 1024
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
 _own: dict[str, str] = {}
 _staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -51,6 +57,19 @@ def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def long_rows(spark: SparkSession) -> Iterator[None]:
+    """What runs inside reads, and hands to Python, TEXT_ROWS rows at once at most: a batch lies in Spark and in the worker."""
+    before = {k: spark.conf.get(k) for k in _BATCHES}
+    try:
+        for k, n in before.items():
+            spark.conf.set(k, str(min(int(n), TEXT_ROWS) if int(n) > 0 else TEXT_ROWS))
+        yield
+    finally:
+        for k, n in before.items():
+            spark.conf.set(k, n)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -45,3 +45,38 @@ def test_prefixes_of_near_sets_meet():
         keys = np.sort(r.permutation(s)[:50])
         counts = r.integers(3, 99, 50)
         assert set(prefix(s, keys, counts)) & set(prefix(t, keys, counts))
+
+
+def test_long_rows_come_in_short_batches(spark, monkeypatch):
+    """Steps that hand whole texts or sets to Python do so by TEXT_ROWS rows; the session's own batches hold again after."""
+    import pyarrow as pa
+
+    from fieldloom import staging
+    from fieldloom.llm import jaccard, near
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), {}
+    for module in (near, jaccard):
+        monkeypatch.setattr(module, "stage", lambda df, label, *by: seen.update({label: int(spark.conf.get(key))}) or staging.stage(df, label, *by))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % 700}x{j}" for j in range(20))) for k in range(1400)], "doc_id long, text string")
+    assert near.keep_one(docs).count() == 700
+    assert [seen[x] for x in ("described", "sets", "links")] == [staging.TEXT_ROWS] * 3 and spark.conf.get(key) == before
+    with staging.long_rows(spark):
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in bs), "id long").collect()
+    assert max(x.id for x in sizes) == staging.TEXT_ROWS and spark.conf.get(key) == before
+
+
+def test_bucket_loads_count_every_shingle(spark):
+    import numpy as np
+
+    from fieldloom.llm.jaccard import BUCKETS, _bucket, bucket_loads
+    from fieldloom.llm.text import window_hashes, word_hashes
+
+    texts = [None, b" ", b"a b", b"x " * 900, *(f"w{k} W{k} y z v u".encode() for k in range(50))]
+    want = np.zeros(BUCKETS, np.int64)
+    for t in texts:
+        ws = (t or b"").lower().split()
+        if ws:
+            want += np.bincount(_bucket(window_hashes(word_hashes(ws), min(5, len(ws)))), minlength=BUCKETS)
+    got = bucket_loads(spark.createDataFrame([(bytearray(t) if t is not None else None,) for t in texts], "text binary").repartition(3))
+    assert (got == want).all() and got.sum() == 1 + 896 + 2 * 50
